@@ -129,10 +129,9 @@ TASK_EXCLUDED = (
 TASK_NOW = "当前|现在|实际|查询|查一下|列出"
 TASK_MEASURE = "几个|多少|数量|总数|共有|状态|是否|运行|停止|连接|丢数"
 CHINESE_DIGITS = "一二两三四五六七八九"
-CHINESE_DIGIT_VALUES = {
-    "一": 1, "二": 2, "两": 2, "三": 3, "四": 4, "五": 5, "六": 6, "七": 7, "八": 8, "九": 9,
-}
-UNIT_MINUTES = {"分钟": 1, "小时": 60, "天": 1440, "日": 1440, "周": 10080, "星期": 10080}
+CHINESE_DIGIT_VALUES = "1223456789"
+HALF = "半"
+UNIT_HOURS = {"分钟": 1 / 60, "小时": 1, "天": 24, "日": 24, "周": 168, "星期": 168}
 UNSUPPORTED_UNITS = ("个月", "月", "年")
 
 # --- fixed values: answer rules ------------------------------------------------------

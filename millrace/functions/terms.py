@@ -18,19 +18,19 @@ def _bigrams(run: Column) -> Column:
 
 
 def token_array(text: Column) -> Column:
-    """Tokens of a text in order: ASCII words, and bigrams of CJK runs."""
-
-    def expand(words: Column) -> Column:
-        split = F.flatten(
-            F.transform(
-                words,
-                lambda w: F.when(w.rlike(fixed.CJK_PATTERN), _bigrams(w)).otherwise(F.array(w)),
-            )
-        )
-        kept = F.filter(split, lambda w: ~w.isin(*fixed.STOP_TERMS))
-        return F.when(F.exists(words, lambda w: w.rlike(fixed.CJK_PATTERN)), kept).otherwise(words)
+    """Tokens of a text in order: ASCII words, and bigrams of CJK runs.
 
-    return let(F.regexp_extract_all(fold(text), F.lit(fixed.TERM_PATTERN), F.lit(0)), expand)
+    The CJK branch works token by token; text without CJK, tested once, skips it.
+    """
+    words = F.regexp_extract_all(fold(text), F.lit(fixed.TERM_PATTERN), F.lit(0))
+    split = F.flatten(
+        F.transform(
+            words,
+            lambda w: F.when(w.rlike(fixed.CJK_PATTERN), _bigrams(w)).otherwise(F.array(w)),
+        )
+    )
+    kept = F.filter(split, lambda w: ~w.isin(*fixed.STOP_TERMS))
+    return F.when(text.rlike(fixed.CJK_PATTERN.lstrip("^")), kept).otherwise(words)
 
 
 def token_counts(tokens: Column) -> Column:

@@ -17,7 +17,7 @@ from millrace.functions import parsing
 from millrace.functions.text import clean, fold, is_missing, lookup, raw_text
 from millrace.operators.assets import active_path, hierarchy
 from millrace.operators.running import first_rows
-from millrace.session import fresh_folder
+from millrace.session import staged
 from millrace.sources.tables import Tables
 
 ROW_KEYS = ("batch_id", "source_row")
@@ -230,7 +230,7 @@ def resolve_tags(measurements: DataFrame, t: Tables) -> DataFrame:
 def check_cells(resolved: DataFrame) -> DataFrame:
     """Add the parsed value and the first broken rule before de-duplication."""
     required = is_missing(F.col("tag_code_raw")) | is_missing(F.col("value_raw"))
-    staged = (
+    typed = (
         resolved.withColumn("_parts", parsing.value_parts(F.col("value_raw")))
         .withColumn("_value", parsing.value_from_parts(F.col("_parts"), F.col("_tag.data_type")))
     )
@@ -263,7 +263,7 @@ def check_cells(resolved: DataFrame) -> DataFrame:
     message = F.when(F.col("_rule") == "out_of_range", span).otherwise(
         lookup(MESSAGES, F.col("_rule"))
     )
-    return staged.withColumn("_rule", rule).withColumn("_message", message).select(
+    return typed.withColumn("_rule", rule).withColumn("_message", message).select(
         *CELL_KEYS, "plant_id", "value_field", "tag_field", "tag_code_raw", "device_code_raw",
         "value_raw", "timestamp_raw", "quality_raw", "source_timestamp", "status_code", "is_good",
         F.col("_tag.tag_id").alias("tag_id"), F.col("_value.value").alias("value"),
@@ -276,7 +276,7 @@ def existing_keys(samples: DataFrame) -> DataFrame:
     return samples.where(F.col("source_type") == "file").select("tag_id", "source_timestamp")
 
 
-def within_bounds(stored: DataFrame, spark: SparkSession, candidates: DataFrame) -> DataFrame:
+def within_bounds(stored: DataFrame, candidates: DataFrame) -> DataFrame:
     """Cut the stored keys to the time span of the candidates, as literals for the scan.
 
     Costs one small job over the staged candidates, and lets the scan of the stored table
@@ -453,10 +453,9 @@ def process(
     """
     if received_at is None:
         received_at = F.current_timestamp()
-    staged = fresh_folder(spark, "import-checked")
-    checked = check_cells(resolve_tags(source_measurements(raw, mapping), t))
-    checked.write.parquet(staged)
-    checked = spark.read.parquet(staged)
+    checked = staged(
+        check_cells(resolve_tags(source_measurements(raw, mapping), t)), "import-checked"
+    )
 
     stored = existing_keys(t.tag_sample)
     if "import_batch_id" in t.tag_sample.columns:
@@ -464,9 +463,9 @@ def process(
         others = t.tag_sample.join(own, "import_batch_id", "left_anti")
         stored = existing_keys(others)
     passed = checked.where(F.col("_rule").isNull())
-    final = fresh_folder(spark, "import-classified")
-    mark_duplicates(checked, within_bounds(stored, spark, passed)).write.parquet(final)
-    classified = spark.read.parquet(final)
+    classified = staged(
+        mark_duplicates(checked, within_bounds(stored, passed)), "import-classified"
+    )
 
     accepted_samples(classified, received_at).write.mode("overwrite").option(
         "partitionOverwriteMode", "dynamic"

@@ -96,6 +96,29 @@ def first_rows(
     )
 
 
+def exact_rank(
+    df: DataFrame, keys: Sequence[str], score: str, tie: str, name: str, buckets: float = 64.0
+) -> DataFrame:
+    """1-based rank by ``score`` descending, then by the text ``tie`` ascending.
+
+    The same as ``row_number`` over each group, but a group is never in one task: equal
+    scores are counted first, running sums go over buckets of scores, and rows that tie
+    are numbered inside prefixes of ``tie``.
+    """
+    counts = df.groupBy(*keys, score).agg(F.count("*").alias("_n"))
+    bucket = F.floor(-F.col(score) * buckets)
+    above = running_total(counts, keys, bucket, [F.col(score).desc()], F.col("_n"), "_upto")
+    base = above.select(*keys, score, (F.col("_upto") - F.col("_n")).alias("_above"))
+    tied = running_total(
+        df, [*keys, score], F.substring(tie, 1, 8), [F.col(tie).asc()], F.lit(1), "_tied"
+    )
+    return (
+        tied.join(base, [*keys, score])
+        .withColumn(name, F.col("_above") + F.col("_tied"))
+        .drop("_above", "_tied")
+    )
+
+
 def order_statistics(
     df: DataFrame, keys: Sequence[str], value: str, positions: dict[str, Column], buckets: int = 1024
 ) -> DataFrame:
