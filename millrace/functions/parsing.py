@@ -59,64 +59,73 @@ def parse_timestamp(col: Column, zone: str = fixed.DEFAULT_ZONE) -> Column:
     return let(timestamp_parts(col), lambda parts: timestamp_from_parts(parts, zone))
 
 
-def value_parts(col: Column) -> Column:
-    """Cell to ``struct(text, folded, number)``; ``number`` is null unless finite."""
-    text = clean(col)
+def finite_number(text: Column) -> Column:
+    """Trimmed text as a finite double; underscores may separate digits."""
     plain = F.when(text.rlike(fixed.NUMBER_PATTERN), F.replace(text, F.lit("_"), F.lit("")))
     number = plain.try_cast("double")
-    return F.struct(
-        text.alias("text"),
-        fold(text).alias("folded"),
-        F.when(F.abs(number) < float("inf"), number).alias("number"),
-    )
+    return F.when(F.abs(number) < float("inf"), number)
 
 
-def value_from_parts(parts: Column, data_type: Column) -> Column:
-    """:func:`value_parts` to ``struct(ok, value, numeric_value)`` by the tag's type.
-
-    ``value`` is JSON text; ``ok`` is false when the cell does not fit the type.
-    """
-    text, folded, number = parts["text"], parts["folded"], parts["number"]
-    truth = F.when(folded.isin(*fixed.TRUE_WORDS), F.lit(True)).when(
+def truth_value(folded: Column) -> Column:
+    return F.when(folded.isin(*fixed.TRUE_WORDS), F.lit(True)).when(
         folded.isin(*fixed.FALSE_WORDS), F.lit(False)
     )
-    integral = F.when(number == F.rint(number), number)
-    # Digits of an integral double; beyond a long, decimal keeps them up to 38 places.
-    digits = F.coalesce(
-        integral.try_cast("bigint").cast("string"),
-        integral.try_cast("decimal(38,0)").cast("string"),
-        integral.cast("string"),
+
+
+def typed_number(data_type: Column, truth: Column, number: Column) -> Column:
+    """The numeric value of a cell for its tag's type, null when it does not fit."""
+    return (
+        F.when(data_type == "string", F.lit(None).cast("double"))
+        .when(data_type == "boolean", truth.cast("double"))
+        .when(data_type == "integer", F.when(number == F.rint(number), number + 0.0))
+        .otherwise(number)
     )
 
-    def typed(ok: Column, value: Column, numeric: Column) -> Column:
-        return F.struct(ok.alias("ok"), value.alias("value"), numeric.alias("numeric_value"))
 
+def typed_json(data_type: Column, text: Column, numeric: Column) -> Column:
+    """The cell as JSON text for its tag's type, from :func:`typed_number`."""
+    # Digits of an integral double; beyond a long, decimal keeps them up to 38 places.
+    digits = F.coalesce(
+        numeric.try_cast("bigint").cast("string"),
+        numeric.try_cast("decimal(38,0)").cast("string"),
+        numeric.cast("string"),
+    )
     return (
-        F.when(
-            data_type == "string",
-            typed(F.lit(True), json_text(text), F.lit(None).cast("double")),
-        )
-        .when(
-            data_type == "boolean",
-            typed(truth.isNotNull(), truth.cast("string"), truth.cast("double")),
-        )
-        .when(data_type == "integer", typed(integral.isNotNull(), digits, integral + 0.0))
-        .otherwise(typed(number.isNotNull(), number.cast("string"), number))
+        F.when(data_type == "string", json_text(text))
+        .when(data_type == "boolean", (numeric == 1).cast("string"))
+        .when(data_type == "integer", digits)
+        .otherwise(numeric.cast("string"))
     )
 
 
 def parse_value(col: Column, data_type: Column) -> Column:
-    return let(value_parts(col), lambda parts: value_from_parts(parts, data_type))
+    """Cell to ``struct(ok, value, numeric_value)`` by the tag's type, in one expression.
+
+    A plan that also needs the parts should compute them as columns of their own, as the
+    import does.
+    """
+    def typed(text: Column) -> Column:
+        number = typed_number(data_type, truth_value(fold(text)), finite_number(text))
+        return let(
+            number,
+            lambda n: F.struct(
+                ((data_type == "string") | n.isNotNull()).alias("ok"),
+                typed_json(data_type, text, n).alias("value"),
+                n.alias("numeric_value"),
+            ),
+        )
 
+    return let(clean(col), typed)
 
-def parse_quality(col: Column) -> Column:
-    """Quality cell to ``struct(status_code, is_good)``; a missing cell is good."""
+
+def quality_status(col: Column) -> Column:
+    """The status text of a quality cell; a missing cell is good."""
     status = F.substring(clean(col), 1, fixed.STATUS_TEXT_LIMIT)
-    blank = is_missing(col)
-    return F.struct(
-        F.when(blank, F.lit(fixed.DEFAULT_STATUS)).otherwise(status).alias("status_code"),
-        (blank | fold(status).isin(*fixed.GOOD_QUALITY_WORDS)).alias("is_good"),
-    )
+    return F.when(is_missing(col), F.lit(fixed.DEFAULT_STATUS)).otherwise(status)
+
+
+def is_good_status(status: Column) -> Column:
+    return fold(status).isin(*fixed.GOOD_QUALITY_WORDS)
 
 
 def outside_range(numeric: Column, low: Column, high: Column) -> Column:

@@ -46,11 +46,18 @@ _FOLDING_CLASS = "[" + "".join(_FOLDINGS) + "]"
 
 
 def fold(col: Column) -> Column:
-    """Lower case, plus the foldings that turn a letter into ASCII (as in ``ß``)."""
+    """Lower case, plus the foldings that turn a letter into ASCII (as in ``ß``).
+
+    The replacements are a fold over a literal array: one small expression, which runs
+    only on text that has such a letter.
+    """
     lowered = F.lower(col)
-    expanded = lowered
-    for char, folded in _FOLDINGS.items():
-        expanded = F.replace(expanded, F.lit(char), F.lit(folded))
+    pairs = F.array(
+        *[F.struct(F.lit(c).alias("char"), F.lit(f).alias("folded")) for c, f in _FOLDINGS.items()]
+    )
+    expanded = F.aggregate(
+        pairs, lowered, lambda text, pair: F.replace(text, pair["char"], pair["folded"])
+    )
     return F.when(lowered.rlike(_FOLDING_CLASS), expanded).otherwise(lowered)
 
 

@@ -167,16 +167,16 @@ def source_measurements(raw: DataFrame, mapping: ImportMapping) -> DataFrame:
         cell(mapping.quality_column).alias("quality_raw"),
         F.array(*cells).alias("_cells"),
     )
-    # Two steps, so that the text is matched once and not once for every use of its parts.
-    parts = row.withColumn("_parts", parsing.timestamp_parts(F.col("timestamp_raw")))
+    # Step by step, so that each text is matched once and not once for every use.
     parsed = (
-        parts.withColumn("source_timestamp", parsing.timestamp_from_parts(F.col("_parts")))
-        .withColumn("_quality", parsing.parse_quality(F.col("quality_raw")))
+        row.withColumn("_parts", parsing.timestamp_parts(F.col("timestamp_raw")))
+        .withColumn("status_code", parsing.quality_status(F.col("quality_raw")))
+        .withColumn("source_timestamp", parsing.timestamp_from_parts(F.col("_parts")))
+        .withColumn("is_good", parsing.is_good_status(F.col("status_code")))
     )
     return parsed.select(
-        *ROW_KEYS, "plant_id", "timestamp_raw", "quality_raw", "source_timestamp",
-        F.col("_quality.status_code").alias("status_code"), F.col("_quality.is_good").alias("is_good"),
-        F.posexplode("_cells").alias("position", "_cell"),
+        *ROW_KEYS, "plant_id", "timestamp_raw", "quality_raw", "source_timestamp", "status_code",
+        "is_good", F.posexplode("_cells").alias("position", "_cell"),
     ).select("*", "_cell.*").drop("_cell")
 
 
@@ -230,18 +230,26 @@ def resolve_tags(measurements: DataFrame, t: Tables) -> DataFrame:
 def check_cells(resolved: DataFrame) -> DataFrame:
     """Add the parsed value and the first broken rule before de-duplication."""
     required = is_missing(F.col("tag_code_raw")) | is_missing(F.col("value_raw"))
+    data_type = F.col("_tag.data_type")
+    text, number, numeric = F.col("_text"), F.col("_number"), F.col("numeric_value")
+    # Columns of their own, not fields of a struct: the optimizer inlines struct fields
+    # into every use, and each use would parse the text again.
     typed = (
-        resolved.withColumn("_parts", parsing.value_parts(F.col("value_raw")))
-        .withColumn("_value", parsing.value_from_parts(F.col("_parts"), F.col("_tag.data_type")))
+        resolved.withColumn("_text", clean(F.col("value_raw")))
+        .withColumn("_folded", fold(text))
+        .withColumn("_number", parsing.finite_number(text))
+        .withColumn(
+            "numeric_value", parsing.typed_number(data_type, parsing.truth_value(F.col("_folded")), number)
+        )
+        .withColumn("_ok", (data_type == "string") | numeric.isNotNull())
+        .withColumn("value", parsing.typed_json(data_type, text, numeric))
     )
-    numeric = F.col("_value.numeric_value")
     outside = parsing.outside_range(numeric, F.col("_tag.min_value"), F.col("_tag.max_value"))
-    data_type, number = F.col("_tag.data_type"), F.col("_parts.number")
     # Text that is a number to a parser, but not a finite one.
-    unbounded = (data_type != "boolean") & (
-        F.col("_parts.folded").rlike(fixed.NON_FINITE_PATTERN)
-        | F.col("_parts.text").rlike(fixed.NUMBER_PATTERN)
+    unbounded = (data_type != "boolean") & number.isNull() & (
+        F.col("_folded").rlike(fixed.NON_FINITE_PATTERN) | text.rlike(fixed.NUMBER_PATTERN)
     )
+    ok = F.col("_ok")
     rule = (
         F.when(is_missing(F.col("timestamp_raw")), "missing_timestamp")
         .when(F.col("source_timestamp").isNull(), "invalid_timestamp")
@@ -249,10 +257,10 @@ def check_cells(resolved: DataFrame) -> DataFrame:
         .when((F.col("_matches") == 0) & F.col("_has_device"), "unknown_pair")
         .when(F.col("_matches") == 0, "unknown_tag")
         .when(F.col("_matches") > 1, "ambiguous_tag")
-        .when(~F.col("_value.ok") & (data_type == "boolean"), "invalid_boolean")
-        .when(~F.col("_value.ok") & (data_type == "integer") & number.isNotNull(), "invalid_integer")
-        .when(~F.col("_value.ok") & number.isNull() & unbounded, "not_finite")
-        .when(~F.col("_value.ok"), "invalid_value")
+        .when(~ok & (data_type == "boolean"), "invalid_boolean")
+        .when(~ok & (data_type == "integer") & number.isNotNull(), "invalid_integer")
+        .when(~ok & unbounded, "not_finite")
+        .when(~ok, "invalid_value")
         .when(outside, "out_of_range")
     )
     span = F.concat(
@@ -266,8 +274,7 @@ def check_cells(resolved: DataFrame) -> DataFrame:
     return typed.withColumn("_rule", rule).withColumn("_message", message).select(
         *CELL_KEYS, "plant_id", "value_field", "tag_field", "tag_code_raw", "device_code_raw",
         "value_raw", "timestamp_raw", "quality_raw", "source_timestamp", "status_code", "is_good",
-        F.col("_tag.tag_id").alias("tag_id"), F.col("_value.value").alias("value"),
-        numeric.alias("numeric_value"), "_rule", "_message",
+        F.col("_tag.tag_id").alias("tag_id"), "value", "numeric_value", "_rule", "_message",
     )
 
 

@@ -23,6 +23,14 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
+# Static options for a session of one's own. Without call-site capture for every
+# expression, plans build several times faster.
+SESSION_OPTIONS = {
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
+    "spark.sql.session.timeZone": "UTC",
+    "spark.sql.adaptive.enabled": "true",
+}
+
 _shipped: set[str] = set()
 
 

@@ -8,26 +8,37 @@ follow from its tag id.
 from __future__ import annotations
 
 import datetime as dt
+from functools import lru_cache, partial
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from millrace.session import configure
 from millrace.sources.tables import SCHEMAS, Tables, empty_table, normalise_roles
 
 AS_OF = dt.datetime(2024, 1, 31, tzinfo=dt.UTC)
-DEVICES = 125
-DEVICES_PER_LINE = 5
+# A tag's device is its id modulo 125, and five devices make a line.
+LINE_OF_TAG = "{tag} % 125 div 5"
 
 
 def as_of() -> Column:
     return F.lit(AS_OF)
 
 
+@lru_cache(maxsize=256)
+def _schema(application: str, path: str) -> StructType:
+    """The schema of a given file, read from its footer once per application."""
+    return SparkSession.getActiveSession().read.parquet(path).schema
+
+
 def given(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A given table, with its zone-less times read as UTC instants."""
-    df = configure(spark).read.parquet(f"{sf_dir}/{name}.parquet")
-    for field in df.schema.fields:
+    path = f"{sf_dir}/{name}.parquet"
+    configure(spark)
+    schema = _schema(spark.sparkContext.applicationId, path)
+    df = spark.read.schema(schema).parquet(path)
+    for field in schema.fields:
         if field.dataType.typeName() == "timestamp_ntz":
             df = df.withColumn(field.name, F.col(field.name).cast("timestamp"))
     return df
@@ -36,354 +47,233 @@ def given(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def _conform(df: DataFrame, name: str) -> DataFrame:
     """Project to the declared columns and types of a stored table."""
     columns = [part.strip().split(" ", 1) for part in SCHEMAS[name].split(",")]
-    return df.select(*[F.col(c).cast(t).alias(c) for c, t in columns])
-
-
-def _line_of(tag_id: Column) -> Column:
-    return F.floor((tag_id % DEVICES) / DEVICES_PER_LINE)
+    return df.selectExpr(*[f"CAST({column} AS {kind}) AS {column}" for column, kind in columns])
 
 
 def plants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _conform(
-        given(spark, sf_dir, "region").select(
-            F.col("r_regionkey").alias("plant_id"),
-            F.col("r_name").alias("code"),
-            F.col("r_name").alias("name"),
-            F.when(F.col("r_regionkey") == 4, "inactive").otherwise("active").alias("status"),
-            F.lit(None).alias("location"),
-        ),
-        "plant",
+    rows = given(spark, sf_dir, "region").selectExpr(
+        "r_regionkey AS plant_id", "r_name AS code", "r_name AS name",
+        "IF(r_regionkey = 4, 'inactive', 'active') AS status", "NULL AS location",
     )
+    return _conform(rows, "plant")
 
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _conform(
-        given(spark, sf_dir, "nation").select(
-            F.col("n_nationkey").alias("line_id"),
-            F.col("n_regionkey").alias("plant_id"),
-            F.col("n_name").alias("code"),
-            F.concat(F.lit("Line "), "n_name").alias("name"),
-            F.when(F.col("n_nationkey") % 11 == 10, "inactive").otherwise("active").alias("status"),
-            F.lit("mixing").alias("process_type"),
-        ),
-        "production_line",
+    rows = given(spark, sf_dir, "nation").selectExpr(
+        "n_nationkey AS line_id", "n_regionkey AS plant_id", "n_name AS code",
+        "'Line ' || n_name AS name", "IF(n_nationkey % 11 = 10, 'inactive', 'active') AS status",
+        "'mixing' AS process_type",
     )
+    return _conform(rows, "production_line")
 
 
 def devices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ids = given(spark, sf_dir, "customer").select(
-        (F.col("c_custkey") % DEVICES).alias("device_id")
-    )
-    return _conform(
-        ids.distinct().select(
-            "device_id",
-            F.floor(F.col("device_id") / DEVICES_PER_LINE).alias("line_id"),
-            F.concat(F.lit("DEV_"), (F.col("device_id") % 10).cast("string")).alias("code"),
-            F.concat(F.lit("Device "), F.col("device_id").cast("string")).alias("name"),
-            F.when(F.col("device_id") % 17 == 13, "inactive").otherwise("active").alias("status"),
-            F.when(F.col("device_id") % 2 == 0, "pump").otherwise("mixer").alias("device_type"),
-        ),
-        "device",
+    ids = given(spark, sf_dir, "customer").selectExpr("c_custkey % 125 AS device_id").distinct()
+    rows = ids.selectExpr(
+        "device_id", "device_id div 5 AS line_id", "'DEV_' || device_id % 10 AS code",
+        "'Device ' || device_id AS name",
+        "IF(device_id % 17 = 13, 'inactive', 'active') AS status",
+        "IF(device_id % 2 = 0, 'pump', 'mixer') AS device_type",
     )
+    return _conform(rows, "device")
 
 
 def tags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    key = F.col("c_custkey")
-    return _conform(
-        given(spark, sf_dir, "customer").select(
-            key.alias("tag_id"),
-            (key % DEVICES).alias("device_id"),
-            F.when(
-                key % 3 == 0, F.concat(F.lit("T"), F.floor(key / DEVICES).cast("string"))
-            ).otherwise(F.concat(F.lit("U"), key.cast("string"))).alias("code"),
-            F.col("c_name").alias("name"),
-            F.when(key % 10 == 3, "integer").when(key % 10 == 5, "boolean")
-            .when(key % 10 == 7, "string").otherwise("float").alias("data_type"),
-            F.lit("bar").alias("unit"),
-            F.lit(1.0).alias("min_value"),
-            F.when(key % 9 != 0, F.lit(200.0)).alias("max_value"),
-            (1000 * (1 + key % 40)).alias("sampling_interval_ms"),
-            (key % 10 != 0).alias("is_enabled"),
-        ),
-        "tag",
+    rows = given(spark, sf_dir, "customer").selectExpr(
+        "c_custkey AS tag_id", "c_custkey % 125 AS device_id",
+        "IF(c_custkey % 3 = 0, 'T' || c_custkey div 125, 'U' || c_custkey) AS code",
+        "c_name AS name",
+        "CASE c_custkey % 10 WHEN 3 THEN 'integer' WHEN 5 THEN 'boolean' WHEN 7 THEN 'string' "
+        "ELSE 'float' END AS data_type",
+        "'bar' AS unit", "1.0D AS min_value", "IF(c_custkey % 9 = 0, NULL, 200.0D) AS max_value",
+        "1000 * (1 + c_custkey % 40) AS sampling_interval_ms", "c_custkey % 10 <> 0 AS is_enabled",
     )
+    return _conform(rows, "tag")
 
 
 def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    event, user = F.col("event_id"), F.col("user_id")
-    is_file = event % 5 == 0
-    return _conform(
-        given(spark, sf_dir, "events").select(
-            event.alias("id"),
-            F.when(~is_file, _line_of(user)).alias("task_id"),
-            F.when(is_file, _line_of(user) * 2 + event % 2).alias("import_batch_id"),
-            F.when(is_file, "file").otherwise("opcua").alias("source_type"),
-            user.alias("tag_id"),
-            F.when(F.col("event_type") == "signup", F.col("props"))
-            .otherwise(F.col("value").cast("string")).alias("value"),
-            F.when(F.col("event_type") != "signup", F.col("value")).alias("numeric_value"),
-            F.col("ts").alias("source_timestamp"),
-            F.when(event % 3 != 0, F.timestamp_add("SECOND", F.lit(1), F.col("ts")))
-            .alias("server_timestamp"),
-            F.timestamp_add("SECOND", F.lit(2), F.col("ts")).alias("received_at"),
-            F.when(F.col("event_type") == "error", "BadSensorFailure").otherwise("Good")
-            .alias("status_code"),
-            (F.col("event_type") != "error").alias("is_good"),
-        ),
-        "tag_sample",
+    line = LINE_OF_TAG.format(tag="user_id")
+    rows = given(spark, sf_dir, "events").selectExpr(
+        "event_id AS id",
+        f"IF(event_id % 5 = 0, NULL, {line}) AS task_id",
+        f"IF(event_id % 5 = 0, {line} * 2 + event_id % 2, NULL) AS import_batch_id",
+        "IF(event_id % 5 = 0, 'file', 'opcua') AS source_type",
+        "user_id AS tag_id",
+        "IF(event_type = 'signup', props, CAST(value AS STRING)) AS value",
+        "IF(event_type = 'signup', NULL, value) AS numeric_value",
+        "ts AS source_timestamp",
+        "IF(event_id % 3 = 0, NULL, ts + INTERVAL 1 SECOND) AS server_timestamp",
+        "ts + INTERVAL 2 SECONDS AS received_at",
+        "IF(event_type = 'error', 'BadSensorFailure', 'Good') AS status_code",
+        "event_type <> 'error' AS is_good",
     )
+    return _conform(rows, "tag_sample")
 
 
 def tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = (
         samples(spark, sf_dir)
-        .where(F.col("source_type") == "opcua")
+        .where("source_type = 'opcua'")
         .groupBy("task_id")
         .agg(
-            F.count("*").alias("samples_received"),
-            F.count_if(F.col("id") % 97 == 0).alias("duplicate_count"),
-            F.max("source_timestamp").alias("last_sample_at"),
+            F.expr("count(*) AS received"), F.expr("count_if(id % 97 = 0) AS repeated"),
+            F.expr("max(source_timestamp) AS last_sample_at"),
         )
     )
-    key = F.col("n_nationkey")
-    named = given(spark, sf_dir, "nation").select(
-        key.alias("task_id"),
-        F.col("n_regionkey").alias("plant_id"),
-        F.concat(F.lit("TASK-"), "n_name").alias("name"),
-        F.when(key % 7 == 5, F.lit("opc.tcp://user:secret@sim:4840"))
-        .when(key % 7 == 6, F.lit("http://sim:4840"))
-        .when(key % 7 == 4, F.lit("opc.tcp://other:4840"))
-        .otherwise(F.lit("opc.tcp://sim:4840")).alias("endpoint_url"),
-        (50 + 50 * (key % 4)).alias("publishing_interval_ms"),
-        F.lit(100).alias("batch_size"),
-        (1 + key % 40).alias("reconnect_delay_seconds"),
-        F.lit(30).alias("max_reconnect_delay_seconds"),
-        F.when(key % 6 == 5, "stopped").otherwise("running").alias("desired_state"),
-        F.when(key % 4 == 3, "error").when(key % 6 == 5, "stopped").otherwise("connected")
-        .alias("connection_state"),
-        F.timestamp_add("SECOND", -key * 7, as_of()).alias("worker_heartbeat_at"),
-        (key % 5).alias("error_count"),
-        (key % 2).alias("reconnect_count"),
-        (key % 3).alias("dropped_count"),
-    )
-    received = F.coalesce("samples_received", F.lit(0))
-    repeated = F.coalesce("duplicate_count", F.lit(0))
-    return _conform(
-        named.join(counts, "task_id", "left")
-        .withColumn("samples_written", received - repeated)
-        .withColumn("samples_received", received)
-        .withColumn("duplicate_count", repeated),
-        "acquisition_task",
+    named = given(spark, sf_dir, "nation").withColumnRenamed("n_nationkey", "task_id")
+    rows = named.join(counts, "task_id", "left").selectExpr(
+        "task_id", "n_regionkey AS plant_id", "'TASK-' || n_name AS name",
+        "CASE task_id % 7 WHEN 5 THEN 'opc.tcp://user:secret@sim:4840' WHEN 6 THEN 'http://sim:4840' "
+        "WHEN 4 THEN 'opc.tcp://other:4840' ELSE 'opc.tcp://sim:4840' END AS endpoint_url",
+        "50 + 50 * (task_id % 4) AS publishing_interval_ms", "100 AS batch_size",
+        "1 + task_id % 40 * 2 AS reconnect_delay_seconds", "30 AS max_reconnect_delay_seconds",
+        "IF(task_id % 6 = 5, 'stopped', 'running') AS desired_state",
+        "CASE WHEN task_id % 4 = 3 THEN 'error' WHEN task_id % 6 = 5 THEN 'stopped' "
+        "ELSE 'connected' END AS connection_state",
+        "last_sample_at",
+        f"timestampadd(SECOND, -7 * task_id, TIMESTAMP '{AS_OF.isoformat()}') AS worker_heartbeat_at",
+        "task_id % 5 AS error_count", "task_id % 2 AS reconnect_count",
+        "coalesce(received, 0) AS samples_received",
+        "coalesce(received - repeated, 0) AS samples_written",
+        "coalesce(repeated, 0) AS duplicate_count", "task_id % 3 AS dropped_count",
     )
+    return _conform(rows, "acquisition_task")
 
 
 def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    key = F.col("c_custkey")
-    return _conform(
-        given(spark, sf_dir, "customer").select(
-            _line_of(key).alias("task_id"),
-            key.alias("tag_id"),
-            F.concat(F.lit("ns=2;s="), "c_name").alias("node_id"),
-            (key % 7 != 0).alias("is_enabled"),
-        ),
-        "acquisition_node",
+    rows = given(spark, sf_dir, "customer").selectExpr(
+        LINE_OF_TAG.format(tag="c_custkey") + " AS task_id", "c_custkey AS tag_id",
+        "'ns=2;s=' || c_name AS node_id", "c_custkey % 7 <> 0 AS is_enabled",
     )
+    return _conform(rows, "acquisition_node")
 
 
 def batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = (
         samples(spark, sf_dir)
-        .where(F.col("source_type") == "file")
+        .where("source_type = 'file'")
         .groupBy(F.col("import_batch_id").alias("batch_id"))
-        .agg(F.count("*").alias("accepted_rows"), F.count_if(~F.col("is_good")).alias("warning_rows"))
-    )
-    issues = issue_rows(spark, sf_dir).groupBy("batch_id").agg(F.count("*").alias("issue_count"))
-    batch = F.col("batch_id")
-    accepted = F.coalesce("accepted_rows", F.lit(0))
-    named = (
-        given(spark, sf_dir, "nation")
-        .select("n_nationkey", "n_regionkey", "n_name", F.explode(F.sequence(F.lit(0), F.lit(1))).alias("k"))
-        .withColumn("batch_id", (F.col("n_nationkey") * 2 + F.col("k")).cast("long"))
+        .agg(
+            F.expr("count(*) AS accepted"), F.expr("count_if(NOT is_good) AS warned"),
+            F.expr("count_if(NOT is_good OR coalesce(numeric_value > 200, false)) AS reported"),
+        )
     )
-    return _conform(
-        named.join(counts, "batch_id", "left")
-        .join(issues, "batch_id", "left")
-        .select(
-            batch,
-            F.col("n_regionkey").alias("plant_id"),
-            F.when((F.col("k") == 1) & (F.col("n_nationkey") % 2 == 0), batch - 1)
-            .alias("duplicate_of_id"),
-            F.concat(F.lit("import_"), batch.cast("string"),
-                     F.when(batch % 3 == 0, F.lit(".xlsx")).otherwise(F.lit(".csv")))
-            .alias("original_filename"),
-            F.when(batch % 3 == 0, "xlsx").otherwise("csv").alias("file_format"),
-            (1000 + batch).alias("file_size_bytes"),
-            F.sha2(F.concat("n_name", F.when(F.col("n_nationkey") % 2 == 1, F.col("k").cast("string"))
-                            .otherwise(F.lit(""))), 256).alias("file_sha256"),
-            F.when((F.col("k") == 1) & (F.col("n_nationkey") % 2 == 0), "duplicate")
-            .when(batch % 8 == 5, "failed").when(batch % 8 == 6, "processing")
-            .otherwise("completed").alias("status"),
-            (accepted + batch % 7).alias("total_rows"),
-            accepted.alias("accepted_rows"),
-            (batch % 7).alias("rejected_rows"),
-            (batch % 3).alias("duplicate_rows"),
-            F.coalesce("warning_rows", F.lit(0)).alias("warning_rows"),
-            F.coalesce("issue_count", F.lit(0)).alias("issue_count"),
-            F.coalesce("issue_count", F.lit(0)).alias("stored_issue_count"),
-            F.lit(False).alias("issues_truncated"),
-            F.timestamp_add("HOUR", batch, F.lit(dt.datetime(2024, 1, 1, tzinfo=dt.UTC)))
-            .alias("created_at"),
-        ),
-        "import_batch",
+    named = given(spark, sf_dir, "nation").selectExpr(
+        "n_nationkey", "n_regionkey", "n_name", "explode(array(0, 1)) AS k"
+    ).selectExpr("*", "CAST(n_nationkey * 2 + k AS LONG) AS batch_id")
+    copy = "k = 1 AND n_nationkey % 2 = 0"
+    rows = named.join(counts, "batch_id", "left").selectExpr(
+        "batch_id", "n_regionkey AS plant_id", f"IF({copy}, batch_id - 1, NULL) AS duplicate_of_id",
+        "'import_' || batch_id || IF(batch_id % 3 = 0, '.xlsx', '.csv') AS original_filename",
+        "IF(batch_id % 3 = 0, 'xlsx', 'csv') AS file_format", "1000 + batch_id AS file_size_bytes",
+        "sha2(n_name || IF(n_nationkey % 2 = 1, CAST(k AS STRING), ''), 256) AS file_sha256",
+        f"CASE WHEN {copy} THEN 'duplicate' WHEN batch_id % 8 = 5 THEN 'failed' "
+        "WHEN batch_id % 8 = 6 THEN 'processing' ELSE 'completed' END AS status",
+        "coalesce(accepted, 0) + batch_id % 7 AS total_rows", "coalesce(accepted, 0) AS accepted_rows",
+        "batch_id % 7 AS rejected_rows", "batch_id % 3 AS duplicate_rows",
+        "coalesce(warned, 0) AS warning_rows", "coalesce(reported, 0) AS issue_count",
+        "coalesce(reported, 0) AS stored_issue_count", "false AS issues_truncated",
+        "timestampadd(HOUR, batch_id, TIMESTAMP '2024-01-01T00:00:00Z') AS created_at",
     )
+    return _conform(rows, "import_batch")
 
 
 def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    attempt = F.explode(F.sequence(F.lit(0), (F.col("n_nationkey") % 3).cast("int")))
-    base = given(spark, sf_dir, "nation").select("n_nationkey", attempt.alias("attempt"))
-    return _conform(
-        base.select(
-            (F.col("n_nationkey") * 10 + F.col("attempt")).alias("job_id"),
-            (F.col("n_nationkey") * 2).alias("batch_id"),
-            F.when(F.col("attempt") == F.col("n_nationkey") % 3, "completed").otherwise("failed")
-            .alias("status"),
-            # The last two attempts share an instant, so that the id decides.
-            F.timestamp_add("MINUTE", F.least("attempt", F.lit(1)),
-                            F.lit(dt.datetime(2024, 1, 2, tzinfo=dt.UTC))).alias("created_at"),
-        ),
-        "import_job",
+    attempts = given(spark, sf_dir, "nation").selectExpr(
+        "n_nationkey", "explode(sequence(0, n_nationkey % 3)) AS attempt"
     )
+    # The last two attempts share an instant, so that the id decides.
+    rows = attempts.selectExpr(
+        "n_nationkey * 10 + attempt AS job_id", "n_nationkey * 2 AS batch_id",
+        "IF(attempt = n_nationkey % 3, 'completed', 'failed') AS status",
+        "timestampadd(MINUTE, least(attempt, 1), TIMESTAMP '2024-01-02T00:00:00Z') AS created_at",
+    )
+    return _conform(rows, "import_job")
 
 
 def field_mappings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = F.explode(
-        F.array(
-            *[
-                F.struct(F.lit(t).alias("target_field"), F.lit(s).alias("source_column"))
-                for t, s in (
-                    ("timestamp_column", "time"), ("tag_code_column", "tag_code"), ("value_column", "value"),
-                )
-            ]
-        )
+    rows = given(spark, sf_dir, "nation").selectExpr(
+        "n_nationkey * 2 AS batch_id",
+        "stack(3, 'timestamp_column', 'time', 'tag_code_column', 'tag', 'value_column', 'value') "
+        "AS (target_field, source_column)",
     )
-    base = given(spark, sf_dir, "nation").select(
-        (F.col("n_nationkey") * 2).alias("batch_id"), pairs.alias("p")
-    )
-    return _conform(base.select("batch_id", "p.*"), "import_field_mapping")
+    return _conform(rows, "import_field_mapping")
 
 
 def issue_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stored = samples(spark, sf_dir).where(F.col("source_type") == "file")
-    bad = ~F.col("is_good")
-    over = F.coalesce(F.col("numeric_value") > 200, F.lit(False))
-    return _conform(
-        stored.where(bad | over).select(
-            "id",
-            F.col("import_batch_id").alias("batch_id"),
-            (F.col("id") + 2).alias("row_number"),
-            F.when(bad, "bad_quality").otherwise("out_of_range").alias("issue_type"),
-            F.when(bad, "warning").otherwise("error").alias("severity"),
-            F.when(bad, "quality").otherwise("value").alias("field_name"),
-            F.when(bad, F.col("status_code")).otherwise(F.col("value")).alias("raw_value"),
-            F.concat(F.lit("tag "), F.col("tag_id").cast("string")).alias("message"),
-        ),
-        "data_quality_issue",
+    stored = samples(spark, sf_dir).where(
+        "source_type = 'file' AND (NOT is_good OR coalesce(numeric_value > 200, false))"
+    )
+    rows = stored.selectExpr(
+        "id", "import_batch_id AS batch_id", "id + 2 AS row_number",
+        "IF(is_good, 'out_of_range', 'bad_quality') AS issue_type",
+        "IF(is_good, 'error', 'warning') AS severity", "IF(is_good, 'value', 'quality') AS field_name",
+        "IF(is_good, value, status_code) AS raw_value", "'tag ' || tag_id AS message",
     )
+    return _conform(rows, "data_quality_issue")
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vectors = given(spark, sf_dir, "embeddings").select(
-        F.col("vec_id").alias("document_id"), F.col("embedding").alias("vector")
-    )
-    return _conform(
-        given(spark, sf_dir, "documents")
-        .select(
-            F.col("doc_id").alias("document_id"),
-            (F.substring("source", 4, 9).cast("long") % 5).alias("plant_id"),
-            F.concat("source", F.lit("-"), F.col("doc_id").cast("string")).alias("title"),
-            F.col("text").alias("content"),
-            (1 + F.col("doc_id") % 3).alias("version"),
-            F.sha2("text", 256).alias("content_sha256"),
-        )
-        .join(vectors, "document_id", "left"),
-        "knowledge_document",
+    vectors = given(spark, sf_dir, "embeddings").selectExpr("vec_id AS document_id", "embedding AS vector")
+    rows = given(spark, sf_dir, "documents").selectExpr(
+        "doc_id AS document_id", "CAST(substring(source, 4) AS LONG) % 5 AS plant_id",
+        "source || '-' || doc_id AS title", "text AS content", "1 + doc_id % 3 AS version",
+        "sha2(text, 256) AS content_sha256",
     )
+    return _conform(rows.join(vectors, "document_id", "left"), "knowledge_document")
 
 
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One retrieval question per benchmark passage, asked in the plant of a document."""
-    asked = given(spark, sf_dir, "benchmark").select(
-        F.col("item_id").alias("query_id"), F.col("text").alias("query")
+    asked = given(spark, sf_dir, "benchmark").selectExpr("item_id AS query_id", "text AS query")
+    placed = given(spark, sf_dir, "documents").selectExpr(
+        "doc_id AS query_id", "CAST(substring(source, 4) AS LONG) % 5 AS plant_id"
     )
-    placed = given(spark, sf_dir, "documents").select(
-        F.col("doc_id").alias("query_id"),
-        (F.substring("source", 4, 9).cast("long") % 5).alias("plant_id"),
-    )
-    vectors = given(spark, sf_dir, "embeddings").select(
-        F.col("vec_id").alias("query_id"), F.col("embedding").cast("array<double>").alias("vector")
+    vectors = given(spark, sf_dir, "embeddings").selectExpr(
+        "vec_id AS query_id", "CAST(embedding AS ARRAY<DOUBLE>) AS vector"
     )
     return asked.join(placed, "query_id").join(vectors, "query_id", "left")
 
 
 def users(spark: SparkSession, sf_dir: str) -> DataFrame:
-    key = F.col("s_suppkey")
-    return normalise_roles(
-        _conform(
-            given(spark, sf_dir, "supplier").select(
-                key.alias("user_id"),
-                F.when(key % 10 == 0, "admin").when(key % 2 == 0, "engineer").otherwise("observer")
-                .alias("role"),
-                (key % 25 == 1).alias("is_superuser"),
-                (key % 13 != 7).alias("is_active"),
-            ),
-            "user",
-        )
+    rows = given(spark, sf_dir, "supplier").selectExpr(
+        "s_suppkey AS user_id",
+        "CASE WHEN s_suppkey % 10 = 0 THEN 'admin' WHEN s_suppkey % 2 = 0 THEN 'engineer' "
+        "ELSE 'observer' END AS role",
+        "s_suppkey % 25 = 1 AS is_superuser", "s_suppkey % 13 <> 7 AS is_active",
     )
+    return normalise_roles(_conform(rows, "user"))
 
 
 def grants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One plant for each user, and the next plant as well for every third user."""
-    key, nation = F.col("s_suppkey"), F.col("s_nationkey")
-    granted = F.when(key % 3 == 0, F.array(nation % 5, (nation + 1) % 5)).otherwise(F.array(nation % 5))
-    return _conform(
-        given(spark, sf_dir, "supplier").select(
-            key.alias("user_id"), F.explode(granted).alias("plant_id")
-        ),
-        "user_plant_access",
+    rows = given(spark, sf_dir, "supplier").selectExpr(
+        "s_suppkey AS user_id",
+        "explode(IF(s_suppkey % 3 = 0, array(s_nationkey % 5, (s_nationkey + 1) % 5), "
+        "array(s_nationkey % 5))) AS plant_id",
     )
+    return _conform(rows, "user_plant_access")
 
 
 def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    conv = F.col("conv_id")
-    return _conform(
-        given(spark, sf_dir, "conversations").where(F.col("role") == "assistant").select(
-            (conv * 100 + F.col("turn")).alias("run_id"),
-            (conv % 20).alias("user_id"),
-            (conv % 5).alias("plant_id"),
-            F.when(F.length("text") % 5 == 0, "failed").otherwise("answered").alias("status"),
-            F.timestamp_add("SECOND", -(conv % 120), as_of()).alias("created_at"),
-        ),
-        "assistant_run",
+    rows = given(spark, sf_dir, "conversations").where("role = 'assistant'").selectExpr(
+        "conv_id * 100 + turn AS run_id", "conv_id % 20 AS user_id", "conv_id % 5 AS plant_id",
+        "IF(length(text) % 5 = 0, 'failed', 'answered') AS status",
+        f"timestampadd(SECOND, -(conv_id % 120), TIMESTAMP '{AS_OF.isoformat()}') AS created_at",
     )
+    return _conform(rows, "assistant_run")
 
 
 def bind(spark: SparkSession, sf_dir: str) -> Tables:
     """Every stored table, derived lazily from the given ones."""
+    derived = {
+        "plant": plants, "production_line": lines, "device": devices, "tag": tags,
+        "acquisition_task": tasks, "acquisition_node": nodes, "tag_sample": samples,
+        "import_batch": batches, "import_job": jobs, "import_field_mapping": field_mappings,
+        "data_quality_issue": issue_rows, "knowledge_document": documents, "user": users,
+        "user_plant_access": grants, "assistant_run": runs,
+    }
+    openers = {name: partial(derive, spark, sf_dir) for name, derive in derived.items()}
     return Tables(
-        plant=plants(spark, sf_dir),
-        production_line=lines(spark, sf_dir),
-        device=devices(spark, sf_dir),
-        tag=tags(spark, sf_dir),
-        acquisition_task=tasks(spark, sf_dir),
-        acquisition_node=nodes(spark, sf_dir),
-        tag_sample=samples(spark, sf_dir),
-        import_batch=batches(spark, sf_dir),
-        import_job=jobs(spark, sf_dir),
-        import_field_mapping=field_mappings(spark, sf_dir),
-        data_quality_issue=issue_rows(spark, sf_dir),
-        knowledge_document=documents(spark, sf_dir),
-        user=users(spark, sf_dir),
-        user_plant_access=grants(spark, sf_dir),
-        assistant_run=runs(spark, sf_dir),
-        retention_preview=empty_table(spark, "retention_preview"),
+        {**openers, "retention_preview": partial(empty_table, spark, "retention_preview")}
     )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, fields
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -72,29 +72,30 @@ PARENT_FIRST = (
 )
 
 
-@dataclass(frozen=True)
 class Tables:
-    """One DataFrame per stored table."""
-
-    plant: DataFrame
-    production_line: DataFrame
-    device: DataFrame
-    tag: DataFrame
-    acquisition_task: DataFrame
-    acquisition_node: DataFrame
-    tag_sample: DataFrame
-    import_batch: DataFrame
-    import_job: DataFrame
-    import_field_mapping: DataFrame
-    data_quality_issue: DataFrame
-    knowledge_document: DataFrame
-    user: DataFrame
-    user_plant_access: DataFrame
-    assistant_run: DataFrame
-    retention_preview: DataFrame
+    """The stored tables by attribute; each is opened when it is first used."""
+
+    def __init__(self, openers: Mapping[str, Callable[[], DataFrame]]) -> None:
+        unknown = set(openers) - set(SCHEMAS)
+        if unknown:
+            raise ValueError(f"unknown tables: {sorted(unknown)}")
+        self._openers = dict(openers)
+
+    def __getattr__(self, name: str) -> DataFrame:
+        openers = self.__dict__.get("_openers", {})
+        if name not in openers:
+            raise AttributeError(name)
+        opened = openers[name]()
+        self.__dict__[name] = opened
+        return opened
 
     def as_dict(self) -> dict[str, DataFrame]:
-        return {f.name: getattr(self, f.name) for f in fields(self)}
+        return {name: getattr(self, name) for name in self._openers}
+
+    def replaced(self, **tables: DataFrame) -> Tables:
+        """The same tables with some of them exchanged."""
+        changed = {name: (lambda df=df: df) for name, df in tables.items()}
+        return Tables({**self._openers, **changed})
 
 
 def empty_table(spark: SparkSession, name: str) -> DataFrame:
@@ -115,12 +116,11 @@ def load_tables(spark: SparkSession, root: str) -> Tables:
     Declaring the schema saves the inference job, and makes a scan of a wide archive
     read the named columns only.
     """
-    loaded = {
-        name: spark.read.schema(ddl).parquet(f"{root.rstrip('/')}/{name}")
-        for name, ddl in SCHEMAS.items()
-    }
-    loaded["user"] = normalise_roles(loaded["user"])
-    return Tables(**loaded)
+    def opener(name: str) -> Callable[[], DataFrame]:
+        return lambda: spark.read.schema(SCHEMAS[name]).parquet(f"{root.rstrip('/')}/{name}")
+
+    openers = {name: opener(name) for name in SCHEMAS}
+    return Tables({**openers, "user": lambda: normalise_roles(openers["user"]())})
 
 
 def write_samples(samples: DataFrame, path: str, mode: str = "append") -> None:

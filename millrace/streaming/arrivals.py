@@ -86,7 +86,7 @@ class Arrivals:
         stored = self._partitions("samples")
         if stored is None:
             stored = empty_table(self.spark, "tag_sample")
-        tables = Tables(**{**self.tables.as_dict(), "tag_sample": stored})
+        tables = self.tables.replaced(tag_sample=stored)
         result = process(self.spark, raw, self.mapping, tables, self.samples_path)
         result.counters.write.mode("overwrite").parquet(f"{self.root}/counters/micro_batch={micro_batch}")
         result.issues.write.mode("overwrite").parquet(f"{self.root}/issues/micro_batch={micro_batch}")
