@@ -285,10 +285,10 @@ RETRIEVAL = {
         JOIN query_length l ON l.query_id = q.query_id
         GROUP BY q.query_id, p.evidence_id, p.document_id""",
     "semantic_score": """SELECT q.query_id, c.evidence_id, c.document_id,
-        round(list_cosine_similarity(q.vector, c.vector), 4) AS semantic
+        round_even(list_cosine_similarity(q.vector, c.vector), 4) AS semantic
         FROM question q JOIN chunk c ON c.plant_id = q.plant_id
         WHERE q.vector IS NOT NULL AND c.vector IS NOT NULL
-          AND round(list_cosine_similarity(q.vector, c.vector), 4) >= 0.5""",
+          AND round_even(list_cosine_similarity(q.vector, c.vector), 4) >= 0.5""",
 }
 
 
@@ -313,8 +313,8 @@ def _evidence(strategy: str) -> dict[str, str]:
         "capped": """SELECT *, row_number() OVER (PARTITION BY query_id, document_id
             ORDER BY score DESC, evidence_id) AS nth FROM fused""",
         "evidence": """SELECT e.query_id, e.rank, e.evidence_id, e.document_id, c.title, c."start", c."end",
-            round(lexical, 4) AS lexical_score, semantic AS semantic_score, round(bm25, 4) AS bm25_score,
-            round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id
+            round_even(lexical, 4) AS lexical_score, semantic AS semantic_score, round_even(bm25, 4) AS bm25_score,
+            round_even(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id
               ORDER BY score DESC, evidence_id) AS rank FROM capped WHERE nth <= 2) e
             JOIN chunk c USING (evidence_id) WHERE e.rank <= 5""",
     }
