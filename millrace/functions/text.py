@@ -42,6 +42,9 @@ def _ascii_foldings() -> dict[str, str]:
 
 
 _FOLDINGS = _ascii_foldings()
+_FOLDING_PAIRS = "array({})".format(
+    ", ".join(f"struct('{c}' AS char, '{f}' AS folded)" for c, f in _FOLDINGS.items())
+)
 _FOLDING_CLASS = "[" + "".join(_FOLDINGS) + "]"
 
 
@@ -52,11 +55,8 @@ def fold(col: Column) -> Column:
     only on text that has such a letter.
     """
     lowered = F.lower(col)
-    pairs = F.array(
-        *[F.struct(F.lit(c).alias("char"), F.lit(f).alias("folded")) for c, f in _FOLDINGS.items()]
-    )
     expanded = F.aggregate(
-        pairs, lowered, lambda text, pair: F.replace(text, pair["char"], pair["folded"])
+        F.expr(_FOLDING_PAIRS), lowered, lambda text, pair: F.replace(text, pair["char"], pair["folded"])
     )
     return F.when(lowered.rlike(_FOLDING_CLASS), expanded).otherwise(lowered)
 

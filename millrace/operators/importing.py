@@ -22,6 +22,9 @@ from millrace.sources.tables import Tables
 
 ROW_KEYS = ("batch_id", "source_row")
 CELL_KEYS = ("batch_id", "source_row", "position")
+# More than the 500 measurement columns that a wide mapping may have.
+MAX_WIDE_COLUMNS = 500
+_POSITIONS = 1_024
 
 # Rules in the order in which a measurement is tested; the first broken one counts.
 DUPLICATE_RULES = ("duplicate_in_file", "duplicate_existing")
@@ -81,6 +84,8 @@ class ImportMapping:
                 raise ValueError("a wide mapping takes its tags from the wide columns only")
             if not self.wide_columns:
                 raise ValueError("a wide mapping needs at least one measurement column")
+            if len(self.wide_columns) > MAX_WIDE_COLUMNS:
+                raise ValueError(f"a wide mapping has at most {MAX_WIDE_COLUMNS} columns")
             names = [w.source_column for w in self.wide_columns]
             if len(set(names)) != len(names):
                 raise ValueError("a wide mapping may use each source column once")
@@ -161,7 +166,9 @@ def source_measurements(raw: DataFrame, mapping: ImportMapping) -> DataFrame:
             )
             for w in mapping.wide_columns
         ]
-    row = raw.select(
+    # Spread by the rows' own key: it evens out files of any size before the costly
+    # parsing, and is the partitioning that the duplicate marks are joined on later.
+    row = raw.repartition(*ROW_KEYS).select(
         *ROW_KEYS, "plant_id",
         cell(mapping.timestamp_column).alias("timestamp_raw"),
         cell(mapping.quality_column).alias("quality_raw"),
@@ -302,33 +309,48 @@ def mark_duplicates(checked: DataFrame, stored: DataFrame) -> DataFrame:
     count as stored in the order of their ids.
     """
     key = ["tag_id", "source_timestamp"]
-    order = F.struct("source_row", "position")
+    # Row and position in one long keep the aggregate's buffer fixed, hence hashed.
+    place = F.col("source_row") * _POSITIONS + F.col("position")
     passed = checked.where(F.col("_rule").isNull())
-    firsts = passed.groupBy("batch_id", *key).agg(F.min(order).alias("_first"))
+    firsts = passed.groupBy("batch_id", *key).agg(F.min(place).alias("_first"))
     known = stored.select(*key).distinct().withColumn("_known", F.lit(True))
     earliest = F.min("batch_id").over(W.partitionBy(*key))
+    # One map per source row, from the position to whether the key is stored already. A
+    # row has at most as many positions as its file has columns.
+    stored_mark = F.struct(
+        (F.col("_first") % _POSITIONS).cast("int").alias("key"),
+        (F.col("_earlier") | F.col("_known").isNotNull()).alias("value"),
+    )
     winners = (
         firsts.withColumn("_earlier", earliest < F.col("batch_id"))
         .join(known, key, "left")
-        .select("batch_id", "_first.*", (F.col("_earlier") | F.col("_known").isNotNull()).alias("_stored"))
+        .groupBy("batch_id", F.expr(f"_first div {_POSITIONS}").alias("source_row"))
+        .agg(F.map_from_entries(F.collect_list(stored_mark)).alias("_marks"))
     )
     duplicate = F.when(F.col("_stored").isNull(), "duplicate_in_file").when(
         F.col("_stored"), "duplicate_existing"
     )
     rule = F.coalesce("_rule", duplicate)
     return (
-        checked.join(winners, list(CELL_KEYS), "left")
+        checked.join(winners, list(ROW_KEYS), "left")
+        .withColumn("_stored", F.try_element_at("_marks", F.col("position")))
         .withColumn("rule", rule)
         .withColumn("message", F.coalesce("_message", lookup(MESSAGES, F.col("rule"))))
         .withColumn("issue_type", F.coalesce(lookup(_ISSUE_OF_RULE, F.col("rule")), F.col("rule")))
-        .drop("_stored", "_rule", "_message")
+        .drop("_stored", "_marks", "_rule", "_message")
     )
 
 
 def classify(raw: DataFrame, mapping: ImportMapping, t: Tables, stored: DataFrame) -> DataFrame:
-    """Every measurement of the files with its ``issue_type``, null when accepted."""
-    checked = check_cells(resolve_tags(source_measurements(raw, mapping), t))
-    return mark_duplicates(checked, stored)
+    """Every measurement of the files with its ``rule`` and ``issue_type``, null when accepted.
+
+    Staged twice in the shared folder: the cells are parsed once, though the search for
+    duplicates reads them twice, and the verdicts serve all reports.
+    """
+    cells = check_cells(resolve_tags(source_measurements(raw, mapping), t))
+    checked = staged(cells, "import-checked")
+    passed = checked.where(F.col("_rule").isNull())
+    return staged(mark_duplicates(checked, within_bounds(stored, passed)), "import-classified")
 
 
 def accepted_samples(classified: DataFrame, received_at: Column) -> DataFrame:
@@ -454,25 +476,16 @@ def process(
 ) -> ImportResult:
     """Import the files in ``raw`` and publish each batch as a whole.
 
-    The checked measurements are staged once, in the shared folder. Samples go to one
-    partition per batch with dynamic overwrite: a failed run publishes nothing, and a
-    repeated run replaces its own batches instead of adding to them.
+    Samples go to one partition per batch with dynamic overwrite: a failed run publishes
+    nothing, and a repeated run replaces its own batches instead of adding to them.
     """
     if received_at is None:
         received_at = F.current_timestamp()
-    checked = staged(
-        check_cells(resolve_tags(source_measurements(raw, mapping), t)), "import-checked"
-    )
-
     stored = existing_keys(t.tag_sample)
     if "import_batch_id" in t.tag_sample.columns:
-        own = checked.select(F.col("batch_id").alias("import_batch_id")).distinct()
-        others = t.tag_sample.join(own, "import_batch_id", "left_anti")
-        stored = existing_keys(others)
-    passed = checked.where(F.col("_rule").isNull())
-    classified = staged(
-        mark_duplicates(checked, within_bounds(stored, passed)), "import-classified"
-    )
+        own = raw.select(F.col("batch_id").alias("import_batch_id")).distinct()
+        stored = existing_keys(t.tag_sample.join(own, "import_batch_id", "left_anti"))
+    classified = classify(raw, mapping, t, stored)
 
     accepted_samples(classified, received_at).write.mode("overwrite").option(
         "partitionOverwriteMode", "dynamic"

@@ -21,7 +21,7 @@ from pyspark.sql import Window as W
 from millrace.functions import fixed_values as fixed
 from millrace.functions import terms
 from millrace.functions.text import let
-from millrace.operators.running import bounded_broadcast, exact_rank, first_rows
+from millrace.operators.running import bounded_broadcast, exact_rank, first_rows, spread_small
 from millrace.session import staged
 
 VECTOR_BLOCK = 1_024
@@ -56,7 +56,7 @@ def bags(chunked: DataFrame) -> DataFrame:
 
 def index(documents: DataFrame) -> DataFrame:
     """The chunk index of a corpus, staged in the shared folder."""
-    return staged(bags(chunks(documents)), "chunk-index")
+    return staged(bags(spread_small(chunks(documents))), "chunk-index")
 
 
 def plant_statistics(bagged: DataFrame) -> DataFrame:
