@@ -1,7 +1,7 @@
 """Time the headline queries and print one JSON line.
 
 ``BENCH_SF_DIR`` names the tables and ``BENCH_CPUS`` the cores. Each query runs once to
-warm up and then three times; the median counts. Results go to a sink that keeps nothing.
+warm up and then twice; the mean of the two counts. Results go to a sink that keeps nothing.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ HEADLINES = (
     "import_from_files", "retention_preview", "integrity_audit", "bm25_top5", "hybrid_top5",
     "stream_dedup_counters",
 )
-RUNS = 3
+RUNS = 2
 
 
 def session(cpus: str) -> SparkSession:

@@ -16,17 +16,32 @@ _TIME_PATTERN = (
     r"(?:[^0-9]([01]\d|2[0-3])(?:(:?)([0-5]\d)(?:\6([0-5]\d)(?:[.,](\d+))?)?)?"
     r"(Z|[+-](?:[01]\d|2[0-3])(?::?[0-5]\d)?)?)?$"
 )
+# The usual spelling, which Spark's own cast reads the same way.
+_PLAIN_TIME = (
+    r"^(?!0000)\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}(?:\.\d{1,6})?(?:Z|[+-](?:0\d|1[0-7]):[0-5]\d)?$"
+)
 _MARK = "\u0001"
 _GROUPS = _MARK.join(f"${n}" for n in (1, 3, 4, 5, 7, 8, 9, 10))
 
 
-def timestamp_parts(col: Column) -> Column:
+def plain_timestamp(text: Column, zone: str = fixed.DEFAULT_ZONE) -> Column:
+    """Trimmed text in the usual spelling as an instant, null for any other text.
+
+    Costs one pattern without groups and one cast, and covers nearly all rows.
+    """
+    has_zone = F.endswith(text, F.lit("Z")) | F.substring(text, -6, 1).isin("+", "-")
+    instant = F.when(has_zone, text.try_cast("timestamp")).otherwise(
+        F.to_utc_timestamp(F.concat(text, F.lit("Z")).try_cast("timestamp"), zone)
+    )
+    return F.when(text.rlike(_PLAIN_TIME), instant)
+
+
+def timestamp_parts(text: Column) -> Column:
     """Split ISO 8601 text into its eight groups; any other text gives another size.
 
     The text is rebuilt rather than cast as it stands: Spark's cast accepts bare years
     and times, and refuses compact dates.
     """
-    text = clean(col)
     return F.when(
         ~F.contains(text, F.lit(_MARK)),
         F.split(F.regexp_replace(text, _TIME_PATTERN, _GROUPS), _MARK),
@@ -44,19 +59,26 @@ def timestamp_from_parts(parts: Column, zone: str = fixed.DEFAULT_ZONE) -> Colum
     stamp = F.concat(
         part(0), F.lit("-"), part(1), F.lit("-"), part(2), F.lit(" "),
         part(3), F.lit(":"), part(4), F.lit(":"), part(5), F.lit("."),
-        F.substring(part(6), 1, 6),
-        F.when(offset == "", F.lit(zone)).otherwise(F.lit("Z")),
+        F.substring(part(6), 1, 6), F.lit("Z"),
     ).try_cast("timestamp")
     hours = F.coalesce(F.substring(offset, 2, 2).try_cast("int"), F.lit(0))
     minutes = F.when(F.length(offset) > 3, F.right(offset, F.lit(2)).try_cast("int")).otherwise(0)
     sign = F.when(F.startswith(offset, F.lit("-")), F.lit(60)).otherwise(F.lit(-60))
-    instant = F.timestamp_add("SECOND", sign * (hours * 60 + minutes), stamp)
+    instant = F.when(offset == "", F.to_utc_timestamp(stamp, zone)).otherwise(
+        F.timestamp_add("SECOND", sign * (hours * 60 + minutes), stamp)
+    )
     return F.when((F.size(parts) == 8) & (part(0) != "0000"), instant)
 
 
 def parse_timestamp(col: Column, zone: str = fixed.DEFAULT_ZONE) -> Column:
-    """ISO 8601 text to an instant, null when invalid."""
-    return let(timestamp_parts(col), lambda parts: timestamp_from_parts(parts, zone))
+    """ISO 8601 text to an instant, null when invalid; all steps in one expression."""
+    return let(
+        clean(col),
+        lambda text: F.coalesce(
+            plain_timestamp(text, zone),
+            let(timestamp_parts(text), lambda parts: timestamp_from_parts(parts, zone)),
+        ),
+    )
 
 
 def finite_number(text: Column) -> Column:

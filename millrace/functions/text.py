@@ -30,35 +30,17 @@ def raw_text(col: Column) -> Column:
     return F.substring(col, 1, fixed.RAW_TEXT_LIMIT)
 
 
-def _ascii_foldings() -> dict[str, str]:
-    """Characters whose full case folding yields ASCII that ``lower`` does not give."""
-    found = {}
-    for point in range(0x80, 0x10000):
-        char = chr(point)
-        folded = char.casefold()
-        if folded != char.lower() and any(c.isascii() and c.isalnum() for c in folded):
-            found[char] = folded
-    return found
-
-
-_FOLDINGS = _ascii_foldings()
-_FOLDING_PAIRS = "array({})".format(
-    ", ".join(f"struct('{c}' AS char, '{f}' AS folded)" for c, f in _FOLDINGS.items())
-)
-_FOLDING_CLASS = "[" + "".join(_FOLDINGS) + "]"
-
-
 def fold(col: Column) -> Column:
-    """Lower case, plus the foldings that turn a letter into ASCII (as in ``ß``).
+    """Case folding: lower case, and letters like ``ß`` in full (``ss``).
 
-    The replacements are a fold over a literal array: one small expression, which runs
-    only on text that has such a letter.
+    Upper case spells such letters out, and lower case then folds them. The dotless i has
+    an ASCII upper case but no folding, so it steps aside in between, which also keeps the
+    optimizer from dropping the upper case. ASCII text skips all this.
     """
-    lowered = F.lower(col)
-    expanded = F.aggregate(
-        F.expr(_FOLDING_PAIRS), lowered, lambda text, pair: F.replace(text, pair["char"], pair["folded"])
+    spelled = F.upper(F.translate(F.lower(col), "ı", "\ue000"))
+    return F.when(F.octet_length(col) == F.length(col), F.lower(col)).otherwise(
+        F.lower(F.translate(spelled, "\ue000", "ı"))
     )
-    return F.when(lowered.rlike(_FOLDING_CLASS), expanded).otherwise(lowered)
 
 
 def contains_either(needle: str, *cols: Column) -> Column:

@@ -176,9 +176,13 @@ def source_measurements(raw: DataFrame, mapping: ImportMapping) -> DataFrame:
     )
     # Step by step, so that each text is matched once and not once for every use.
     parsed = (
-        row.withColumn("_parts", parsing.timestamp_parts(F.col("timestamp_raw")))
+        row.withColumn("_time", clean(F.col("timestamp_raw")))
         .withColumn("status_code", parsing.quality_status(F.col("quality_raw")))
-        .withColumn("source_timestamp", parsing.timestamp_from_parts(F.col("_parts")))
+        .withColumn("_plain", parsing.plain_timestamp(F.col("_time")))
+        .withColumn("_parts", F.when(F.col("_plain").isNull(), parsing.timestamp_parts(F.col("_time"))))
+        .withColumn(
+            "source_timestamp", F.coalesce("_plain", parsing.timestamp_from_parts(F.col("_parts")))
+        )
         .withColumn("is_good", parsing.is_good_status(F.col("status_code")))
     )
     return parsed.select(

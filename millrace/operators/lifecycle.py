@@ -12,11 +12,11 @@ from pyspark.sql import Window as W
 
 from millrace.functions import fixed_values as fixed
 from millrace.operators.assets import hierarchy
-from millrace.operators.running import bounded_broadcast, chunk_offsets
+from millrace.operators.running import chunk_offsets
+from millrace.session import staged
 from millrace.sources.tables import PARENT_FIRST, Tables
 
 _ID_SPAN = 65_536
-MAX_PREVIEWS = 10_000
 
 
 def retention_preview(
@@ -44,9 +44,8 @@ def retention_preview(
     border = spans.where((F.col("_before") <= limit) & (F.col("_before") + F.col("_total") > limit)).select(
         *keys, F.col("_chunk").alias("_border"), F.col("_before").alias("_taken")
     )
-    placed = old.withColumn("_span", span).join(
-        bounded_broadcast(border, MAX_PREVIEWS), keys, "left"
-    )
+    # Staged: one row per plant and source, and the plan sees its size.
+    placed = old.withColumn("_span", span).join(staged(border, "retention-border"), keys, "left")
     whole = placed.where(F.col("_border").isNull() | (F.col("_span") < F.col("_border")))
     place = F.row_number().over(W.partitionBy(*keys, "_span").orderBy("id"))
     cut = (

@@ -21,12 +21,14 @@ from pyspark.sql import Window as W
 from millrace.functions import fixed_values as fixed
 from millrace.functions import terms
 from millrace.functions.text import let
-from millrace.operators.running import bounded_broadcast, exact_rank, first_rows, spread_small
+from millrace.operators.running import SALTS, bounded_broadcast, exact_rank, first_rows, spread_small
 from millrace.session import staged
 
 VECTOR_BLOCK = 1_024
 # Terms of all questions that are broadcast: about 100 bytes each.
 BROADCAST_TERMS = 200_000
+# Blocks of question vectors that are broadcast: 8 MB each at 1,024 dimensions.
+BROADCAST_BLOCKS = 16
 
 
 def chunks(documents: DataFrame) -> DataFrame:
@@ -148,7 +150,15 @@ def semantic_pairs(queries: DataFrame, chunked: DataFrame, gate: float = fixed.S
         chunked, "evidence_id",
         evidence_ids="evidence_id", document_ids="document_id", chunk_vectors="vector",
     )
-    pairs = left.join(right, ["plant_id", "_width"]).drop("plant_id", "_width")
+    few = left.limit(BROADCAST_BLOCKS + 1).count() <= BROADCAST_BLOCKS
+    if few:
+        pairs = right.join(F.broadcast(left), ["plant_id", "_width"])
+    else:
+        # Every part of a plant's chunk blocks meets all question blocks of the plant.
+        parts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_part")
+        spread = right.withColumn("_part", F.pmod(F.xxhash64("evidence_ids"), F.lit(SALTS)).cast("int"))
+        pairs = spread.join(left.select("*", parts), ["plant_id", "_width", "_part"])
+    pairs = pairs.select("query_ids", "query_vectors", "evidence_ids", "document_ids", "chunk_vectors")
     types = {c: df.schema[c].dataType.simpleString() for df in (queries, chunked)
              for c in ("query_id", "document_id") if c in df.columns}
     schema = (

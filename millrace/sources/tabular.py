@@ -21,6 +21,7 @@ from pyspark.sql import Window as W
 from millrace.functions import fixed_values as fixed
 from millrace.functions.text import fold
 from millrace.operators.running import previous_marked
+from millrace.session import staged
 from millrace.sources import workbook
 
 PROFILE_SCHEMA = (
@@ -197,6 +198,9 @@ def _number_rows(rows: DataFrame) -> DataFrame:
     offsets = blocks.select(
         "path", "_block", "_start", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_before")
     )
+    # Staged, so that the plan knows how small the table of blocks is, and the files are not
+    # read again for it.
+    offsets = staged(offsets, "csv-blocks")
     # Data rows start at 2, below the header.
     number = F.col("_before") + F.col("_seen") - F.col("_start") + 2
     return rows.join(offsets, ["path", "_block"]).withColumn("source_row", number).drop(

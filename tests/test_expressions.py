@@ -1,6 +1,7 @@
 """Scalar expressions against fixed expectations."""
 
 import datetime as dt
+import re
 from zoneinfo import ZoneInfo
 
 import pytest
@@ -95,6 +96,17 @@ def test_search_expressions(spark):
     assert df.where(text.contains_folded(" STRASSE ", F.col("code"), F.col("name"))).count() == 1
 
 
+def test_folding_of_every_letter(spark):
+    """What is left of a folded letter for tokens and codes is the same as in Python."""
+    letters = [chr(p) for p in range(0x20, 0x10000) if chr(p).isalpha()]
+
+    def kept(value):
+        return re.findall("[a-z0-9_]+|[一-鿿]+", value)
+
+    folded = many(spark, letters, text.fold)
+    assert [c for c, f in zip(letters, folded, strict=True) if kept(f) != kept(c.casefold())] == []
+
+
 def test_age_text(spark):
     ages = [float("nan"), -6.0, -3.0, 12.34, 61.0, 3600.0, 90000.0]
     assert many(spark, ages, freshness.age_text, "DOUBLE") == [

@@ -86,6 +86,8 @@ def test_rankings_equal_brute_force(frames, strategy, broadcast, monkeypatch):
     """Both scoring paths: broadcast question terms, and candidates by selective terms."""
     if not broadcast:
         monkeypatch.setattr(retrieval, "BROADCAST_TERMS", 0)
+        monkeypatch.setattr(retrieval, "BROADCAST_BLOCKS", 0)
+        monkeypatch.setattr(retrieval, "VECTOR_BLOCK", 8)
     docs, asked = frames
     rows = retrieval.retrieve(docs, asked, strategy).orderBy("query_id", "rank").collect()
     for query in QUERIES:
