@@ -499,7 +499,7 @@ def chunk_documents(spark, sf_dir):
 @registered
 def document_frequencies(spark, sf_dir):
     docs = star.documents(spark, sf_dir).drop("vector")
-    return retrieval.document_frequency(retrieval.bags(retrieval.chunks(docs)))
+    return retrieval.document_frequency(retrieval.index(docs))
 
 
 def _retrieved(spark, sf_dir, strategy):
