@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -296,7 +296,3 @@ def guarded_states(events: DataFrame, tasks: DataFrame) -> DataFrame:
         F.count_if(admitted).alias("admitted_events"),
         F.count_if(~admitted).alias("rejected_events"),
     )
-
-
-def out_of_bounds(value: Column, bounds: tuple[int, int]) -> Column:
-    return ~F.coalesce(value.between(*bounds), F.lit(False))
