@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
 from millrace.functions import parsing
+from millrace.session import read_if_present
 
 NOTIFICATION_SCHEMA = (
     "task_id LONG, seq LONG, node_id STRING, value STRING, source_timestamp TIMESTAMP, "
@@ -67,19 +68,12 @@ class LiveStore:
     def counters_path(self) -> str:
         return f"{self.root}/counters"
 
-    def _read(self, path: str) -> DataFrame | None:
-        hadoop = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        system = hadoop.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        if not system.exists(hadoop) or not system.listStatus(hadoop):
-            return None
-        return self.spark.read.option("basePath", path).parquet(path)
-
     def samples(self) -> DataFrame | None:
-        return self._read(self.samples_path)
+        return read_if_present(self.spark, self.samples_path)
 
     def counters(self) -> DataFrame | None:
         """Running totals per task. The last sample never moves back in time."""
-        changes = self._read(self.counters_path)
+        changes = read_if_present(self.spark, self.counters_path)
         if changes is None:
             return None
         return changes.groupBy("task_id").agg(

@@ -10,6 +10,7 @@ from pyspark.sql.streaming.query import StreamingQuery
 
 from millrace.functions import fixed_values as fixed
 from millrace.operators.importing import ImportMapping, process
+from millrace.session import read_if_present
 from millrace.sources.tables import Tables, empty_table
 from millrace.sources.tabular import read_files
 
@@ -37,12 +38,7 @@ class Arrivals:
         return f"{self.root}/samples"
 
     def _partitions(self, name: str) -> DataFrame | None:
-        jvm, context = self.spark.sparkContext._jvm, self.spark.sparkContext
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-        system = path.getFileSystem(context._jsc.hadoopConfiguration())
-        if not system.exists(path):
-            return None
-        return self.spark.read.option("basePath", f"{self.root}/{name}").parquet(f"{self.root}/{name}")
+        return read_if_present(self.spark, f"{self.root}/{name}")
 
     def ledger(self) -> DataFrame | None:
         return self._partitions("ledger")
