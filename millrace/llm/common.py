@@ -37,6 +37,14 @@ def split_words(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").split() if text else []
 
 
+_SEPARATE = bytes.maketrans(bytes(range(33, 48)) + b":;<=>?@[\\]^_`{|}~", b" " * 32)
+
+
+def plain_words(text: str | None) -> list[bytes]:
+    """Lower-case words without ASCII punctuation."""
+    return text.lower().encode("utf-8", "replace").translate(_SEPARATE).split() if text else []
+
+
 def words(text: Column) -> Column:
     """The same words as an array column; null and blank texts give an empty array."""
     bare = F.btrim(F.coalesce(text, F.lit("")), F.lit(SPACE_CHARACTERS))

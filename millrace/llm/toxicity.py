@@ -24,6 +24,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.llm.common import plain_words, table
+
 WINDOW = 64
 STRIDE = 48
 HIDDEN = 8
@@ -37,13 +39,6 @@ MIN_STEPS = 240
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
-_SEPARATE = bytes.maketrans(bytes(range(33, 48)) + b":;<=>?@[\\]^_`{|}~", b" " * (15 + 7 + 6 + 4))
-
-
-def plain_words(text: str | None) -> list[bytes]:
-    """Lower-case words without ASCII punctuation."""
-    return text.lower().encode("utf-8", "replace").translate(_SEPARATE).split() if text else []
-
 
 def _scramble(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(29))) * _MIX
@@ -439,8 +434,6 @@ def held_out(id_column: str = "doc_id") -> Column:
 
 
 def op5_toxicity(spark, sf_dir: str) -> DataFrame:
-    from millrace.llm.common import table
-
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     net = fit(docs, labels.where(~held_out()))
     return scored(docs.select("doc_id", "text"), net).select(
