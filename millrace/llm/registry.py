@@ -6,15 +6,30 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import decontamination, minhash, mixing, repair, token_counts, toxicity
+from millrace.llm import (
+    decontamination,
+    minhash,
+    mixing,
+    quality,
+    repair,
+    substrings,
+    token_counts,
+    toxicity,
+    url_filter,
+    warc_zip,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality": quality.op1_quality,
     "op2_minhash": minhash.op2_minhash,
+    "op3_substrings": substrings.op3_substrings,
+    "op4_url_filter": url_filter.op4_url_filter,
     "op5_toxicity": toxicity.op5_toxicity,
     "op6_repair": repair.op6_repair,
     "op7_token_counts": token_counts.op7_token_counts,
     "op8_decontamination": decontamination.op8_decontamination,
     "op9_mixing": mixing.op9_mixing,
+    "op10_warc_zip": warc_zip.op10_warc_zip,
 }
 
-SQL: dict[str, str] = {**mixing.SQL}
+SQL: dict[str, str] = {**url_filter.SQL, **mixing.SQL, **warc_zip.SQL}
