@@ -10,8 +10,9 @@ probability of their (weighted) Jaccard similarity, and only about ``k log k`` d
 
 Bands of ``ROWS`` coordinates are join keys; texts of similarity 0.8 share none of ``BANDS`` with
 a probability of 4e-7. Copies with equal words count as one text. Within a bucket every text is
-compared with one centre first; then only texts that are still in different components meet,
-so that a group of thousands of copies costs a multiple of its size and not its square. All
+compared with one centre; then texts of buckets that still hold several components meet across
+these where a rare shingle near their front says that they can be similar (see :func:`apart`), so
+that a group of thousands of copies costs a multiple of its size and not its square. All
 comparisons are exact and no pair that could change a class is left out.
 
 Cases: null texts, and those without words, are like nothing and form classes of their own. Rows
@@ -169,6 +170,38 @@ def similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return both.where(shared >= similarity * (F.size("ea") + F.size("eb") - shared) - 1e-9).select("a", "b")
 
 
+def apart(members: DataFrame, labels: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Pairs across components that may still be similar, among texts of buckets with several.
+
+    Elements are put in one order, rare ones first. Texts of ``x`` and ``y`` elements that share at
+    least ``least`` have a common element among the first ``x - least + 1`` and ``y - least + 1`` of
+    that order: their first common one, since the others come after it in both. So only texts that share a rare
+    element near their front meet, and no similar pair is lost.
+    """
+    named = members.join(labels, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("label"))
+    split = named.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("bucket")
+    open_texts = staged(named.join(split, "bucket", "left_semi").select("node", "label").distinct(), "open")
+    each = sets.join(open_texts, "node", "left_semi").select("node", F.explode("elements").alias("e"))
+    often = each.groupBy("e").agg(F.count("*").alias("f")).where("f > 1")
+    # Elements of one text only cannot be shared, but they hold the front places.
+    ordered = each.join(often, "e", "left").groupBy("node").agg(
+        F.sort_array(F.collect_list(F.struct(F.coalesce("f", F.lit(1)).alias("f"), "e"))).alias("o")
+    )
+    size = F.size("o")
+    front = F.slice("o", 1, size - F.ceil(size * similarity - 1e-9).cast("int") + 1)
+    placed = staged(
+        ordered.select("node", size.alias("s"), F.posexplode(front).alias("i", "x")).where("x.f > 1")
+        .select("node", "s", "i", F.col("x.e").alias("e")).join(open_texts, "node"),
+        "fronts",
+    )
+    other = placed.select("e", F.col("node").alias("a"), F.col("s").alias("sa"), F.col("i").alias("ia"), F.col("label").alias("la"))
+    least = F.ceil((F.col("sa") + F.col("s")) * similarity / (1 + similarity) - 1e-9)
+    met = placed.join(other, "e").where(
+        (F.col("la") < F.col("label")) & (F.col("i") <= F.col("s") - least) & (F.col("ia") <= F.col("sa") - least)
+    )
+    return met.select("a", F.col("node").alias("b")).distinct()
+
+
 def _relabelled(labels: DataFrame | None, links: DataFrame) -> DataFrame:
     """Components after adding links; ``labels`` are those of the links before."""
     if labels is None:
@@ -197,38 +230,27 @@ def near_duplicate_classes(
     texts = signed.groupBy("copy").agg(F.min("id").alias("node"), F.min_by("size", "id").alias("size"))
     # One row per text: only the smallest id of a copy group searches.
     reps = signed.join(texts.select("copy", F.col("node").alias("id")), ["copy", "id"], "left_semi").dropDuplicates(["copy"])
-    keyed = reps.select(F.explode("bands").alias("bucket"), F.col("id").alias("node"), "size")
-    crowded = keyed.groupBy("bucket").agg(F.count("*").alias("n"), F.min("node").alias("centre")).where("n > 1")
-    members = staged(keyed.join(crowded.select("bucket", "centre"), "bucket"), "buckets")
+    keyed = staged(reps.select(F.explode("bands").alias("bucket"), F.col("id").alias("node"), "size"), "bands")
+    crowded = keyed.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+    near = staged(keyed.join(crowded, "bucket"), "crowded")
+    # The centre of a bucket is the text that meets most others in all its buckets.
+    met = near.groupBy("node").agg(F.sum("n").alias("met"))
+    ranked = near.join(met, "node")
+    centres = ranked.groupBy("bucket").agg(F.max(F.struct("met", "node", "size")).alias("c"))
+    members = staged(
+        near.join(centres, "bucket").select("bucket", "node", "size", F.col("c.node").alias("centre"), F.col("c.size").alias("centre_size")),
+        "members",
+    )
     sets = staged(shingle_sets(docs, id_column, text_column, members.select("node").distinct(), weights), "sets")
 
     fits = F.expr(f"least(sa, sb) >= {similarity} * greatest(sa, sb) - 1e-9")
-    sizes = members.groupBy("bucket").agg(F.min_by("size", "node").alias("sa"))
     first = (
-        members.where("node <> centre").join(sizes, "bucket")
-        .select(F.col("centre").alias("a"), F.col("node").alias("b"), "sa", F.col("size").alias("sb"))
+        members.where("node <> centre")
+        .select(F.col("centre").alias("a"), F.col("node").alias("b"), F.col("centre_size").alias("sa"), F.col("size").alias("sb"))
         .where(fits).select("a", "b").distinct()
     )
     labels = _relabelled(None, similar(first, sets, similarity))
-    for step in ("largest", "all"):
-        named = members.join(labels, "node", "left").select(
-            "bucket", "node", "size", F.coalesce("component", "node").alias("label")
-        )
-        split = named.groupBy("bucket").agg(
-            F.min("label").alias("low"), F.max("label").alias("high"),
-            F.max(F.struct("node", "size", "label")).alias("top"),
-        ).where("low < high").select("bucket", "top")
-        open_rows = named.join(split, "bucket")
-        if step == "largest":  # a second centre for all that the first did not reach
-            pairs = open_rows.where("label <> top.label").select(
-                F.col("top.node").alias("a"), F.col("node").alias("b"), F.col("top.size").alias("sa"), F.col("size").alias("sb")
-            )
-        else:  # what is still apart meets once, across components only
-            left = open_rows.select("bucket", *(F.col(c).alias(f"x_{c}") for c in ("node", "size", "label")))
-            pairs = open_rows.join(left, "bucket").where("label < x_label").select(
-                F.col("x_node").alias("a"), F.col("node").alias("b"), F.col("x_size").alias("sa"), F.col("size").alias("sb")
-            )
-        labels = _relabelled(labels, similar(pairs.where(fits).select("a", "b").distinct(), sets, similarity))
+    labels = _relabelled(labels, similar(apart(members, labels, sets, similarity), sets, similarity))
 
     per_copy = texts.join(labels, "node", "left").select("copy", F.coalesce("component", "node").alias("class_id"), "size")
     with_words = signed.select("id", "copy").join(per_copy, "copy").select(
