@@ -8,11 +8,13 @@ pieces in turn. Each distinct piece is encoded once by the library and kept whil
 from __future__ import annotations
 
 import os
-from collections.abc import Iterable
+import unicodedata
+from functools import cache
 
 import numpy as np
 
 KEPT_PIECES = 400_000
+SIGNS = ".,;:!?#*$%&"
 
 
 def load_tokenizer(vocabulary: str):
@@ -30,12 +32,15 @@ def load_tokenizer(vocabulary: str):
 
 class _Pieces:
     """Values of pieces by their text. Pieces are learnt many at a time: joined by spaces, the
-    library reads them as one text, and its tokens fall apart at the spaces again."""
+    library reads them as one text, and its tokens fall apart at the spaces again. A run of ASCII
+    signs after letters is a word of its own to both vocabularies: such pieces are put together
+    from the letters and the signs."""
 
     def __init__(self, vocabulary: str):
         self.tokenizer = load_tokenizer(vocabulary)
         self.kept: dict = {}
         self.older: dict = {}
+        self.tails: dict = {}
 
     def known(self, group: list[list]) -> dict:
         """The kept pieces, among them all of the group."""
@@ -47,9 +52,25 @@ class _Pieces:
                 missing = wanted
             again = {p: self.older[p] for p in missing if p in self.older}
             self.kept.update(again)
-            pieces = sorted(missing.difference(again))
+            missing.difference_update(again)
+            joined, plain = {}, set()
+            for piece in missing:
+                core, tail = self.parted(piece)
+                if tail:
+                    joined[piece] = core, tail
+                    plain.add(core)
+                else:
+                    plain.add(piece)
+            pieces = sorted(plain.difference(self.kept))
             for k in range(0, len(pieces), 2000):
                 self.learn(pieces[k : k + 2000])
+            kept = self.kept
+            for piece, (core, tail) in joined.items():
+                if tail not in self.tails:
+                    if len(self.tails) >= KEPT_PIECES:
+                        self.tails.clear()
+                    self.tails[tail] = self.alone(tail)
+                kept[piece] = kept[core] + self.tails[tail]
         return self.kept
 
 
@@ -65,6 +86,14 @@ class BytePieces(_Pieces):
         self.begins = np.zeros(max(entries.values()) + 1, bool)
         self.begins[[n for token, n in entries.items() if token.startswith("\u0120")]] = True
 
+    @staticmethod
+    def parted(piece: str) -> tuple[str, str]:
+        core = piece.rstrip(SIGNS)
+        return (core, piece[len(core) :]) if core.isalpha() else (piece, "")
+
+    def alone(self, tail: str) -> bytes:
+        return self.ids(tail).tobytes()
+
     def ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
 
@@ -100,6 +129,16 @@ class BytePieces(_Pieces):
 class WordPieces(_Pieces):
     """Token counts of words, for a vocabulary that drops white space."""
 
+    @staticmethod
+    def parted(piece: bytes) -> tuple[bytes, bytes]:
+        core = piece.rstrip(SIGNS.encode())
+        # The library's normal form must be letters too: some letters get a mark in lower case.
+        letters = core.isalpha() or unicodedata.normalize("NFC", core.decode("utf-8", "replace")).lower().isalpha()
+        return (core, piece[len(core) :]) if letters else (piece, b"")
+
+    def alone(self, tail: bytes) -> int:
+        return len(self.tokenizer.encode(tail.decode(), add_special_tokens=False).ids)
+
     def learn(self, pieces: list[bytes]) -> None:
         texts = [p.decode("utf-8", "replace") for p in pieces]
         starts = np.cumsum([0] + [len(t) + 1 for t in texts])
@@ -111,3 +150,15 @@ class WordPieces(_Pieces):
     def counts(self, group: list[list[bytes]]) -> list[np.ndarray]:
         get = self.known(group).__getitem__
         return [np.fromiter(map(get, parts), np.int32, len(parts)) for parts in group]
+
+
+@cache
+def byte_pieces(vocabulary: str) -> BytePieces:
+    """One for each Python worker: a worker keeps its pieces from task to task."""
+    return BytePieces(vocabulary)
+
+
+@cache
+def word_pieces(vocabulary: str) -> WordPieces:
+    """As :func:`byte_pieces`."""
+    return WordPieces(vocabulary)

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.common import split_words, table
-from millrace.llm.pieces import WordPieces, load_tokenizer
+from millrace.llm.pieces import load_tokenizer, word_pieces
 
 VOCABULARY = "word_bpe_49k.json"
 LIMIT = 2048
@@ -40,7 +40,7 @@ def prefix_counts(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = None
         for batch in batches:
-            pieces = pieces or WordPieces(vocabulary)
+            pieces = pieces or word_pieces(vocabulary)
             for begin in range(0, batch.num_rows, GROUP):
                 part = batch.slice(begin, GROUP)
                 raw = [(t or "").encode("utf-8", "surrogatepass") for t in part.column(1).to_pylist()]
