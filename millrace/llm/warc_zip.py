@@ -81,9 +81,9 @@ class Package:
         end = self.source.size()
         tail_at = max(0, end - 65_557)
         tail = self.source.read_at(end - tail_at, tail_at)
-        found = tail.rfind(END_SIGNATURE)
+        found = tail.rfind(END_SIGNATURE, 0, len(tail) - 18)
         while found >= 0 and found + 22 + struct.unpack_from("<H", tail, found + 20)[0] != len(tail):
-            found = tail.rfind(END_SIGNATURE, 0, found)  # the signature may stand in the comment
+            found = tail.rfind(END_SIGNATURE, 0, found + 3)  # the signature may stand in the comment
         if found < 0:
             raise ValueError("no end of central directory")
         count, size, at = struct.unpack_from("<HII", tail, found + 10)
