@@ -10,6 +10,7 @@ import json
 import os
 import statistics
 import sys
+import tempfile
 import time
 from pathlib import Path
 
@@ -37,6 +38,7 @@ def session(cpus: str) -> SparkSession:
         "spark.ui.showConsoleProgress": "false",
         "spark.sql.shuffle.partitions": cpus if cpus.isdigit() else "8",
         "spark.driver.memory": "16g",
+        "spark.checkpoint.dir": tempfile.mkdtemp(prefix="bench-"),
     }
     for key, value in options.items():
         builder = builder.config(key, value)

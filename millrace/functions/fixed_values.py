@@ -10,11 +10,8 @@ GOOD_QUALITY_WORDS = ("good", "ok", "192", "0xc0", "true")
 DEFAULT_STATUS = "Good"
 DEFAULT_ZONE = "Asia/Shanghai"
 RAW_TEXT_LIMIT = 500
-STATUS_TEXT_LIMIT = 64
 ISSUE_STORE_LIMIT = 10_000
 PREVIEW_ROWS = 20
-MAX_FILE_BYTES = 50 * 1024 * 1024
-PROFILE_BYTES = 64 * 1024
 CSV_ENCODINGS = ("utf-8-sig", "gb18030")
 CSV_DELIMITERS = ",\t;"
 FILE_SUFFIXES = {".csv": "csv", ".xlsx": "xlsx"}
@@ -55,10 +52,8 @@ CODE_PATTERN = r"^[A-Z0-9][A-Z0-9_-]*$"
 STALE_FLOOR_SECONDS = 60
 STALE_INTERVALS = 3
 FUTURE_TOLERANCE_SECONDS = 5
-TREND_SAMPLE_LIMIT = 1_000
 TREND_MAX_HOURS = 24
 HISTORY_MAX_LIMIT = 5_000
-RETENTION_SCAN_LIMIT = 100_000
 RETENTION_MAX_DAYS = 3_650
 DEVICE_LIST_LIMIT = 30
 TAG_SEARCH_LIMIT = 20
@@ -169,3 +164,10 @@ STATE_WORDS = {
     "error": "异常",
 }
 PHASE_WORDS = ("正常基线", "注入扰动", "恢复观察")
+
+# Sizes of the file profile; they bound memory and do not change what is accepted.
+DECODE_BLOCK = 1 << 20
+SNIFF_BYTES = 64 * 1024
+
+# Sentence of the trend text when only the newest samples were asked for.
+TREND_CUT_TEXT = "结果已截断：以下仅为最近至多{limit}条样本的统计，不是整个请求时间范围的统计。\n"

@@ -142,8 +142,7 @@ def parse_value(col: Column, data_type: Column) -> Column:
 
 def quality_status(col: Column) -> Column:
     """The status text of a quality cell; a missing cell is good."""
-    status = F.substring(clean(col), 1, fixed.STATUS_TEXT_LIMIT)
-    return F.when(is_missing(col), F.lit(fixed.DEFAULT_STATUS)).otherwise(status)
+    return F.when(is_missing(col), F.lit(fixed.DEFAULT_STATUS)).otherwise(clean(col))
 
 
 def is_good_status(status: Column) -> Column:

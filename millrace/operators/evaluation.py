@@ -199,8 +199,8 @@ def _number(value: Column) -> Column:
     return F.format_string("%.6f", value)
 
 
-def trend_facts(trends: DataFrame, source: str) -> DataFrame:
-    """The trend summary of each tag as display text."""
+def trend_facts(trends: DataFrame, source: str, limit: int | None = None) -> DataFrame:
+    """The trend summary of each tag as display text; ``limit`` is that of the summary."""
     unit = F.coalesce("unit", F.lit(""))
     head = F.concat(
         F.lit("测点 "), "code", F.lit("（"), "name", F.lit(f"）；来源 {source}；测点"),
@@ -211,10 +211,7 @@ def trend_facts(trends: DataFrame, source: str) -> DataFrame:
         F.col("good_numeric_count").cast("string"), F.lit(" 条；坏质量 "),
         F.col("bad_quality_count").cast("string"), F.lit(" 条。\n"),
     )
-    cut = F.when(
-        F.col("truncated"),
-        "结果已截断：以下仅为最近至多1000条样本的统计，不是整个请求时间范围的统计。\n",
-    ).otherwise("")
+    cut = F.when(F.col("truncated"), fixed.TREND_CUT_TEXT.format(limit=limit)).otherwise("")
     change = F.when(
         F.col("first_to_last_change").isNotNull(),
         F.concat(F.lit("首末差 "), _number(F.col("first_to_last_change")), F.lit(" "), unit, F.lit("。\n")),

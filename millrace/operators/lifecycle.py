@@ -19,25 +19,8 @@ from millrace.sources.tables import PARENT_FIRST, Tables
 _ID_SPAN = 65_536
 
 
-def retention_preview(
-    t: Tables, as_of: Column, keep_days: int, limit: int = fixed.RETENTION_SCAN_LIMIT
-) -> DataFrame:
-    """What a retention of ``keep_days`` would cover, per plant and source.
-
-    Counts, tags and times describe the first ``limit + 1`` candidates by id; beyond
-    ``limit`` the count is a lower bound. The last of these ids is located by counting
-    spans of ids, so that a plant with most of the samples is neither sorted nor limited
-    in one task.
-    """
-    if not 1 <= keep_days <= fixed.RETENTION_MAX_DAYS:
-        raise ValueError(f"keep_days must be between 1 and {fixed.RETENTION_MAX_DAYS}")
-    keys = ["plant_id", "source_type"]
-    cutoff = F.timestamp_add("DAY", F.lit(-keep_days), as_of)
-    plant = hierarchy(t).select("tag_id", "plant_id")
-    scoped = t.tag_sample.select("id", "tag_id", "source_type", "source_timestamp").join(plant, "tag_id")
-    high = scoped.groupBy(*keys).agg(F.max("id").alias("high_water_id"))
-
-    old = scoped.where(F.col("source_timestamp") < cutoff)
+def _first_by_id(old: DataFrame, keys: list[str], limit: int) -> DataFrame:
+    """The first ``limit + 1`` rows of each group by id."""
     span = F.floor(F.col("id") / _ID_SPAN)
     spans = chunk_offsets(old, keys, span, F.lit(1))
     # The span that holds candidate number limit + 1, or none when there are fewer.
@@ -54,8 +37,31 @@ def retention_preview(
         .where(F.col("_place") <= limit + 1 - F.col("_taken"))
         .drop("_place")
     )
+    return whole.unionByName(cut)
+
+
+def retention_preview(
+    t: Tables, as_of: Column, keep_days: int, limit: int | None = None
+) -> DataFrame:
+    """What a retention of ``keep_days`` would cover, per plant and source.
+
+    All candidates count. With a ``limit``, counts, tags and times describe the first
+    ``limit + 1`` candidates by id only, and beyond ``limit`` the count is a lower bound. The
+    last of these ids is then located by counting spans of ids, so that a plant with most of
+    the samples is neither sorted nor limited in one task.
+    """
+    if not 1 <= keep_days <= fixed.RETENTION_MAX_DAYS:
+        raise ValueError(f"keep_days must be between 1 and {fixed.RETENTION_MAX_DAYS}")
+    keys = ["plant_id", "source_type"]
+    cutoff = F.timestamp_add("DAY", F.lit(-keep_days), as_of)
+    plant = hierarchy(t).select("tag_id", "plant_id")
+    scoped = t.tag_sample.select("id", "tag_id", "source_type", "source_timestamp").join(plant, "tag_id")
+    high = scoped.groupBy(*keys).agg(F.max("id").alias("high_water_id"))
+
+    old = scoped.where(F.col("source_timestamp") < cutoff)
+    counted = old if limit is None else _first_by_id(old, keys, limit)
     # Tags are counted in two steps: distinct pairs combine on the map side.
-    per_tag = whole.unionByName(cut).groupBy(*keys, "tag_id").agg(
+    per_tag = counted.groupBy(*keys, "tag_id").agg(
         F.count("*").alias("_rows"), F.min("source_timestamp").alias("_oldest"),
         F.max("source_timestamp").alias("_newest"),
     )
@@ -72,7 +78,7 @@ def retention_preview(
         .na.fill(0, counts)
         .select(
             *keys, F.lit(keep_days).alias("keep_days"), cutoff.alias("cutoff"), "high_water_id",
-            "matched_rows", (F.col("matched_rows") <= limit).alias("count_is_exact"),
+            "matched_rows", (F.lit(True) if limit is None else F.col("matched_rows") <= limit).alias("count_is_exact"),
             "affected_tags_in_scan", "oldest_in_scan", "newest_in_scan",
         )
     )

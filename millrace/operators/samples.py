@@ -174,9 +174,9 @@ def history_pages(samples: DataFrame, limit: int) -> DataFrame:
 
 def trend(
     t: Tables, as_of: Column, hours: int = 1, source: str = "opcua",
-    limit: int = fixed.TREND_SAMPLE_LIMIT,
+    limit: int | None = None,
 ) -> DataFrame:
-    """Summary of the newest ``limit`` samples of every tag in the trailing window.
+    """Summary of the samples of every tag in the trailing window; of the newest ``limit`` only if given.
 
     Numbers use good numeric samples; the first and last times use every selected sample.
     """
@@ -184,16 +184,15 @@ def trend(
         raise ValueError(f"hours must be between 1 and {fixed.TREND_MAX_HOURS}")
     start = F.timestamp_add("HOUR", F.lit(-hours), as_of)
     recent = from_source(t.tag_sample, source).where(F.col("source_timestamp").between(start, as_of))
-    ranked = first_rows(
-        recent.select("id", "tag_id", "source_timestamp", "numeric_value", "is_good"),
-        ["tag_id"], newest_first(), limit + 1, F.col("id"), rank="n",
-    )
-    chosen = F.col("n") <= limit
+    picked = recent.select("id", "tag_id", "source_timestamp", "numeric_value", "is_good")
+    if limit is None:
+        ranked, chosen = picked, F.lit(True)
+    else:
+        ranked = first_rows(picked, ["tag_id"], newest_first(), limit + 1, F.col("id"), rank="n")
+        chosen = F.col("n") <= limit
     good = chosen & F.col("is_good") & F.col("numeric_value").isNotNull()
     number = F.when(good, F.col("numeric_value"))
-    place = F.when(good, F.col("n"))
-    # Rank 1 is the newest sample, so first and last are the extreme ranks, and every
-    # buffer of this aggregate has a fixed width.
+    place = F.when(good, F.struct("source_timestamp", "id"))
     summary = ranked.groupBy("tag_id").agg(
         F.count_if(chosen).alias("sample_count"),
         F.count_if(~chosen).alias("_beyond"),
@@ -202,8 +201,8 @@ def trend(
         F.min(number).alias("minimum"),
         F.max(number).alias("maximum"),
         F.avg(number).alias("mean"),
-        F.min_by(number, place).alias("_last"),
-        F.max_by(number, place).alias("_first"),
+        F.max_by(number, place).alias("_last"),
+        F.min_by(number, place).alias("_first"),
         F.min(F.when(chosen, F.col("source_timestamp"))).alias("first_timestamp"),
         F.max(F.when(chosen, F.col("source_timestamp"))).alias("last_timestamp"),
     )

@@ -404,30 +404,28 @@ FRESH = {
 }
 
 
-def _trend(limit: int) -> dict[str, str]:
-    return {
-        "recent": """SELECT *, row_number() OVER (PARTITION BY tag_id
-            ORDER BY source_timestamp DESC, id DESC) AS n FROM tag_sample
-            WHERE source_type = 'opcua' AND source_timestamp
-              BETWEEN TIMESTAMP '2024-01-30' AND TIMESTAMP '2024-01-31'""",
-        "summary": f"""SELECT tag_id, count(*) FILTER (n <= {limit}) AS sample_count,
-            count(*) FILTER (n > {limit}) AS beyond,
-            count(*) FILTER (n <= {limit} AND NOT is_good) AS bad_quality_count,
-            count(numeric_value) FILTER (n <= {limit} AND is_good) AS good_numeric_count,
-            min(numeric_value) FILTER (n <= {limit} AND is_good) AS minimum,
-            max(numeric_value) FILTER (n <= {limit} AND is_good) AS maximum,
-            avg(numeric_value) FILTER (n <= {limit} AND is_good) AS mean,
-            arg_min(numeric_value, n) FILTER (n <= {limit} AND is_good AND numeric_value IS NOT NULL)
-            - arg_max(numeric_value, n) FILTER (n <= {limit} AND is_good AND numeric_value IS NOT NULL)
-            AS change, min(source_timestamp) FILTER (n <= {limit}) AS first_timestamp,
-            max(source_timestamp) FILTER (n <= {limit}) AS last_timestamp FROM recent GROUP BY tag_id""",
-        "trend": """SELECT plant_id, a.tag_id, code, name, unit, is_enabled AS enabled,
-            coalesce(sample_count, 0) AS sample_count, coalesce(bad_quality_count, 0) AS bad_quality_count,
-            coalesce(good_numeric_count, 0) AS good_numeric_count, coalesce(beyond > 0, false) AS truncated,
-            minimum, maximum, round(mean, 6) AS mean,
-            CASE WHEN good_numeric_count > 1 THEN round(change, 6) END AS first_to_last_change,
-            first_timestamp, last_timestamp FROM asset a LEFT JOIN summary s ON s.tag_id = a.tag_id""",
-    }
+TREND = {
+    "recent": """SELECT *, row_number() OVER (PARTITION BY tag_id
+        ORDER BY source_timestamp DESC, id DESC) AS n FROM tag_sample
+        WHERE source_type = 'opcua' AND source_timestamp
+          BETWEEN TIMESTAMP '2024-01-30' AND TIMESTAMP '2024-01-31'""",
+    "summary": """SELECT tag_id, count(*) AS sample_count,
+        count(*) FILTER (NOT is_good) AS bad_quality_count,
+        count(numeric_value) FILTER (is_good) AS good_numeric_count,
+        min(numeric_value) FILTER (is_good) AS minimum,
+        max(numeric_value) FILTER (is_good) AS maximum,
+        avg(numeric_value) FILTER (is_good) AS mean,
+        arg_min(numeric_value, n) FILTER (is_good AND numeric_value IS NOT NULL)
+        - arg_max(numeric_value, n) FILTER (is_good AND numeric_value IS NOT NULL)
+        AS change, min(source_timestamp) AS first_timestamp,
+        max(source_timestamp) AS last_timestamp FROM recent GROUP BY tag_id""",
+    "trend": """SELECT plant_id, a.tag_id, code, name, unit, is_enabled AS enabled,
+        coalesce(sample_count, 0) AS sample_count, coalesce(bad_quality_count, 0) AS bad_quality_count,
+        coalesce(good_numeric_count, 0) AS good_numeric_count, false AS truncated,
+        minimum, maximum, round(mean, 6) AS mean,
+        CASE WHEN good_numeric_count > 1 THEN round(change, 6) END AS first_to_last_change,
+        first_timestamp, last_timestamp FROM asset a LEFT JOIN summary s ON s.tag_id = a.tag_id""",
+}
 
 
 def _local(column: str) -> str:
@@ -605,8 +603,8 @@ QUERIES: dict[str, tuple[dict[str, str], str]] = {
           ORDER BY source_timestamp DESC, id DESC) AS rank, count(*) OVER (PARTITION BY tag_id)
           AS total_count, count(*) FILTER (NOT is_good) OVER (PARTITION BY tag_id) AS bad_count
           FROM tag_sample) WHERE rank <= 5"""),
-    "tag_trend_all": (_trend(3), "SELECT * FROM trend"),
-    "trend_facts": (_trend(1000), f"""SELECT plant_id, tag_id,
+    "tag_trend_all": (TREND, "SELECT * FROM trend"),
+    "trend_facts": (TREND, f"""SELECT plant_id, tag_id,
         '测点 ' || code || '（' || name || '）；来源 opcua；测点'
         || CASE WHEN enabled THEN '已启用' ELSE '已禁用' END || '。' || chr(10)
         || '请求时间范围：2024-01-30T08:00:00+08:00 至 2024-01-31T08:00:00+08:00。' || chr(10)
@@ -856,16 +854,15 @@ QUERIES: dict[str, tuple[dict[str, str], str]] = {
     "changed_files": ({}, "SELECT 'page-' || page_id AS path FROM pages WHERE length(html) % 4 = 0"),
     "retention_preview": ({
         "held": "SELECT s.*, a.plant_id FROM tag_sample s JOIN asset a USING (tag_id)",
-        "old": """SELECT *, row_number() OVER (PARTITION BY plant_id, source_type ORDER BY id) AS nth
-            FROM held WHERE source_timestamp < TIMESTAMP '2024-01-24'""",
+        "old": """SELECT * FROM held WHERE source_timestamp < TIMESTAMP '2024-01-24'""",
         }, """SELECT plant_id, source_type, 7::BIGINT AS keep_days, TIMESTAMP '2024-01-24' AS cutoff,
         coalesce((SELECT max(id) FROM held h WHERE h.plant_id = p.plant_id
           AND h.source_type = v.source_type), 0) AS high_water_id,
-        coalesce(n, 0) AS matched_rows, coalesce(n, 0) <= 500 AS count_is_exact,
+        coalesce(n, 0) AS matched_rows, true AS count_is_exact,
         coalesce(tags, 0) AS affected_tags_in_scan, oldest AS oldest_in_scan, newest AS newest_in_scan
         FROM plant p CROSS JOIN (VALUES ('opcua'), ('file')) v(source_type)
         LEFT JOIN (SELECT plant_id, source_type, count(*) AS n, count(DISTINCT tag_id) AS tags,
-            min(source_timestamp) AS oldest, max(source_timestamp) AS newest FROM old WHERE nth <= 501
+            min(source_timestamp) AS oldest, max(source_timestamp) AS newest FROM old
             GROUP BY ALL) USING (plant_id, source_type)"""),
     "scoped_subset_counts": (SCOPE, _subset_counts()),
     "cross_scope_refs": (SCOPE, """

@@ -86,7 +86,7 @@ def tag_history_page(spark, sf_dir):
 
 @registered
 def tag_trend_all(spark, sf_dir):
-    found = sample_queries.trend(star.bind(spark, sf_dir), star.as_of(), 24, "opcua", 3)
+    found = sample_queries.trend(star.bind(spark, sf_dir), star.as_of(), 24, "opcua")
     return _rounded(found, "mean", "first_to_last_change").drop("window_start", "window_end")
 
 
@@ -393,10 +393,7 @@ def import_from_files(spark, sf_dir):
     """The whole path through files: write CSV, profile, read, number, import, publish."""
     folder = fresh_folder(spark, "import-files")
     raw = workloads.raw_long(spark, sf_dir)
-    # Files of one plant share a folder and stay below the size ceiling.
-    raw.select("plant_id", *workloads.RAW_COLUMNS).write.option("header", True).option(
-        "maxRecordsPerFile", 400_000
-    ).partitionBy("plant_id").csv(folder)
+    raw.select("plant_id", *workloads.RAW_COLUMNS).write.option("header", True).partitionBy("plant_id").csv(folder)
     listing = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option(
         "pathGlobFilter", "*.csv"
     ).load(folder)
@@ -444,7 +441,7 @@ def changed_files(spark, sf_dir):
 
 @registered
 def retention_preview(spark, sf_dir):
-    found = lifecycle.retention_preview(star.bind(spark, sf_dir), star.as_of(), 7, 500)
+    found = lifecycle.retention_preview(star.bind(spark, sf_dir), star.as_of(), 7)
     return _longs(found, "keep_days")
 
 

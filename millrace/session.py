@@ -52,10 +52,13 @@ def ship_package(spark: SparkSession) -> None:
 def shared_folder(spark: SparkSession) -> str:
     """The folder for checkpoints and staged tables, as named by the cluster.
 
-    A local temporary folder is used only where nothing is named, as in unit tests.
+    A local temporary folder stands in only where all executors are on this machine, as in unit
+    tests; elsewhere a missing setting is an error, since executors would not see each other's files.
     """
     named = spark.conf.get(CHECKPOINT_KEY, None)
     if not named:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError(f"{CHECKPOINT_KEY} must name a folder that all executors share")
         named = tempfile.mkdtemp(prefix="millrace-")
         spark.conf.set(CHECKPOINT_KEY, named)
     return named.rstrip("/")

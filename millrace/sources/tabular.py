@@ -54,10 +54,14 @@ def check_header(header: Sequence[str | None]) -> list[str]:
     return names
 
 
-def detect_encoding(sample: bytes) -> str:
+def detect_encoding(content: bytes) -> str:
+    """The first encoding that decodes every byte; a block at a time, so that no second copy is made."""
     for name in fixed.CSV_ENCODINGS:
+        decoder = codecs.getincrementaldecoder(name)()
         try:
-            sample.decode(name)
+            for begin in range(0, len(content), fixed.DECODE_BLOCK):
+                decoder.decode(content[begin : begin + fixed.DECODE_BLOCK])
+            decoder.decode(b"", final=True)
         except UnicodeDecodeError:
             continue
         return name
@@ -83,11 +87,11 @@ def _profile_one(path: str, content: bytes) -> tuple:
                 raise TabularError("the worksheet is empty")
             header = check_header(first[1])
             return path, kind, None, None, None, False, header, workbook.sheet_name(content), None
-        encoding = detect_encoding(content[: fixed.PROFILE_BYTES])
-        # The profile reads whole characters: a cut one at the end of the sample is left out.
-        text = codecs.getincrementaldecoder(encoding)().decode(content[: fixed.PROFILE_BYTES])
-        delimiter, quote = sniff(text)
-        reader = csv.reader(io.StringIO(text, newline=""), delimiter=delimiter, quotechar=quote)
+        encoding = detect_encoding(content)
+        # Only the dialect is guessed from a sample; it ends with a whole character.
+        delimiter, quote = sniff(codecs.getincrementaldecoder(encoding)().decode(content[: fixed.SNIFF_BYTES]))
+        lines = io.TextIOWrapper(io.BytesIO(content), encoding=encoding, newline="")
+        reader = csv.reader(lines, delimiter=delimiter, quotechar=quote)
         header = check_header(next(reader, []))
         multi = has_quoted_break(content, quote.encode())
         return path, kind, encoding, delimiter, quote, multi, header, None, None
@@ -113,11 +117,9 @@ def binary_files(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
 
 
 def fingerprints(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
-    """Size and SHA-256 of each file, and whether it exceeds the size ceiling."""
+    """Size and SHA-256 of each file."""
     return binary_files(spark, paths).select(
-        "path", F.col("length").alias("file_size_bytes"),
-        F.sha2("content", 256).alias("file_sha256"),
-        (F.col("length") > fixed.MAX_FILE_BYTES).alias("too_large"),
+        "path", F.col("length").alias("file_size_bytes"), F.sha2("content", 256).alias("file_sha256"),
     )
 
 

@@ -8,11 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
-from millrace.functions import fixed_values as fixed
 from millrace.operators.importing import ImportMapping, process
-from millrace.session import read_if_present
+from millrace.session import read_if_present, staged
 from millrace.sources.tables import Tables, empty_table
-from millrace.sources.tabular import read_files
+from millrace.sources.tabular import PROFILE_SCHEMA, _profile, read_files
 
 _FILE_SCHEMA = "path STRING, modificationTime TIMESTAMP, length LONG, content BINARY"
 
@@ -51,7 +50,6 @@ class Arrivals:
         digest = F.sha2("content", 256)
         listed = files.select(
             "path", F.col("length").alias("file_size_bytes"), digest.alias("file_sha256"),
-            (F.col("length") > fixed.MAX_FILE_BYTES).alias("too_large"),
         ).withColumn("batch_id", F.conv(F.substring("file_sha256", 1, 15), 16, 10).cast("long"))
         known = self.ledger()
         first = listed.groupBy("file_sha256").agg(F.min("path").alias("_first"))
@@ -63,12 +61,16 @@ class Arrivals:
             noted = noted.join(earlier, "file_sha256", "left").withColumn(
                 "_seen", F.coalesce("_before", F.lit(False))
             ).drop("_before")
+        # An unreadable file fails alone, with its reason in the ledger.
+        readable = files.select("path", "content").mapInPandas(_profile, PROFILE_SCHEMA).select("path", "error")
         status = (
-            F.when(F.col("too_large"), "too_large")
-            .when(F.col("_seen") | (F.col("path") != F.col("_first")), "duplicate")
+            F.when(F.col("_seen") | (F.col("path") != F.col("_first")), "duplicate")
+            .when(F.col("error").isNotNull(), "failed")
             .otherwise("imported")
         )
-        noted = noted.withColumn("status", status).drop("_first", "_seen", "too_large")
+        noted = noted.join(readable, "path").withColumn("status", status).drop("_first", "_seen")
+        # Contents are read once more at most, by the import.
+        noted = staged(noted, "arrivals")
         # The listing of one micro-batch, limited by maxFilesPerTrigger.
         fresh = [r.path for r in noted.where(F.col("status") == "imported").select("path").collect()]
         if fresh:

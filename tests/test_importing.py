@@ -10,6 +10,8 @@ from millrace.operators import importing
 from millrace.operators.importing import ImportMapping, WideColumn
 from millrace.sources import tabular, workbook
 from millrace.sources.tables import SCHEMAS
+from millrace import session
+from millrace.functions import parsing
 from millrace.streaming.arrivals import Arrivals
 
 LONG = ImportMapping(
@@ -213,7 +215,7 @@ def test_fingerprints(spark, tmp_path):
     first, second = write(tmp_path / "1.csv", "a\n1\n"), write(tmp_path / "2.csv", "a\n1\n")
     rows = tabular.fingerprints(spark, [first, second]).collect()
     assert len({r.file_sha256 for r in rows}) == 1
-    assert not any(r.too_large for r in rows)
+    assert {r.file_size_bytes for r in rows} == {4}
 
 
 def test_process_publishes_whole_batches(spark, tmp_path):
@@ -262,6 +264,45 @@ def test_arriving_files_are_imported_once(spark, tmp_path):
     assert tuple(totals) == (20, 5)
 
 
+def test_one_unreadable_file_fails_alone(spark, tmp_path):
+    inbox = tmp_path / "inbox"
+    inbox.mkdir()
+    write(inbox / "good.csv", "time,device,tag,value,quality\n2026-08-22T10:00:00,D1,TEMP,1,Good\n")
+    (inbox / "bad.csv").write_bytes(b"time,device,tag,value,quality\n" + b"\xff" * 9 + b"\n")
+    write(inbox / "empty.csv", "\n")
+    watch = Arrivals(spark, str(inbox), str(tmp_path / "root"), LONG, plant_with_tags(spark, FLOAT_TAG), 1)
+    watch.start().awaitTermination()
+    noted = {r.path.rsplit("/", 1)[1]: (r.status, r.error) for r in watch.ledger().collect()}
+    assert noted["good.csv"] == ("imported", None)
+    assert noted["bad.csv"] == ("failed", "CSV files must be UTF-8 or GB18030") and noted["empty.csv"][0] == "failed"
+    assert spark.read.parquet(watch.samples_path).count() == 1
+
+
+@pytest.mark.parametrize("shift", range(3))
+def test_encoding_is_judged_by_all_bytes(shift):
+    head = "x" * shift + "a,b\n"
+    assert tabular.detect_encoding((head + "温度" * 200_000).encode()) == "utf-8-sig"
+    late = (head + "plain\n" * 200_000).encode() + "温度".encode("gb18030")
+    assert tabular.detect_encoding(late) == "gb18030"
+    with pytest.raises(tabular.TabularError):
+        tabular.detect_encoding((head + "plain\n" * 200_000).encode() + b"\xff\xff\xff")
+
+
+def test_long_status_is_judged_whole(spark):
+    text = "Good" + "x" * 70
+    row = spark.createDataFrame([(text,)], "q string").select(parsing.quality_status(F.col("q")).alias("s")).first()
+    assert row.s == text
+
+
+def test_scratch_folder_is_never_local_on_a_cluster():
+    class Cluster:
+        conf = type("Conf", (), {"get": staticmethod(lambda key, default=None: None)})
+        sparkContext = type("Context", (), {"master": "spark://host:7077"})
+
+    with pytest.raises(ValueError, match="checkpoint"):
+        session.shared_folder(Cluster())
+
+
 def test_schemas_parse(spark):
     for ddl in SCHEMAS.values():
         assert spark.createDataFrame([], ddl).columns

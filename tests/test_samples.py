@@ -28,7 +28,9 @@ def test_bounded_trend(spark):
     start = NOW - dt.timedelta(seconds=1001)
     rows = [sample(n, 1, start + dt.timedelta(seconds=n), float(n), n != 1000) for n in range(1001)]
     t = tables_with(spark, rows)
-    found = queries.trend(t, F.lit(NOW), 1).first()
+    found = queries.trend(t, F.lit(NOW), 1, limit=1000).first()
+    whole = queries.trend(t, F.lit(NOW), 1).first()
+    assert (whole.sample_count, whole.truncated, whole.minimum, whole.first_to_last_change) == (1001, False, 0.0, 999.0)
     assert (found.sample_count, found.truncated, found.bad_quality_count, found.good_numeric_count) == (1000, True, 1, 999)
     assert (found.minimum, found.maximum, found.mean, found.first_to_last_change) == (1.0, 999.0, 500.0, 998.0)
     empty = queries.trend(t, F.lit(NOW), 1, "file").first()
