@@ -34,6 +34,7 @@ BUCKETS = 8192
 GRAMS = (3, 4, 5, 6)
 KEPT_WORDS = 150_000
 BATCH_WINDOWS = 4096
+VOCABULARY_BLOCK = 20_000
 BATCH = 64
 MIN_STEPS = 240
 
@@ -56,6 +57,15 @@ class Grams:
 
 
 def hashed(vocabulary: list[bytes]) -> Grams:
+    """Buckets of all words, a block of the vocabulary at a time to bound memory."""
+    blocks = [_hashed(vocabulary[k : k + VOCABULARY_BLOCK]) for k in range(0, len(vocabulary), VOCABULARY_BLOCK)]
+    counts = np.concatenate([b.counts for b in blocks])
+    return Grams(
+        np.concatenate([b.word for b in blocks]), np.concatenate([b.gram for b in blocks]), np.cumsum(counts) - counts, counts
+    )
+
+
+def _hashed(vocabulary: list[bytes]) -> Grams:
     """Buckets for every word at once: rolling hashes over the joined bytes ``^word$``."""
     joined = np.frombuffer(b"".join(b"^" + w + b"$" for w in vocabulary), np.uint8).astype(np.uint64) + np.uint64(1)
     sizes = np.fromiter((len(w) + 2 for w in vocabulary), np.int64, len(vocabulary))
@@ -82,8 +92,8 @@ def hashed(vocabulary: list[bytes]) -> Grams:
     counts = np.bincount(owner_of, minlength=len(vocabulary))
     buckets = np.uint64(BUCKETS)
     return Grams(
-        (word % buckets).astype(np.int64),
-        (np.concatenate(grams)[order] % buckets).astype(np.int64),
+        (word % buckets).astype(np.uint16),
+        (np.concatenate(grams)[order] % buckets).astype(np.uint16),
         np.cumsum(counts) - counts,
         counts,
     )
@@ -125,7 +135,17 @@ class Network:
         self.trained = False
 
     def inputs(self, g: Grams) -> np.ndarray:
-        """One row for each word of a vocabulary."""
+        """One row for each word of a vocabulary, a block of words at a time."""
+        if len(g.word) <= VOCABULARY_BLOCK:
+            return self._inputs(g)
+        rows = []
+        for k in range(0, len(g.word), VOCABULARY_BLOCK):
+            part = slice(k, k + VOCABULARY_BLOCK)
+            first, counts = g.starts[part], g.counts[part]
+            rows.append(self._inputs(Grams(g.word[part], g.gram[first[0] : first[-1] + counts[-1]], first - first[0], counts)))
+        return np.vstack(rows)
+
+    def _inputs(self, g: Grams) -> np.ndarray:
         n = np.maximum(g.counts, 1)[:, None].astype(np.float32)
         gram_rows = np.add.reduceat(self.p["grams"][g.gram], g.starts, axis=0) / n
         odds = self.odds_gram[g.gram]
