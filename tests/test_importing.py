@@ -11,7 +11,6 @@ from millrace.operators.importing import ImportMapping, WideColumn
 from millrace.sources import tabular, workbook
 from millrace.sources.tables import SCHEMAS
 from millrace import session
-from millrace.functions import parsing
 from millrace.streaming.arrivals import Arrivals
 
 LONG = ImportMapping(
@@ -288,12 +287,6 @@ def test_encoding_is_judged_by_all_bytes(shift):
         tabular.detect_encoding((head + "plain\n" * 200_000).encode() + b"\xff\xff\xff")
 
 
-def test_long_status_is_judged_whole(spark):
-    text = "Good" + "x" * 70
-    row = spark.createDataFrame([(text,)], "q string").select(parsing.quality_status(F.col("q")).alias("s")).first()
-    assert row.s == text
-
-
 def test_scratch_folder_is_never_local_on_a_cluster():
     class Cluster:
         conf = type("Conf", (), {"get": staticmethod(lambda key, default=None: None)})
