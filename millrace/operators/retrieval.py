@@ -127,7 +127,9 @@ def _similarities(batches: Iterator[pd.DataFrame], gate: float) -> Iterator[pd.D
 
 
 def semantic_pairs(queries: DataFrame, chunked: DataFrame, gate: float = fixed.SEMANTIC_GATE) -> DataFrame:
-    """Pairs of question and chunk of one plant whose cosine reaches the gate, exactly.
+    """Pairs of question and chunk of one plant whose cosine, at four digits, reaches the gate.
+
+    ``semantic`` is the whole cosine, so that the caller can also hold it against the gate itself.
 
     Both sides are packed into blocks of vectors. A task multiplies two blocks, so a plant
     with most of the chunks is many blocks, and pairs below the gate never leave the task.
@@ -240,9 +242,10 @@ def score(weighted: DataFrame, bagged: DataFrame, near: DataFrame | None) -> Dat
     # Ten digits: the order of addition must not decide a ranking.
     rounded = lexical.withColumn("bm25", F.round("bm25", 10))
     if near is None:
-        return rounded.withColumn("semantic", F.lit(0.0))
-    return rounded.join(near, ["query_id", "evidence_id", "document_id"], "full_outer").na.fill(
-        0.0, ["lexical", "bm25", "semantic"]
+        return rounded.withColumn("semantic", F.lit(0.0)).withColumn("close", F.lit(False))
+    return (
+        rounded.join(near, ["query_id", "evidence_id", "document_id"], "full_outer")
+        .na.fill(0.0, ["lexical", "bm25", "semantic"]).na.fill(False, ["close"])
     )
 
 
@@ -274,13 +277,24 @@ def retrieve_from(
     weighted = staged(weighted_terms(asked, bagged), "question-terms")
     near = None
     if semantic:
-        near = semantic_pairs(asked, bagged).withColumn("semantic", F.bround("semantic", 4))
+        # The whole cosine admits a chunk, the rounded one ranks it.
+        near = semantic_pairs(asked, bagged).withColumn(
+            "close", F.col("semantic") >= fixed.SEMANTIC_GATE
+        ).withColumn("semantic", F.bround("semantic", 4))
     scored = score(weighted, bagged, near)
-    close = F.col("semantic") >= fixed.SEMANTIC_GATE
+    close = F.col("close")
     admitted = close if strategy == "vector" else (F.col("lexical") >= fixed.LEXICAL_GATE) | close
     top = rank_evidence(scored.where(admitted), strategy, limit)
-    detail = bagged.select("evidence_id", "title", "start", "end")
-    return top.join(detail, "evidence_id").select(
+    detail = bagged.select("evidence_id", "title", "start", "end", *(["vector"] if semantic else []))
+    found = top.join(detail, "evidence_id")
+    if semantic:
+        # Chunks admitted by their words report their cosine too; only returned rows need it.
+        own = asked.select("query_id", F.col("vector").alias("_asked"))
+        cosine = F.bround(terms.cosine(F.col("_asked"), F.col("vector")), 4)
+        found = found.join(own, "query_id").withColumn(
+            "semantic", F.when(F.col("semantic") >= fixed.SEMANTIC_GATE, F.col("semantic")).otherwise(cosine)
+        )
+    return found.select(
         "query_id", "rank", "evidence_id", "document_id", "title", "start", "end",
         F.bround("lexical", 4).alias("lexical_score"), F.col("semantic").alias("semantic_score"),
         F.bround("bm25", 4).alias("bm25_score"), F.bround("score", 6).alias("score"),

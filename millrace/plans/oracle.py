@@ -285,7 +285,8 @@ RETRIEVAL = {
         JOIN query_length l ON l.query_id = q.query_id
         GROUP BY q.query_id, p.evidence_id, p.document_id""",
     "semantic_score": """SELECT q.query_id, c.evidence_id, c.document_id,
-        round_even(list_cosine_similarity(q.vector, c.vector), 4) AS semantic
+        round_even(list_cosine_similarity(q.vector, c.vector), 4) AS semantic,
+        list_cosine_similarity(q.vector, c.vector) >= 0.5 AS close
         FROM question q JOIN chunk c ON c.plant_id = q.plant_id
         WHERE q.vector IS NOT NULL AND c.vector IS NOT NULL
           AND round_even(list_cosine_similarity(q.vector, c.vector), 4) >= 0.5""",
@@ -297,26 +298,28 @@ def _evidence(strategy: str) -> dict[str, str]:
         scored = "SELECT *, 0.0::DOUBLE AS semantic FROM lexical_score WHERE lexical >= 0.12"
         score = "1 / (60 + row_number() OVER (PARTITION BY query_id ORDER BY bm25 DESC, evidence_id))"
     else:
-        gate = "semantic >= 0.5" if strategy == "vector" else "lexical >= 0.12 OR semantic >= 0.5"
+        gate = "close" if strategy == "vector" else "lexical >= 0.12 OR close"
         scored = f"""SELECT * FROM (SELECT query_id, evidence_id, document_id,
             coalesce(lexical, 0.0) AS lexical, coalesce(bm25, 0.0) AS bm25,
-            coalesce(semantic, 0.0) AS semantic FROM lexical_score
+            coalesce(semantic, 0.0) AS semantic, coalesce(close, false) AS close FROM lexical_score
             FULL JOIN semantic_score USING (query_id, evidence_id, document_id)) WHERE {gate}"""
         score = "semantic" if strategy == "vector" else """
             1 / (60 + row_number() OVER (PARTITION BY query_id ORDER BY bm25 DESC, evidence_id))
             + CASE WHEN semantic >= 0.5 THEN 1 / (60 + row_number() OVER (PARTITION BY query_id
               ORDER BY CASE WHEN semantic >= 0.5 THEN semantic ELSE -2 END DESC, evidence_id)) ELSE 0 END"""
+    semantic = "semantic" if strategy == "lexical" else """CASE WHEN semantic >= 0.5 THEN semantic ELSE
+            coalesce(round_even(list_cosine_similarity(q.vector, c.vector), 4), 0.0) END"""
     return {
         **RETRIEVAL,
         "admitted": scored,
         "fused": f"SELECT *, {score} AS score FROM admitted",
         "capped": """SELECT *, row_number() OVER (PARTITION BY query_id, document_id
             ORDER BY score DESC, evidence_id) AS nth FROM fused""",
-        "evidence": """SELECT e.query_id, e.rank, e.evidence_id, e.document_id, c.title, c."start", c."end",
-            round_even(lexical, 4) AS lexical_score, semantic AS semantic_score, round_even(bm25, 4) AS bm25_score,
+        "evidence": f"""SELECT e.query_id, e.rank, e.evidence_id, e.document_id, c.title, c."start", c."end",
+            round_even(lexical, 4) AS lexical_score, {semantic} AS semantic_score, round_even(bm25, 4) AS bm25_score,
             round_even(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id
               ORDER BY score DESC, evidence_id) AS rank FROM capped WHERE nth <= 2) e
-            JOIN chunk c USING (evidence_id) WHERE e.rank <= 5""",
+            JOIN chunk c USING (evidence_id) JOIN question q ON q.query_id = e.query_id WHERE e.rank <= 5""",
     }
 
 

@@ -117,6 +117,18 @@ def test_cosine_gate(spark):
     assert retrieval.semantic_pairs(asked, chunked, 0.65).count() == 0
 
 
+def test_whole_cosine_admits_and_every_row_reports_its_own(spark):
+    ddl = "document_id LONG, plant_id LONG, title STRING, content STRING, version INT, vector ARRAY<DOUBLE>"
+    under = [0.49996, (1 - 0.49996**2) ** 0.5]  # rounds to the gate but lies below it
+    docs = spark.createDataFrame(
+        [(1, 1, "t", "other words", 1, under), (2, 1, "t", "the pump", 1, [0.3, 0.91**0.5]), (3, 1, "t", "the pump", 1, under), (4, 1, "t", "pump", 1, None)], ddl
+    )
+    asked = spark.createDataFrame([(1, 1, "pump", [1.0, 0.0])], "query_id LONG, plant_id LONG, query STRING, vector ARRAY<DOUBLE>")
+    assert retrieval.retrieve(docs, asked, "vector").count() == 0
+    found = {r.document_id: r.semantic_score for r in retrieval.retrieve(docs, asked, "auto").collect()}
+    assert found == {2: 0.3, 3: 0.5, 4: 0.0}
+
+
 def test_metrics(spark):
     evidence = spark.createDataFrame([(1, 1, "wrong"), (1, 2, "A"), (1, 3, "A"), (2, 1, "x")], "query_id LONG, rank LONG, title STRING")
     required = spark.createDataFrame([(1, "A"), (1, "B"), (3, "A")], "query_id LONG, title STRING")
