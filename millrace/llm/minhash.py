@@ -37,6 +37,8 @@ from millrace.session import staged
 SHINGLE = 5
 SIMILARITY = 0.8
 ROWS, BANDS = 4, 28
+# Texts whose signatures are computed together, about 40 MB of work arrays at once.
+GROUP_TEXTS, GROUP_ELEMENTS = 1000, 1 << 19
 
 _P = np.uint64(0x9E3779B97F4A7C15)
 _A, _B = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
@@ -68,50 +70,70 @@ def shingles(text: str | None, n: int = SHINGLE) -> tuple[np.ndarray, np.ndarray
     return np.unique(rolled, return_counts=True)
 
 
-def dart_signature(elements: np.ndarray, weights: np.ndarray, k: int) -> np.ndarray:
-    """The earliest dart of each of ``k`` coordinates, as hashes; weights above 0."""
-    total = float(weights.sum())
+def dart_signatures(elements: np.ndarray, weights: np.ndarray, owners: np.ndarray, n: int, k: int) -> np.ndarray:
+    """The earliest dart of each of ``k`` coordinates, as hashes, for each of ``n`` sets; weights above 0.
+
+    ``owners`` says which set (0 to n - 1) an element belongs to. Sets throw side by side, each up to
+    its own moment; those with a coordinate that no dart has hit throw again for twice as long.
+    """
+    total = np.bincount(owners, weights, n)
     until = (k * np.log(k) + 2 * k) / total
-    while True:
+    signature = np.zeros((n, k), np.uint64)
+    todo = np.arange(n)
+    while len(todo):
+        wanted = np.zeros(n, bool)
+        wanted[todo] = True
         # Regions of an element: up to 1, 1 to 2, 2 to 4, ... as far as its weight reaches.
-        seeds, widths, lows, limits = [], [], [], []
+        seeds, rates, lows, regions = [], [], [], []
         low, width, level = 0.0, 1.0, 0
-        inside = np.arange(len(elements))
+        inside = np.flatnonzero(wanted[owners])
         while len(inside):
             seeds.append(mix(elements[inside] + np.uint64((level + 1) * int(_P) % 2**64)))
-            widths.append(np.full(len(inside), width))
+            rates.append(np.full(len(inside), width))
             lows.append(np.full(len(inside), low))
-            limits.append(weights[inside])
+            regions.append(inside)
             low, width, level = low + width, low + width, level + 1
             inside = inside[weights[inside] > low]
-        seed, rate, start, limit = map(np.concatenate, (seeds, widths, lows, limits))
+        seed, rate, start, element = map(np.concatenate, (seeds, rates, lows, regions))
         moment = np.zeros(len(seed))
-        moments, darts = [], []
+        moments, darts, slots = [], [], []
         throw = 0
         while len(seed):
             throw += 1
             dart = mix(seed ^ np.uint64(throw * int(_A) % 2**64))
             moment = moment - np.log(unit(dart)) / rate
-            flying = moment <= until
-            seed, rate, start, limit = seed[flying], rate[flying], start[flying], limit[flying]
+            flying = np.flatnonzero(moment <= until[owners[element]])
+            seed, rate, start, element = seed[flying], rate[flying], start[flying], element[flying]
             dart, moment = dart[flying], moment[flying]
-            hit = start + rate * unit(mix(dart + _P)) <= limit
+            hit = start + rate * unit(mix(dart + _P)) <= weights[element]
             moments.append(moment[hit])
             darts.append(dart[hit])
-        dart, moment = np.concatenate(darts), np.concatenate(moments)
-        coordinate = (mix(dart ^ _B) % np.uint64(k)).astype(np.int64)
-        order = np.lexsort((dart, moment, coordinate))
-        first = order[np.r_[True, np.diff(coordinate[order]) > 0]] if len(order) else order
-        if len(first) == k:
-            return dart[first]
-        until *= 2
+            slots.append(owners[element[hit]] * k + (mix(dart[hit] ^ _B) % np.uint64(k)).astype(np.int64))
+        dart, moment, slot = map(np.concatenate, (darts, moments, slots))
+        earliest = np.full(n * k, np.inf)
+        np.minimum.at(earliest, slot, moment)
+        first = moment == earliest[slot]
+        chosen = np.full(n * k, np.iinfo(np.uint64).max, np.uint64)
+        np.minimum.at(chosen, slot[first], dart[first])
+        full = np.isfinite(earliest).reshape(n, k).all(axis=1)
+        done = todo[full[todo]]
+        signature[done] = chosen.reshape(n, k)[done]
+        todo = todo[~full[todo]]
+        until[todo] *= 2
+    return signature
+
+
+def dart_signature(elements: np.ndarray, weights: np.ndarray, k: int) -> np.ndarray:
+    """The signature of one set; see :func:`dart_signatures`."""
+    return dart_signatures(elements, weights, np.zeros(len(elements), np.int64), 1, k)[0]
 
 
 def band_keys(signature: np.ndarray, rows: int, bands: int) -> np.ndarray:
-    parts = signature.reshape(bands, rows)
+    """One key for each band of a signature, or of each row of several."""
+    parts = signature.reshape(*signature.shape[:-1], bands, rows)
     key = np.arange(1, bands + 1, dtype=np.uint64) * _P
     for column in range(rows):
-        key = mix(key * _P + parts[:, column])
+        key = mix(key * _P + parts[..., column])
     return key.view(np.int64)
 
 
@@ -125,20 +147,29 @@ def signatures(docs: DataFrame, id_column: str, text_column: str, weights: str,
         [("copy", pa.binary()), ("size", pa.int64()), ("bands", pa.list_(pa.int64()))]
     )
 
+    def signed(texts: list[str]) -> Iterator[tuple]:
+        """Signatures of many texts together; a very long one closes its group."""
+        held, size = [], 0
+        for n, text in enumerate(texts):
+            elements, counts = shingles(text)
+            if len(elements):
+                w = counts.astype(np.float64) if weights == "count" else np.ones(len(elements))
+                held.append((n, xxhash.xxh3_128_digest(b" ".join(split_words(text))), elements, w))
+                size += len(elements)
+            if held and (size >= GROUP_ELEMENTS or len(held) == GROUP_TEXTS or n == len(texts) - 1):
+                numbers, copies, sets, sizes = zip(*held, strict=True)
+                owners = np.repeat(np.arange(len(held)), [len(e) for e in sets])
+                found = dart_signatures(np.concatenate(sets), np.concatenate(sizes), owners, len(held), rows * bands)
+                yield numbers, copies, [int(w.sum()) for w in sizes], band_keys(found, rows, bands)
+                held, size = [], 0
+
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            kept, found = [], {"copy": [], "size": [], "bands": []}
-            for n, text in enumerate(batch.column(1).to_pylist()):
-                elements, counts = shingles(text)
-                if len(elements):
-                    w = counts.astype(np.float64) if weights == "count" else np.ones(len(elements))
-                    kept.append(n)
-                    found["copy"].append(xxhash.xxh3_128_digest(b" ".join(split_words(text))))
-                    found["size"].append(int(w.sum()))
-                    found["bands"].append(band_keys(dart_signature(elements, w, rows * bands), rows, bands))
-            part = pa.RecordBatch.from_pydict(found, out_schema)
-            ids = batch.column(0).take(pa.array(kept, pa.int64()))
-            yield pa.RecordBatch.from_arrays([ids, *part.columns], ["id", *part.schema.names])
+            for numbers, copies, sizes, keys in signed(batch.column(1).to_pylist()):
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1, dtype=np.int32) * bands), pa.array(keys.ravel()))
+                part = pa.RecordBatch.from_arrays([pa.array(copies, pa.binary()), pa.array(sizes, pa.int64()), lists], out_schema)
+                ids = batch.column(0).take(pa.array(numbers, pa.int64()))
+                yield pa.RecordBatch.from_arrays([ids, *part.columns], ["id", *part.schema.names])
 
     return source.mapInArrow(sign, schema)
 

@@ -183,3 +183,17 @@ def test_gradients_match_differences():
         low = loss()
         net.p[name][at] = before
         assert abs((high - low) / (2 * step) - grad[name][at]) < 5e-3
+
+
+@pytest.mark.parametrize("counted", [False, True])
+def test_signatures_do_not_depend_on_the_texts_beside(counted):
+    rng = np.random.default_rng(5)
+    sets = [rng.integers(0, 2**63, n).astype(np.uint64) for n in (1, 2, 900, 5, 40, 1)]
+    weights = [rng.integers(1, 9, len(s)).astype(float) if counted else np.ones(len(s)) for s in sets]
+    owners = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    together = minhash.dart_signatures(np.concatenate(sets), np.concatenate(weights), owners, len(sets), 112)
+    keys = minhash.band_keys(together, 4, 28)
+    for n, (s, w) in enumerate(zip(sets, weights, strict=True)):
+        alone = minhash.dart_signature(s, w, 112)
+        assert (together[n] == alone).all()
+        assert (keys[n] == minhash.band_keys(alone, 4, 28)).all()
