@@ -127,12 +127,21 @@ def first_places(strings: DataFrame, window: int) -> DataFrame:
     """
     id_type = dict(strings.dtypes)["id"]
     schema = f"digest binary, ids array<{id_type}>, starts array<int>"
+    # The list of hot minimisers is short next to the strings; written, its size is known to the plan.
     sizes = strings.groupBy("mini").agg(F.count("*").alias("size"))
-    known = strings.join(sizes, "mini")
-    cold = known.where(F.col("size") <= BUCKET_STRINGS).drop("size")
-    hot = known.where(F.col("size") > BUCKET_STRINGS).drop("size")
+    crowded = staged(sizes.where(F.col("size") > BUCKET_STRINGS).select("mini"), "crowded")
+    cold = strings.join(crowded, "mini", "left_anti")
+    hot = strings.join(crowded, "mini", "left_semi")
 
     def sort_bucket(rows: list[tuple]) -> Iterator[tuple]:
+        if len(rows) == 1:
+            _, digest, string, place, start, places = rows[0]
+            split = string.split(b" ")
+            n = len(split) - window + 1
+            if len(set(split[:n])) == n:  # windows that begin with different words are different
+                if places > 1:
+                    yield digest, [place] * n, list(range(start, start + n))
+                return
         windows = []
         for n, (_, _, string, place, start, _) in enumerate(rows):
             split = string.split(b" ")
