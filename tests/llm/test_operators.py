@@ -139,6 +139,32 @@ def test_edited_passages_are_found(docs, spark):
     assert found.where("item_id = 1 and (similarity < 1 or end_word - start_word <> 45)").isEmpty()
 
 
+def test_heavily_edited_copies_equal_brute_force(spark):
+    rng = random.Random(8)
+    vocabulary = ["".join(rng.choices("abcdefgh", k=rng.randint(2, 5))) for _ in range(600)]
+    weights = [1 / (n + 1) for n in range(600)]
+    say = lambda n: rng.choices(vocabulary, weights, k=n)
+    items = [say(n) for n in (16, 24, 30, 40, 60)]
+    texts = [" ".join(say(rng.randint(0, 300))) for _ in range(60)] + [" ".join(say(5000))]
+    for item in items:
+        for step, times in ((4, 1), (4, 30), (5, 1), (5, 30), (6, 1), (6, 30), (3, 1)):
+            copy = [f"new{rng.random()}" if k % step == step - 1 else w for k, w in enumerate(item)]
+            texts += [" ".join(say(40) + copy + say(40)) for _ in range(times)]
+        spread = [x for k, w in enumerate(item) for x in ([w, "between"] if k % 2 else [w])]
+        texts += [" ".join(spread), " ".join(say(9) + spread + say(9)), " ".join(w for k, w in enumerate(item) if k % 5)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    benchmark = spark.createDataFrame([(n, " ".join(i)) for n, i in enumerate(items)], "item_id bigint, text string")
+    expected = {}
+    for d, text in enumerate(texts):
+        for n, item in enumerate(items):
+            score, _ = decontamination.align(decontamination.word_hashes(" ".join(item)), decontamination.word_hashes(text))
+            if score >= len(item):
+                expected[d, n] = score / (2 * len(item))
+    assert len(expected) > 450
+    found = decontamination.contaminated(docs, benchmark).collect()
+    assert {(r.doc_id, r.item_id): r.similarity for r in found} == expected
+
+
 def test_budgets_move_shortages_to_siblings_first(spark):
     leaves = [("a", "en", "s1", 100), ("a", "en", "s2", 1000), ("a", "de", "s3", 1000), ("b", "en", "s4", 10)]
     df = spark.createDataFrame(leaves, "domain string, lang string, source string, tokens bigint")
