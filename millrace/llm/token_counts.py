@@ -1,12 +1,14 @@
 """Token counts by dynamic programming over prefixes.
 
 ``prefix_counts`` stores, for every text, the number of tokens of each prefix that ends with a
-word: the count of a prefix is that of the prefix one word shorter plus the tokens of the word,
-and words are encoded once (see :mod:`millrace.llm.pieces`). Within a word the same is done by
-character: the last token of a prefix is the one vocabulary entry that ends there and whose
-neighbour, the last token of the prefix before it, would not have been merged with it; the count
-is that of the earlier prefix plus one. So every prefix has an exact count, and questions about
-truncation and budgets are answered from the stored counts without encoding a text again.
+character other than white space: the count of such a prefix is that of the words before plus that
+of the beginning of its last word. Within a word dynamic programming goes by character: the last
+token of a prefix is the one vocabulary entry that ends there and whose neighbour, the last token
+of the prefix before it, would not have been merged with it; the count is that of the earlier
+prefix plus one. Each distinct word is counted once per worker while memory allows. So every prefix
+has an exact count, that of the prefix encoded as a text of its own, and questions about truncation
+and budgets are answered from the stored counts without encoding a text again. A longer prefix of
+a word can have fewer tokens.
 
 Cases: null and empty texts have no bytes, no tokens and empty lists. Special strings inside texts
 are tokens of their own, as the library does by default. Very long texts have long lists; nothing
@@ -15,15 +17,19 @@ is cut. Rows are never dropped; extra columns are not read. Empty tables give em
 
 from __future__ import annotations
 
+import struct
+import unicodedata
 from collections.abc import Iterator
+from functools import cache
+from operator import sub
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import split_words, table
-from millrace.llm.pieces import load_tokenizer, word_pieces
+from millrace.llm.common import table
+from millrace.llm.pieces import WordPieces, load_tokenizer
 
 VOCABULARY = "word_bpe_49k.json"
 LIMIT = 2048
@@ -40,16 +46,16 @@ def prefix_counts(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = None
         for batch in batches:
-            pieces = pieces or word_pieces(vocabulary)
+            pieces = pieces or prefix_pieces(vocabulary)
             for begin in range(0, batch.num_rows, GROUP):
                 part = batch.slice(begin, GROUP)
                 raw = [(t or "").encode("utf-8", "surrogatepass") for t in part.column(1).to_pylist()]
                 split = [r.split() for r in raw]
-                counts = [np.cumsum(c, dtype=np.int32) for c in pieces.counts(split)]
+                counts = pieces.counts(split)
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column(0), pa.array([len(r) for r in raw], pa.int64()),
-                        pa.array([_word_ends(r) for r in raw], ints), pa.array(counts, ints),
+                        pa.array([_ends(r) for r in raw], ints), pa.array(counts, ints),
                     ],
                     [id_column, "n_bytes", "ends", "counts"],
                 )
@@ -61,13 +67,12 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 
 
-def _word_ends(raw: bytes) -> np.ndarray:
-    """The byte after each word."""
-    if not raw:
-        return np.zeros(0, np.int32)
-    space = _SPACE[np.frombuffer(raw, np.uint8)]
-    ends = np.flatnonzero(~space[:-1] & space[1:]).astype(np.int32) + 1
-    return ends if space[-1] else np.append(ends, np.int32(len(raw)))
+def _ends(raw: bytes) -> np.ndarray:
+    """The byte after each character that is no white space."""
+    held = np.frombuffer(raw, np.uint8)
+    last = np.ones(len(held), bool)
+    last[:-1] = (held[1:] & 0xC0) != 0x80
+    return np.flatnonzero(last & ~_SPACE[held]).astype(np.int32) + 1
 
 
 def total(counts: Column) -> Column:
@@ -76,15 +81,14 @@ def total(counts: Column) -> Column:
 
 
 def tokens_before(ends: Column, counts: Column, byte: Column) -> Column:
-    """Tokens of the words that end by a byte of the text."""
+    """Tokens of the prefix of all characters that end by a byte of the text."""
     inside = F.array_size(F.filter(ends, lambda e: e <= byte))
     return F.when(inside > 0, F.get(counts, inside - 1)).otherwise(0).cast("long")
 
 
 def bytes_within(ends: Column, counts: Column, budget: Column) -> Column:
-    """The longest prefix of whole words with at most ``budget`` tokens, in bytes."""
-    inside = F.array_size(F.filter(counts, lambda c: c <= budget))
-    return F.when(inside > 0, F.get(ends, inside - 1)).otherwise(0).cast("long")
+    """The longest prefix with at most ``budget`` tokens, in bytes."""
+    return F.coalesce(F.array_max(F.zip_with(ends, counts, lambda e, c: F.when(c <= budget, e))), F.lit(0)).cast("long")
 
 
 class WordPrefixes:
@@ -95,43 +99,58 @@ class WordPrefixes:
 
         self.tokenizer = load_tokenizer(vocabulary)
         model = json.loads(self.tokenizer.to_str())["model"]
-        self.vocabulary = set(model["vocab"])
-        self.ranks = {tuple(m): n for n, m in enumerate(model["merges"])}
-        self.longest = max(map(len, self.vocabulary))
-        self._fits: dict[tuple[str, str], bool] = {}
-
-    def _symbols(self, token: str) -> list[str]:
-        return [*token[: -len(WORD_END) - 1], token[-len(WORD_END) - 1 :]] if token.endswith(WORD_END) else list(token)
-
-    def _fit(self, left: str, right: str) -> bool:
-        """Whether two tokens stay apart when the symbols of both are merged in order of rank."""
-        known = self._fits.get((left, right))
-        if known is None:
-            symbols = self._symbols(left) + self._symbols(right)
-            while True:
-                ranked = [(self.ranks.get(p, len(self.ranks)), n) for n, p in enumerate(zip(symbols, symbols[1:], strict=False))]
-                best = min(ranked, default=(len(self.ranks), 0))
-                if best[0] == len(self.ranks):
-                    break
-                symbols[best[1] : best[1] + 2] = [symbols[best[1]] + symbols[best[1] + 1]]
-            known = self._fits[left, right] = symbols == [left, right]
-        return known
+        # Numbers in the order of merging: first the symbols that nothing is merged into.
+        merged = {left + right for left, right in model["merges"]}
+        number = {t: n for n, t in enumerate(t for t in model["vocab"] if t not in merged)}
+        self.parts = [(n, n) for n in range(len(number))]
+        self.merged: dict[tuple[int, int], int] = {}
+        for left, right in model["merges"]:
+            self.merged[number[left], number[right]] = number[left + right] = len(self.parts)
+            self.parts.append((number[left], number[right]))
+        # By spelling: the token inside a word, and the one that closes it.
+        self.entries = {t.removesuffix(WORD_END): (number.get(t.removesuffix(WORD_END)), number.get(t.removesuffix(WORD_END) + WORD_END)) for t in number}
+        self.longest = max(map(len, number))
+
+    def _fit(self, left: int, right: int) -> bool:
+        """Whether two tokens stay apart when the symbols of both are merged in order of rank: no
+        two parts that meet at their border may be merged before one of them is complete."""
+        limit = len(self.parts)
+        while True:
+            if self.merged.get((left, right), limit) < limit:
+                return False
+            if left > right:
+                limit, left = left, self.parts[left][1]
+                if left == limit:
+                    limit, right = right + 1, self.parts[right][0]
+                    if right + 1 == limit:
+                        return True
+            else:
+                limit, right = right + 1, self.parts[right][0]
+                if right + 1 == limit:
+                    limit, left = left, self.parts[left][1]
+                    if left == limit:
+                        return True
 
     def counts(self, word: str) -> list[int]:
         """Tokens of ``word[:1]``, ``word[:2]``... each as a word of its own; ``word`` in the
         vocabulary's byte alphabet, as the pre-tokenizer gives it."""
-        last: list[str | None] = [None]
-        count, out = [0], []
+        last: list[int | None] = [None]
+        count, out, entries = [0], [], self.entries
         for end in range(1, len(word) + 1):
             inner = closing = None
             for begin in range(max(0, end - self.longest), end):
-                token = word[begin:end]
-                if begin and last[begin] is None:
+                entry = entries.get(word[begin:end])
+                if entry is None:
+                    continue
+                before = last[begin]
+                if begin and before is None:
                     continue
-                if closing is None and token + WORD_END in self.vocabulary and (not begin or self._fit(last[begin], token + WORD_END)):
+                if closing is None and entry[1] is not None and (not begin or self._fit(before, entry[1])):
                     closing = count[begin] + 1
-                if inner is None and token in self.vocabulary and (not begin or self._fit(last[begin], token)):
-                    inner = (token, count[begin] + 1)
+                if inner is None and entry[0] is not None and (not begin or self._fit(before, entry[0])):
+                    inner = (entry[0], count[begin] + 1)
+                if inner is not None and closing is not None:
+                    break
             last.append(inner[0] if inner else None)
             count.append(inner[1] if inner else 0)
             out.append(closing)
@@ -149,6 +168,58 @@ class WordPrefixes:
         return out
 
 
+class PrefixPieces(WordPieces):
+    """Token counts of all prefixes of words: what each character adds, as little-endian 16-bit
+    numbers, so that those of a text follow one another."""
+
+    def __init__(self, vocabulary: str):
+        super().__init__(vocabulary)
+        self.program = WordPrefixes(vocabulary)
+
+    def alone(self, tail: bytes) -> bytes:
+        counts = self.prefixes(tail)
+        return struct.pack(f"<{len(counts)}h", *map(sub, counts, [0, *counts]))
+
+    def learn(self, pieces: list[bytes]) -> None:
+        self.kept.update((p, self.alone(p)) for p in pieces)
+
+    def size(self, text: str) -> int:
+        return len(self.tokenizer.encode(text, add_special_tokens=False).ids)
+
+    def prefixes(self, piece: bytes) -> list[int]:
+        if piece.isalpha():  # ASCII letters only
+            return self.program.counts(piece.lower().decode())
+        ends, text = _ends(piece), piece.decode("utf-8", "replace")
+        normal = self.tokenizer.normalizer.normalize_str(text)
+        # Where the normal form joins or adds characters, or special strings may be, prefixes differ in more than their end.
+        odd = "<|" in text or "İ" in text or any(map(str.isspace, text)) or not unicodedata.is_normalized("NFC", text)
+        if odd or not len(ends) == len(text) == len(normal):
+            return [self.size(piece[:e].decode("utf-8", "replace")) for e in ends.tolist()]
+        before, out = 0, []
+        for word, (begin, end) in self.tokenizer.pre_tokenizer.pre_tokenize_str(normal):
+            out += [before] * (begin - len(out))
+            part = normal[begin:end]
+            if part[0] == "'" and part[1:].isalpha():  # a contraction: without its end, a sign and letters
+                own = [self.size(part[: k + 1]) for k in range(len(part))]
+            else:
+                own = self.program.counts(word)
+                if not part.isascii():
+                    own = [own[e - 1] for e in _ends(part.encode()).tolist()]
+            out += [before + c for c in own]
+            before = out[-1]
+        return out + [before] * (len(text) - len(out))
+
+    def counts(self, group: list[list[bytes]]) -> list[np.ndarray]:
+        get = self.known(group).__getitem__
+        return [np.cumsum(np.frombuffer(b"".join(map(get, parts)), "<i2"), dtype=np.int32) for parts in group]
+
+
+@cache
+def prefix_pieces(vocabulary: str) -> PrefixPieces:
+    """One for each Python worker: a worker keeps its words from task to task."""
+    return PrefixPieces(vocabulary)
+
+
 def op7_token_counts(spark, sf_dir: str) -> DataFrame:
     counted = prefix_counts(table(spark, sf_dir, "documents"))
     n_tokens = total(F.col("counts"))

@@ -11,7 +11,7 @@ from hypothesis import strategies as st
 
 from millrace.llm import decontamination, minhash, repair, substrings, toxicity, warc_zip
 from millrace.llm.pieces import BytePieces, WordPieces
-from millrace.llm.token_counts import WordPrefixes
+from millrace.llm.token_counts import PrefixPieces, WordPrefixes, _ends
 
 ALPHABET = ["a", "B", " ", "  ", "\n", "\t", "\x0b", "\x85", "\xa0", "'s", "9", "é", "́", "Σ", "漢字", "<|endoftext|>", "!", "$%", "İ", "the", "\r"]
 odd_texts = st.lists(st.sampled_from(ALPHABET), max_size=14).map("".join)
@@ -48,6 +48,19 @@ def test_counts_of_every_prefix_of_a_word(word_pieces):
         assert prefixes.counts(word) == expected
 
 
+@pytest.fixture(scope="module")
+def prefix_pieces():
+    return PrefixPieces("word_bpe_49k.json")
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.one_of(odd_texts, st.text(max_size=30)))
+def test_counts_of_every_prefix_of_a_text(prefix_pieces, text):
+    raw = text.encode("utf-8", "replace")
+    expected = [len(prefix_pieces.tokenizer.encode(raw[:e].decode(), add_special_tokens=False).ids) for e in _ends(raw).tolist()]
+    assert prefix_pieces.counts([raw.split()])[0].tolist() == expected
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.integers(0, 5), max_size=400), st.integers(0, 400), st.integers(0, 400))
 def test_grammar_expands_to_the_tokens(tmp_path_factory, tokens, a, b):

@@ -205,6 +205,19 @@ def test_prefix_counts_answer_budgets(docs):
         assert r["bytes"] == (max(inside) if inside else 0) and r["all"] == (r["counts"][-1] if r["counts"] else 0)
 
 
+def test_prefixes_inside_words_are_counted(spark):
+    tokenizer = token_counts.load_tokenizer(token_counts.VOCABULARY)
+    size = lambda t: len(tokenizer.encode(t, add_special_tokens=False).ids)
+    texts = ["漢字仮名交じり文" * 9, "xqzvkjw" * 20, "isn't  it’s 42 internationalisation"]
+    counted = token_counts.prefix_counts(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"))
+    for budget in (3, 8, 20):
+        asked = token_counts.bytes_within(F.col("ends"), F.col("counts"), F.lit(budget))
+        for r in counted.select("doc_id", asked.alias("bytes"), token_counts.tokens_before(F.col("ends"), F.col("counts"), asked).alias("n")).collect():
+            text = texts[r.doc_id]
+            longest = max(t for t in (text[:k].rstrip() for k in range(len(text) + 1)) if size(t) <= budget)
+            assert (r.bytes, r.n) == (len(longest.encode()), size(longest))
+
+
 def test_toxic_texts_go(spark):
     rng = random.Random(4)
     w = ["".join(rng.choices("abcdefgh", k=5)) for _ in range(100)]
