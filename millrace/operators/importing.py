@@ -16,7 +16,7 @@ from millrace.functions import fixed_values as fixed
 from millrace.functions import parsing
 from millrace.functions.text import clean, fold, is_missing, lookup, raw_text
 from millrace.operators.assets import active_path, hierarchy
-from millrace.operators.running import first_rows
+from millrace.operators.running import first_rows, running_total
 from millrace.session import staged
 from millrace.sources.tables import Tables
 
@@ -411,8 +411,17 @@ def issues(classified: DataFrame, mapping: ImportMapping) -> DataFrame:
     )
 
 
-def stored_issues(all_issues: DataFrame, limit: int = fixed.ISSUE_STORE_LIMIT) -> DataFrame:
-    """The issues that a batch keeps: the first ``limit`` by row and position."""
+# Rows of a batch whose issues are numbered together.
+ISSUE_CHUNK_ROWS = 4096
+
+
+def stored_issues(all_issues: DataFrame, limit: int | None = None) -> DataFrame:
+    """The issues that a batch keeps, numbered by row and position: all, or the first ``limit``."""
+    if limit is None:
+        order = [F.col("row_number").asc(), F.col("emit_order").asc(), F.col("issue_type").asc()]
+        chunk = F.floor(F.col("row_number") / ISSUE_CHUNK_ROWS)
+        numbered = running_total(all_issues, ["batch_id"], chunk, order, F.lit(1), "issue_number")
+        return numbered.withColumn("issue_number", F.col("issue_number").cast("int"))
     unique = F.struct("row_number", "emit_order", "issue_type")
     return first_rows(
         all_issues, ["batch_id"],
@@ -422,7 +431,7 @@ def stored_issues(all_issues: DataFrame, limit: int = fixed.ISSUE_STORE_LIMIT) -
 
 
 def counters(
-    classified: DataFrame, all_issues: DataFrame, limit: int = fixed.ISSUE_STORE_LIMIT
+    classified: DataFrame, all_issues: DataFrame, limit: int | None = None
 ) -> DataFrame:
     """The counters of every batch. A row warns at most once, so warnings count rows."""
     measured = classified.groupBy("batch_id").agg(
@@ -436,6 +445,8 @@ def counters(
         F.count("*").alias("issue_count"),
     )
     joined = measured.join(reported, "batch_id", "left").na.fill(0, ["warning_rows", "issue_count"])
+    if limit is None:
+        return joined.withColumn("stored_issue_count", F.col("issue_count")).withColumn("issues_truncated", F.lit(False))
     return joined.withColumn("stored_issue_count", F.least("issue_count", F.lit(limit))).withColumn(
         "issues_truncated", F.col("issue_count") > limit
     )
@@ -476,7 +487,7 @@ class ImportResult:
 
 def process(
     spark: SparkSession, raw: DataFrame, mapping: ImportMapping, t: Tables, samples_path: str,
-    received_at: Column | None = None, issue_limit: int = fixed.ISSUE_STORE_LIMIT,
+    received_at: Column | None = None, issue_limit: int | None = None,
 ) -> ImportResult:
     """Import the files in ``raw`` and publish each batch as a whole.
 

@@ -362,6 +362,20 @@ def import_issues(spark, sf_dir):
     return _longs(importing.stored_issues(found, ISSUE_LIMIT), "issue_number", "emit_order")
 
 
+@registered
+def all_import_counters(spark, sf_dir):
+    """As ``import_counters``, whose SQL keeps 50 issues a batch, with every issue stored."""
+    classified = _classified(spark, sf_dir)
+    return importing.counters(classified, importing.issues(classified, workloads.LONG_MAPPING))
+
+
+@registered
+def all_import_issues(spark, sf_dir):
+    """As ``import_issues``, whose SQL keeps 50 issues a batch, with every issue stored."""
+    found = importing.issues(_classified(spark, sf_dir), workloads.LONG_MAPPING)
+    return _longs(importing.stored_issues(found), "issue_number", "emit_order")
+
+
 @registered
 def import_issue_summary(spark, sf_dir):
     found = importing.issues(_classified(spark, sf_dir), workloads.LONG_MAPPING)

@@ -117,6 +117,20 @@ def test_issue_cap_counts_everything(spark):
     assert report.columns[1:] == ["行号", "严重级别", "问题类型", "字段", "原始值", "说明"]
 
 
+def test_all_issues_are_stored_without_a_limit(spark, monkeypatch):
+    monkeypatch.setattr(importing, "ISSUE_CHUNK_ROWS", 7)
+    classified = importing.classify(
+        raw_rows(spark, [("bad", "D1", "TEMP", "1", None)] * 60), LONG, tables := plant_with_tags(spark, FLOAT_TAG),
+        importing.existing_keys(tables.tag_sample),
+    )
+    found = importing.issues(classified, LONG)
+    counts = importing.counters(classified, found).first()
+    assert (counts["issue_count"], counts["stored_issue_count"], counts["issues_truncated"]) == (60, 60, False)
+    stored, limited = importing.stored_issues(found), importing.stored_issues(found, 1000)
+    assert stored.schema.names == limited.schema.names
+    assert sorted(map(str, stored.collect())) == sorted(map(str, limited.collect())) and stored.count() == 60
+
+
 @pytest.mark.parametrize(
     "bad",
     [
