@@ -83,6 +83,22 @@ def batch_totals(t: Tables) -> DataFrame:
     )
 
 
+def all_task_status(t: Tables) -> DataFrame:
+    """Every task of every plant, with the columns of ``task_status``."""
+    return _status(t.acquisition_task.withColumn("truncated", F.lit(False)))
+
+
+def _status(tasks: DataFrame) -> DataFrame:
+    return tasks.select(
+        "plant_id", "task_id", "name", "desired_state", "connection_state",
+        F.col("worker_heartbeat_at").alias("heartbeat_at"), "last_sample_at",
+        F.col("samples_received").alias("received"), F.col("samples_written").alias("written"),
+        F.col("dropped_count").alias("dropped"), F.col("duplicate_count").alias("duplicates"),
+        F.col("error_count").alias("errors"), F.col("reconnect_count").alias("reconnects"),
+        "truncated",
+    )
+
+
 def task_status(t: Tables, limit: int = 10) -> DataFrame:
     """The first tasks of every plant by (name, id), and whether there are more."""
     if not 1 <= limit <= 20:
@@ -92,14 +108,7 @@ def task_status(t: Tables, limit: int = 10) -> DataFrame:
         limit + 1, F.col("task_id"),
     )
     more = F.max("rank").over(W.partitionBy("plant_id")) > limit
-    return probed.withColumn("truncated", more).where(F.col("rank") <= limit).select(
-        "plant_id", "task_id", "name", "desired_state", "connection_state",
-        F.col("worker_heartbeat_at").alias("heartbeat_at"), "last_sample_at",
-        F.col("samples_received").alias("received"), F.col("samples_written").alias("written"),
-        F.col("dropped_count").alias("dropped"), F.col("duplicate_count").alias("duplicates"),
-        F.col("error_count").alias("errors"), F.col("reconnect_count").alias("reconnects"),
-        "truncated",
-    )
+    return _status(probed.withColumn("truncated", more).where(F.col("rank") <= limit))
 
 
 def fleet_totals(t: Tables) -> DataFrame:

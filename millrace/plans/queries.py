@@ -189,6 +189,13 @@ def device_facts(spark, sf_dir):
     return evaluation.device_facts(assets.asset_overview(star.bind(spark, sf_dir)))
 
 
+@registered
+def all_device_facts(spark, sf_dir):
+    """As ``device_facts``, whose SQL keeps 30 devices a plant, with every device."""
+    counts = assets.device_tag_counts(star.bind(spark, sf_dir))
+    return evaluation.device_facts(counts.withColumnRenamed("tag_count", "device_tag_count"))
+
+
 @registered
 def find_tags(spark, sf_dir):
     return assets.find_tags(star.bind(spark, sf_dir), "1", 20)
@@ -256,7 +263,7 @@ def task_status(spark, sf_dir):
 
 @registered
 def task_facts(spark, sf_dir):
-    return evaluation.task_facts(batches.task_status(star.bind(spark, sf_dir), 10))
+    return evaluation.task_facts(batches.all_task_status(star.bind(spark, sf_dir)))
 
 
 @registered

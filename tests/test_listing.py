@@ -1,9 +1,13 @@
 """Reports, listings and unions that no registered query covers."""
 
+from types import SimpleNamespace
+
 from helpers import utc
 from pyspark.sql import functions as F
 
 from millrace.operators import importing, retrieval
+from millrace.plans.queries import REGISTRY
+from millrace.sources import star_binding as star
 from millrace.sources import tabular
 from millrace.sources.tables import SCHEMAS, all_samples, normalise_roles
 
@@ -42,3 +46,15 @@ def test_roles_are_normalised(spark):
     users = spark.createDataFrame([(1, "observer", True, True), (2, "admin", False, True), (3, "engineer", None, True)], SCHEMAS["user"])
     found = {r.user_id: (r.role, r.is_superuser) for r in normalise_roles(users).collect()}
     assert found == {1: ("admin", True), 2: ("admin", True), 3: ("engineer", False)}
+
+
+def test_every_device_and_task_has_a_fact(spark, sf_dir, monkeypatch):
+    tables = star.bind(spark, sf_dir)
+    tasks = tables.acquisition_task.limit(1)
+    more = tasks.crossJoin(spark.range(15)).withColumn("task_id", F.col("id")).drop("id")
+    line = tables.production_line.first().line_id
+    first = tables.device.limit(1).crossJoin(spark.range(35).withColumnRenamed("id", "_n"))
+    many = first.withColumn("device_id", F.col("_n") + 100_000).withColumn("line_id", F.lit(line)).drop("_n")
+    monkeypatch.setattr(star, "bind", lambda *_: SimpleNamespace(production_line=tables.production_line, tag=tables.tag, device=many, acquisition_task=more))
+    assert REGISTRY["all_device_facts"](spark, sf_dir).count() == 35
+    assert REGISTRY["task_facts"](spark, sf_dir).count() == 15
