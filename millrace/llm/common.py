@@ -61,6 +61,11 @@ def free_name(wanted: str, taken: Iterable[str]) -> str:
     return name
 
 
+def column(name: str) -> Column:
+    """The column of exactly this name, even if it holds dots or back-quotes."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def union_all(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
 

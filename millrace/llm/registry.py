@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from millrace.llm import (
     decontamination,
+    line_dedup,
     minhash,
     mixing,
     quality,
@@ -30,6 +31,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontamination": decontamination.op8_decontamination,
     "op9_mixing": mixing.op9_mixing,
     "op10_warc_zip": warc_zip.op10_warc_zip,
+    "op12_line_dedup": line_dedup.op12_line_dedup,
 }
 
-SQL: dict[str, str] = {**url_filter.SQL, **mixing.SQL, **warc_zip.SQL}
+SQL: dict[str, str] = {**url_filter.SQL, **mixing.SQL, **warc_zip.SQL, **line_dedup.SQL}
