@@ -12,6 +12,7 @@ from millrace.llm import (
     minhash,
     mixing,
     quality,
+    ranked_search,
     repair,
     substrings,
     token_counts,
@@ -32,6 +33,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_mixing": mixing.op9_mixing,
     "op10_warc_zip": warc_zip.op10_warc_zip,
     "op12_line_dedup": line_dedup.op12_line_dedup,
+    "op13_ranked_search": ranked_search.op13_ranked_search,
 }
 
-SQL: dict[str, str] = {**url_filter.SQL, **mixing.SQL, **warc_zip.SQL, **line_dedup.SQL}
+SQL: dict[str, str] = {**url_filter.SQL, **mixing.SQL, **warc_zip.SQL, **line_dedup.SQL, **ranked_search.SQL}
