@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from millrace.llm import (
+    conversations,
     decontamination,
     line_dedup,
     minhash,
@@ -32,8 +33,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontamination": decontamination.op8_decontamination,
     "op9_mixing": mixing.op9_mixing,
     "op10_warc_zip": warc_zip.op10_warc_zip,
+    "op11_conversations": conversations.op11_conversations,
     "op12_line_dedup": line_dedup.op12_line_dedup,
     "op13_ranked_search": ranked_search.op13_ranked_search,
 }
 
-SQL: dict[str, str] = {**url_filter.SQL, **mixing.SQL, **warc_zip.SQL, **line_dedup.SQL, **ranked_search.SQL}
+SQL: dict[str, str] = {
+    **url_filter.SQL,
+    **mixing.SQL,
+    **warc_zip.SQL,
+    **conversations.SQL,
+    **line_dedup.SQL,
+    **ranked_search.SQL,
+}
