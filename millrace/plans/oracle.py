@@ -970,6 +970,18 @@ QUERIES: dict[str, tuple[dict[str, str], str]] = {
         count(*) FILTER (tag_id IS NOT NULL AND nth > 1) AS duplicate_count,
         count(*) FILTER (tag_id IS NULL) AS dropped_count,
         max(stamp) FILTER (tag_id IS NOT NULL) AS last_sample_at FROM mapped GROUP BY task_id"""),
+    "stream_over_batches": (NOTIFIED, """SELECT task_id,
+        count(*) FILTER (tag_id IS NOT NULL) AS samples_received,
+        count(*) FILTER (tag_id IS NOT NULL AND first) AS samples_written,
+        count(*) FILTER (tag_id IS NOT NULL AND NOT first) AS duplicate_count,
+        count(*) FILTER (tag_id IS NULL) AS dropped_count,
+        max(stamp) FILTER (tag_id IS NOT NULL) AS last_sample_at, max(received_at) AS heartbeat_at,
+        nullif(count(*) FILTER (tag_id IS NOT NULL AND first), 0) AS stored_samples,
+        CAST(sum(seq) FILTER (tag_id IS NOT NULL AND first) AS BIGINT) AS seq_total,
+        nullif(count(DISTINCT tag_id) FILTER (tag_id IS NOT NULL), 0) AS tags
+        FROM (SELECT *, row_number() OVER (PARTITION BY task_id, tag_id, stamp
+            ORDER BY (seq // 2 + seq % 2) % 4, received_at, seq) = 1 AS first FROM mapped)
+        GROUP BY task_id"""),
     "stream_stored_samples": (NOTIFIED, """SELECT task_id, tag_id, count(*) AS samples, max(stamp) AS newest,
         round(sum(numeric_value), 2) AS total FROM mapped WHERE tag_id IS NOT NULL AND nth = 1 GROUP BY ALL"""),
 }

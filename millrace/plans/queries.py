@@ -17,7 +17,7 @@ from millrace.plans import workloads
 from millrace.session import configure, fresh_folder
 from millrace.sources import star_binding as star
 from millrace.sources import tabular
-from millrace.streaming.acquisition import LiveStore, mapped_nodes, to_samples
+from millrace.streaming.acquisition import LiveStore, mapped_nodes, notifications, to_samples
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -666,6 +666,31 @@ def _streamed(spark, sf_dir):
     return store
 
 
+SLOTS = 4
+
+
+def _streamed_in_slots(spark, sf_dir):
+    """The same notifications in four arrivals: repeats land in another one, and the stream restarts for each."""
+    inbox, store = fresh_folder(spark, "inbox"), LiveStore(spark, fresh_folder(spark, "live"), merge_above=2)
+    nodes = mapped_nodes(star.nodes(spark, sf_dir), star.tasks(spark, sf_dir))
+    arriving = workloads.notifications(spark, sf_dir).withColumn("slot", workloads.arrival_slot(SLOTS))
+    for slot in range(SLOTS):
+        arriving.where(F.col("slot") == slot).drop("slot").write.mode("append").parquet(inbox)
+        stream = notifications(spark, inbox, files_per_batch=10_000)
+        store.start(to_samples(stream, nodes)).awaitTermination()
+    return store
+
+
+@registered
+def stream_over_batches(spark, sf_dir):
+    """Running counters after several micro-batches, and which notification of each key was first."""
+    store = _streamed_in_slots(spark, sf_dir)
+    kept = store.samples().groupBy("task_id").agg(
+        F.count("*").alias("stored_samples"), F.sum("seq").alias("seq_total"), F.count_distinct("tag_id").alias("tags")
+    )
+    return store.counters().join(kept, "task_id", "left")
+
+
 @registered
 def stream_dedup_counters(spark, sf_dir):
     return _streamed(spark, sf_dir).counters().drop("heartbeat_at")

@@ -5,7 +5,7 @@ All of them are projections of whole given tables.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.operators.importing import ImportMapping, WideColumn
@@ -181,6 +181,11 @@ def notifications(spark: SparkSession, sf_dir: str, events: DataFrame | None = N
     )
 
 
+def arrival_slot(slots: int) -> Column:
+    """When a notification arrives: the copies of an event arrive apart, some in the wrong order."""
+    return F.pmod(F.expr("seq div 2 + seq % 2"), F.lit(slots))
+
+
 def asked_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Questions built from every conversation turn, in supported and refused wordings."""
     turn, conv = F.col("turn"), F.col("conv_id")

@@ -1,8 +1,9 @@
 """Live acquisition as Structured Streaming: map, normalise, de-duplicate, count.
 
-A batch writes one partition of samples and one of counter changes, both named by the batch
-id and overwritten as a whole. A batch that Spark runs again after a failure looks only at
-earlier batches, and so writes the same rows again: nothing is counted twice.
+A batch writes its samples into day and bucket partitions under its own number, and replaces the table
+of running counters. It looks for known keys in the partitions of its own days and buckets only, which are
+merged when they hold many batches, so that its cost does not follow the history. A batch that Spark
+runs again after a failure looks only at earlier batches, and so writes the same rows and totals again.
 """
 
 from __future__ import annotations
@@ -14,12 +15,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
 from millrace.functions import parsing
-from millrace.session import read_if_present
+from millrace.streaming.daily import PLACE, DailyTable, Place
 
 NOTIFICATION_SCHEMA = (
     "task_id LONG, seq LONG, node_id STRING, value STRING, source_timestamp TIMESTAMP, "
     "server_timestamp TIMESTAMP, received_at TIMESTAMP, status_code STRING, is_good BOOLEAN"
 )
+STORED_COLUMNS = (
+    "task_id LONG, tag_id LONG, seq LONG, value STRING, numeric_value DOUBLE, source_timestamp TIMESTAMP, "
+    "server_timestamp TIMESTAMP, received_at TIMESTAMP, status_code STRING, is_good BOOLEAN"
+)
 SAMPLE_KEYS = ("task_id", "tag_id", "source_timestamp")
 COUNTERS = ("samples_received", "samples_written", "duplicate_count", "dropped_count")
 
@@ -55,46 +60,41 @@ def to_samples(stream: DataFrame, nodes: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class LiveStore:
-    """Samples and counters under one folder, partitioned by batch and day."""
+    """Samples by day and key bucket, and running counters, under one folder.
+
+    ``buckets`` cut a day's keys: about one for each 100 MB of samples a day, since each batch writes a file
+    for every day and bucket it touches. Every ``merge_above`` batches the places of a batch are merged.
+    """
 
     spark: SparkSession
     root: str
+    buckets: int = 1
+    merge_above: int = 8
 
     @property
-    def samples_path(self) -> str:
-        return f"{self.root}/samples"
+    def table(self) -> DailyTable:
+        return DailyTable(self.spark, f"{self.root}/samples", STORED_COLUMNS, SAMPLE_KEYS, "source_timestamp", self.buckets)
 
     @property
     def counters_path(self) -> str:
         return f"{self.root}/counters"
 
     def samples(self) -> DataFrame | None:
-        return read_if_present(self.spark, self.samples_path)
-
-    def counters(self) -> DataFrame | None:
-        """Running totals per task. The last sample never moves back in time."""
-        changes = read_if_present(self.spark, self.counters_path)
-        if changes is None:
-            return None
-        return changes.groupBy("task_id").agg(
-            *[F.sum(c).alias(c) for c in COUNTERS],
-            F.max("last_sample_at").alias("last_sample_at"),
-            F.max("heartbeat_at").alias("heartbeat_at"),
-        )
-
-    def _stored_keys(self, batch: DataFrame, batch_id: int) -> DataFrame | None:
-        stored = self.samples()
-        if stored is None:
-            return None
-        low, high = batch.agg(F.min("source_timestamp"), F.max("source_timestamp")).first()
-        if low is None:
-            return None
-        # Literal bounds let the scan skip whole days; any age of late data is still exact.
-        return stored.where(
-            (F.col("ingest_batch") < batch_id)
-            & F.col("sample_date").between(F.to_date(F.lit(low)), F.to_date(F.lit(high)))
-            & F.col("source_timestamp").between(F.lit(low), F.lit(high))
-        ).select(*SAMPLE_KEYS)
+        return self.table.rows()
+
+    def _counter_versions(self) -> list[int]:
+        """Batches whose counters are stored whole, oldest first: three at most."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.counters_path)
+        files = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        if not files.exists(path):
+            return []
+        whole = [s.getPath().getName() for s in files.listStatus(path) if files.exists(path.suffix(f"/{s.getPath().getName()}/_SUCCESS"))]
+        return sorted(int(name.removeprefix("upto=")) for name in whole)
+
+    def counters(self, before: int | None = None) -> DataFrame | None:
+        """Totals per task up to the newest batch, or the newest below ``before``: one small table is read."""
+        known = [v for v in self._counter_versions() if before is None or v < before]
+        return self.spark.read.parquet(f"{self.counters_path}/upto={known[-1]}") if known else None
 
     def store(self, batch: DataFrame, batch_id: int) -> None:
         """The ``foreachBatch`` body: first notification of a key wins, for all time."""
@@ -106,30 +106,51 @@ class LiveStore:
             first = mapped.groupBy(*SAMPLE_KEYS).agg(
                 F.min_by(F.struct(*rest), F.struct("received_at", "seq")).alias("_row")
             ).select(*SAMPLE_KEYS, "_row.*")
-            stored = self._stored_keys(mapped, batch_id)
-            new = first if stored is None else first.join(stored, list(SAMPLE_KEYS), "left_anti")
-            target = f"{self.samples_path}/ingest_batch={batch_id}"
-            new.withColumn("sample_date", F.to_date("source_timestamp")).write.mode("overwrite").partitionBy(
-                "sample_date"
-            ).parquet(target)
-            written = self.spark.read.parquet(target) if not new.isEmpty() else new
-            self._count(batch, written, batch_id)
+            placed = self.table.placed(first)
+            places = self.table.places(self.table.placed(mapped))
+            stored = self.table.at(places, batch_id)
+            if stored is not None:
+                keys = [*PLACE, *SAMPLE_KEYS]
+                placed = placed.join(stored.select(*keys), keys, "left_anti")
+            self.table.add(placed.select(*[c.split()[0] for c in STORED_COLUMNS.split(", ")], *PLACE), batch_id)
+            self._count(batch, self._written(places, batch_id), batch_id)
+            if batch_id % self.merge_above == 0:
+                self.table.compact(places, batch_id, self.merge_above - 1)
         finally:
             batch.unpersist()
 
-    def _count(self, batch: DataFrame, written: DataFrame, batch_id: int) -> None:
+    def _written(self, places: list[Place], batch_id: int) -> DataFrame | None:
+        """What a batch has stored, read back: the anti join does not run again."""
+        found = self.table.at(places)
+        return None if found is None else found.where((F.col("upto") == batch_id) & (F.col("kind") == "batch"))
+
+    def _count(self, batch: DataFrame, written: DataFrame | None, batch_id: int) -> None:
+        """New totals: those of the last batch before, plus this one's. The last sample never moves back."""
         known = F.col("tag_id").isNotNull()
-        received = batch.groupBy("task_id").agg(
+        change = batch.groupBy("task_id").agg(
             F.count_if(known).alias("samples_received"),
             F.count_if(~known).alias("dropped_count"),
             F.max(F.when(known, F.col("source_timestamp"))).alias("last_sample_at"),
             F.max("received_at").alias("heartbeat_at"),
         )
-        kept = written.groupBy("task_id").agg(F.count("*").alias("samples_written"))
-        change = received.join(kept, "task_id", "left").na.fill(0, ["samples_written"]).withColumn(
-            "duplicate_count", F.col("samples_received") - F.col("samples_written")
-        )
-        change.write.mode("overwrite").parquet(f"{self.counters_path}/ingest_batch={batch_id}")
+        if written is None:
+            change = change.withColumn("samples_written", F.lit(0).cast("long"))
+        else:
+            kept = written.groupBy("task_id").agg(F.count("*").alias("samples_written"))
+            change = change.join(kept, "task_id", "left").na.fill(0, ["samples_written"])
+        change = change.withColumn("duplicate_count", F.col("samples_received") - F.col("samples_written"))
+        before = self.counters(batch_id)
+        if before is not None:
+            change = change.unionByName(before)
+        totals = change.groupBy("task_id").agg(
+            *[F.sum(c).alias(c) for c in COUNTERS],
+            F.max("last_sample_at").alias("last_sample_at"), F.max("heartbeat_at").alias("heartbeat_at"),
+        )
+        totals.write.mode("overwrite").parquet(f"{self.counters_path}/upto={batch_id}")
+        # The version before stays, since this batch may run again.
+        for old in self._counter_versions()[:-2]:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.counters_path}/upto={old}")
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
     def start(self, samples: DataFrame, interval: str | None = None) -> StreamingQuery:
         """Run the stream: every ``interval``, or once over everything that is available."""

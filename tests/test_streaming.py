@@ -94,3 +94,53 @@ def test_state_guard_stream(spark, tmp_path):
     )
     query.awaitTermination()
     assert {r.task_id: r.connection_state for r in spark.table("states_seen").collect()} == {1: "connected", 2: "stopped"}
+
+
+def test_lookups_read_only_their_own_places(spark, tmp_path):
+    """Repeats are found over many batches and after merging, and no other day or bucket is read."""
+    store = LiveStore(spark, str(tmp_path / "live"), buckets=4, merge_above=3)
+    days = [START - dt.timedelta(days=n) for n in range(6)]
+    nodes = node_table(spark)
+    for batch in range(7):
+        rows = [note(100 * batch + n, "n1", day) for n, day in enumerate(days[: batch + 1])]
+        store.store(to_samples(notification_rows(spark, rows), nodes), batch)
+    assert store.samples().count() == 6
+    totals = store.counters().first()
+    assert (totals.samples_received, totals.samples_written, totals.duplicate_count) == (27, 6, 21)
+    table = store.table
+    wanted = table.places(table.placed(to_samples(notification_rows(spark, [note(1, "n1", days[2])]), nodes)))
+    found = table.at(wanted)
+    assert len(wanted) == 1 and found.count() == 1
+    assert all(f"sample_date={days[2]:%Y-%m-%d}/bucket={wanted[0].bucket}" in f for f in found.inputFiles())
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    assert len(store._counter_versions()) == 2
+
+
+def test_merging_keeps_every_row_and_survives_a_crash(spark, tmp_path):
+    store = LiveStore(spark, str(tmp_path / "live"), buckets=1, merge_above=100)
+    nodes, table = node_table(spark), store.table
+    for batch in range(6):
+        rows = [note(batch, "n1", START + dt.timedelta(seconds=batch)), note(50 + batch, "n2", START)]
+        store.store(to_samples(notification_rows(spark, rows), nodes), batch)
+    place = table.places(store.samples().transform(table.placed))[0]
+    assert len(table.folders(place)) == 6
+    kept = sorted(r.seq for r in store.samples().collect())
+    copies = {f.name: sorted(p.read_bytes() for p in (tmp_path / "live/samples" / f.name).glob("*.parquet")) for f in table.folders(place)}
+    assert table.compact([place], 5, folders=2) == [place]
+    assert [(f.merged, f.upto) for f in table.folders(place)] == [(True, 4), (False, 5)]
+    assert sorted(r.seq for r in table.at([place]).collect()) == kept == sorted(r.seq for r in store.samples().collect())
+    # A folder that a crash left behind is passed over, and removed by the next merge.
+    name = next(n for n in copies if n.endswith("upto=2"))
+    folder = tmp_path / "live/samples" / name
+    folder.mkdir(parents=True)
+    for n, raw in enumerate(copies[name]):
+        (folder / f"part-{n}.parquet").write_bytes(raw)
+    assert sorted(r.seq for r in table.at([place]).collect()) == kept
+    table.compact([place], 6, folders=2)
+    assert [(f.merged, f.upto) for f in table.folders(place)] == [(True, 5)] and sorted(r.seq for r in store.samples().collect()) == kept
+    # A batch that runs again does not see itself, and replaces its totals.
+    before = store.counters().first()
+    store.store(to_samples(notification_rows(spark, [note(6, "n1", START + dt.timedelta(seconds=6))]), nodes), 6)
+    store.store(to_samples(notification_rows(spark, [note(6, "n1", START + dt.timedelta(seconds=6))]), nodes), 6)
+    after = store.counters().first()
+    assert (after.samples_received, after.samples_written) == (before.samples_received + 1, before.samples_written + 1)
