@@ -70,8 +70,11 @@ def drop_bitmaps(
     key_length: int = KEY_LENGTH, min_documents: int = MIN_DOCUMENTS,
 ) -> DataFrame:
     """(``doc``, ``row``, ``dropped``) of documents that lose a line; all lines outside the runs stay."""
-    lines = staged(streamed(line_hashes(docs, id_column, text_column, key_length)), "lines")
-    common = lines.groupBy("h1", "h2").agg(F.sum("fresh").alias("n"), F.max("doc").alias("latest")).where(F.col("n") >= min_documents)
+    hashes = staged(line_hashes(docs, id_column, text_column, key_length), "hashes")  # the ranges are sampled from it
+    lines = staged(streamed(hashes), "lines")
+    counted = lines.groupBy("h1", "h2").agg(F.sum("fresh").alias("n"), F.max("doc").alias("latest"))
+    # Written first: the join can then split the lines of a common hash among tasks.
+    common = staged(counted.where(F.col("n") >= min_documents).drop("n"), "common")
     lost = lines.join(common, ["h1", "h2"]).where(~F.col("doc").eqNullSafe(F.col("latest")))
     places = lost.groupBy("doc", "row").agg(F.sort_array(F.collect_set("place")).alias("places"))
     return places.select("doc", "row", runs_of(F.col("places")).alias("dropped"))
