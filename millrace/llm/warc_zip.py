@@ -205,7 +205,10 @@ def with_revisits(pages: DataFrame, id_column: str = "page_id", least_bytes: int
     rows = pages.select(F.col(id_column).alias("id"), "url", payload.alias("payload"), F.sha1(payload).alias("digest"))
     large = rows.where((F.octet_length("payload") >= least_bytes) & F.col("id").isNotNull())
     first = large.groupBy("digest").agg(F.max("id").alias("last_id"), F.min("id").alias("first_id")).where("first_id < last_id")
-    found = rows.join(first.select("digest", "last_id"), "digest", "left")
+    # Written first, so that its true size decides: a short list is sent to the pages, whose payloads then stay in
+    # place; a long one is sorted and merged, and a digest of very many pages can be split among tasks.
+    repeated = staged(first.select(F.unhex("digest").alias("raw"), "last_id"), "digests")
+    found = rows.join(repeated, F.unhex("digest") == F.col("raw"), "left")
     return found.select("id", "url", "payload", "digest", F.when(F.col("id") < F.col("last_id"), F.col("last_id")).alias("refers_to"))
 
 
