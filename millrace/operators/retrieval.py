@@ -1,19 +1,21 @@
 """Batch retrieval: chunks, BM25, exact cosine, rank fusion, for many questions at once.
 
-Statistics are per plant. The tokenised chunks are staged once as a columnar index. While
-the terms of all questions are few enough to broadcast, the index streams past them and
-each map task sends one row per matching pair. Beyond that, candidates come from a join on
-the *selective* terms only: terms that are too common, and together too light to reach the
-lexical gate, cannot admit a chunk on their own, so their long posting lists are never
-joined. Every candidate is then scored on all its terms.
+Statistics are per plant. The tokenised chunks are staged once as a columnar index that
+streams past blocks of questions (:mod:`millrace.operators.scoring`): a task returns the best chunks of
+each question only. Rankings are followed as far as the selection needs. Fusing two rankings stops by
+the threshold algorithm: once no chunk beyond both depths can enter; what one list lacks of the other is
+counted for the few rows in question, so that no list of candidates is ever ranked as a whole.
+:func:`scores_by_posting` and :func:`scores_by_candidate` give the scores of all pairs where these are wanted.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -21,12 +23,16 @@ from pyspark.sql import Window as W
 from millrace.functions import fixed_values as fixed
 from millrace.functions import terms
 from millrace.functions.text import let
-from millrace.operators.running import SALTS, bounded_broadcast, exact_rank, first_rows, spread_small
+from millrace.operators import scoring
+from millrace.operators.running import SALTS, bounded_broadcast, spread_small
 from millrace.session import staged
 
 VECTOR_BLOCK = 1_024
 # Terms of all questions that are broadcast: about 100 bytes each.
 BROADCAST_TERMS = 200_000
+BLOCK_QUESTIONS = 2_000
+# How far both rankings are followed at first; four times as far for questions that need more.
+FIRST_DEPTH = 128
 # Blocks of question vectors that are broadcast: 8 MB each at 1,024 dimensions.
 BROADCAST_BLOCKS = 16
 
@@ -56,9 +62,14 @@ def bags(chunked: DataFrame) -> DataFrame:
     )
 
 
+def indexed(documents: DataFrame) -> DataFrame:
+    """The rows of a chunk index, to be written to any place."""
+    return bags(chunks(spread_small(documents)))
+
+
 def index(documents: DataFrame) -> DataFrame:
     """The chunk index of a corpus, staged in the shared folder."""
-    return staged(bags(spread_small(chunks(documents))), "chunk-index")
+    return staged(indexed(documents), "chunk-index")
 
 
 def plant_statistics(bagged: DataFrame) -> DataFrame:
@@ -235,37 +246,122 @@ def scores_by_candidate(weighted: DataFrame, bagged: DataFrame, extra: DataFrame
     )
 
 
-def score(weighted: DataFrame, bagged: DataFrame, near: DataFrame | None) -> DataFrame:
-    """Lexical, BM25 and semantic score of the candidate pairs."""
-    few = weighted.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
-    lexical = scores_by_posting(weighted, bagged) if few else scores_by_candidate(weighted, bagged, near)
-    # Ten digits: the order of addition must not decide a ranking.
-    rounded = lexical.withColumn("bm25", F.round("bm25", 10))
-    if near is None:
-        return rounded.withColumn("semantic", F.lit(0.0)).withColumn("close", F.lit(False))
-    return (
-        rounded.join(near, ["query_id", "evidence_id", "document_id"], "full_outer")
-        .na.fill(0.0, ["lexical", "bm25", "semantic"]).na.fill(False, ["close"])
-    )
-
-
 def retrieve(
-    documents: DataFrame, queries: DataFrame, strategy: str = "auto", limit: int = fixed.EVIDENCE_LIMIT
+    documents: DataFrame, queries: DataFrame, strategy: str = "auto", limit: int = fixed.EVIDENCE_LIMIT,
+    model: str | None = None,
 ) -> DataFrame:
     """The best chunks for every question, with their scores and ranks.
 
-    ``documents`` is ``(document_id, plant_id, title, content, version[, vector])`` and
-    ``queries`` is ``(query_id, plant_id, query[, vector])``. The strategies are
-    ``lexical``, ``vector`` and ``auto``, which fuses both rankings. A question without
-    tokens finds nothing.
+    ``documents`` is ``(document_id, plant_id, title, content, version[, vector[, embedding_model]])`` and
+    ``queries`` is ``(query_id, plant_id, query[, vector])``. The strategies are ``lexical``, ``vector`` and
+    ``auto``, which fuses both rankings. With a ``model``, only vectors of that model are compared.
+    A question without tokens finds nothing.
     """
     semantic = "vector" in documents.columns and "vector" in queries.columns
-    kept = ["document_id", "plant_id", "title", "version", "content"] + (["vector"] if semantic else [])
-    return retrieve_from(index(documents.select(*kept)), queries, strategy, limit)
+    optional = [c for c in ("vector", "embedding_model") if semantic and c in documents.columns]
+    kept = ["document_id", "plant_id", "title", "version", "content", *optional]
+    return retrieve_from(index(documents.select(*kept)), queries, strategy, limit, model)
+
+
+def question_blocks(asked: DataFrame) -> Iterator[tuple[list[scoring.Question], list[tuple]]]:
+    """Questions in blocks of about ``BROADCAST_TERMS`` terms and ``BLOCK_QUESTIONS`` questions, one at a
+    time on the driver, with (number, query_id) rows."""
+    sizes = asked.agg(F.sum(F.size("bag")), F.count("*")).first()
+    if not sizes[1]:
+        return
+    count = min(max(-(-sizes[0] // max(1, BROADCAST_TERMS)), -(-sizes[1] // BLOCK_QUESTIONS)), sizes[1])
+    for number in range(count):
+        block = asked if count == 1 else asked.where(F.pmod(F.xxhash64("query_id"), F.lit(count)) == number)
+        found = block.collect()
+        if found:
+            yield (
+                [scoring.Question(n, r.plant_id, r.length, [tuple(t) for t in r.bag], r.vector) for n, r in enumerate(found)],
+                [(n, r.query_id) for n, r in enumerate(found)],
+            )
+
+
+def _pool(bagged: DataFrame, block: Broadcast, depth: int, strategy: str, semantic: bool) -> DataFrame:
+    """The best ``depth`` chunks of every question and list, each once, with the ranks known from the lists."""
+    lists = staged(scoring.best_lists(bagged, block, depth, semantic, strategy != "vector"), "best").where("query_no >= 0")
+    near = F.bround("semantic", 4)
+    score = F.when(F.col("list") == scoring.WORDS, F.col("bm25")).otherwise(near)
+    # Each task gave at most ``depth`` rows of a question, so that few of them meet here.
+    order = W.partitionBy("query_no", "list").orderBy(score.desc(), F.col("evidence_id"))
+    best = lists.withColumn("place", F.row_number().over(order)).where(F.col("place") <= depth)
+    return best.groupBy("query_no", "evidence_id", "document_id").agg(
+        F.min(F.when(F.col("list") == scoring.WORDS, F.col("place"))).alias("by_words"),
+        F.min(F.when(F.col("list") == scoring.MEANING, F.col("place"))).alias("by_meaning"),
+        F.max("lexical").alias("lexical"), F.max("bm25").alias("bm25"), F.max(near).alias("semantic"),
+    )
+
+
+def _with_counted_ranks(pool: DataFrame, bagged: DataFrame, block: Broadcast) -> DataFrame:
+    """Ranks of the pool's rows in the list that did not give them, by counting what stands before them."""
+    missing = {
+        scoring.WORDS: pool.where("by_words IS NULL").select("query_no", F.col("bm25").alias("score"), "evidence_id"),
+        scoring.MEANING: pool.where(F.col("by_meaning").isNull() & (F.col("semantic") >= fixed.SEMANTIC_GATE)).select(
+            "query_no", F.col("semantic").alias("score"), "evidence_id"
+        ),
+    }
+    wanted: dict[tuple, list] = {}
+    for name, rows in missing.items():
+        for r in rows.collect():  # at most two lists' depth for each question of the block
+            wanted.setdefault((r.query_no, name), []).append((r.score, r.evidence_id))
+    if not wanted:
+        return pool
+    arrays = {k: (np.array([s for s, _ in v]), np.array([e for _, e in v], object)) for k, v in wanted.items()}
+    counted = scoring.better_counts(bagged, block, pool.sparkSession.sparkContext.broadcast(arrays))
+    per_row = counted.groupBy("query_no", "evidence_id").agg(
+        F.max(F.when(F.col("list") == scoring.WORDS, F.col("above") + 1)).alias("_words"),
+        F.max(F.when(F.col("list") == scoring.MEANING, F.col("above") + 1)).alias("_meaning"),
+    )
+    return (
+        pool.join(per_row, ["query_no", "evidence_id"], "left")
+        .withColumn("by_words", F.coalesce("by_words", "_words"))
+        .withColumn("by_meaning", F.coalesce("by_meaning", "_meaning"))
+        .drop("_words", "_meaning")
+    )
+
+
+def _selected(pool: DataFrame, strategy: str, limit: int) -> DataFrame:
+    """The first ``limit`` of the pool with two chunks of a document at most."""
+    part = lambda place: F.coalesce(1 / (fixed.FUSION_OFFSET + F.col(place)), F.lit(0.0))
+    score = F.col("semantic") if strategy == "vector" else part("by_words")
+    if strategy == "auto":
+        score = score + part("by_meaning")
+    best = [F.col("score").desc(), F.col("evidence_id").asc()]
+    return (
+        pool.withColumn("score", score)
+        .withColumn("_d", F.row_number().over(W.partitionBy("query_no", "document_id").orderBy(*best)))
+        .where(F.col("_d") <= fixed.CHUNKS_PER_DOCUMENT)
+        .withColumn("rank", F.row_number().over(W.partitionBy("query_no").orderBy(*best)).cast("long"))
+        .where(F.col("rank") <= limit)
+        .drop("_d")
+    )
+
+
+def _unsettled(pool: DataFrame, chosen: DataFrame, strategy: str, limit: int, depth: int) -> set[int]:
+    """Questions whose selection a chunk outside the pool could still enter.
+
+    A list shorter than ``depth`` is whole. By one list, the selection is settled once it is full. With two,
+    a chunk outside both has ranks beyond ``depth``, and so a known largest score.
+    """
+    main = "by_meaning" if strategy == "vector" else "by_words"
+    sizes = pool.groupBy("query_no").agg(
+        F.count_if(F.col(main) <= depth).alias("held"), F.count_if(F.col("by_meaning") <= depth).alias("near")
+    )
+    full = chosen.groupBy("query_no").agg(F.count("*").alias("n"), F.min("score").alias("least"))
+    state = sizes.where(F.col("held") >= depth).join(full, "query_no", "left")
+    settled = F.col("n") >= limit
+    if strategy == "auto":
+        lists = 1 + (F.col("near") >= depth).cast("int")
+        settled = settled & (F.col("least") > lists / (fixed.FUSION_OFFSET + depth + 1))
+    return {r.query_no for r in state.where(~F.coalesce(settled, F.lit(False))).select("query_no").collect()}
 
 
 def retrieve_from(
-    bagged: DataFrame, queries: DataFrame, strategy: str = "auto", limit: int = fixed.EVIDENCE_LIMIT
+    bagged: DataFrame, queries: DataFrame, strategy: str = "auto", limit: int = fixed.EVIDENCE_LIMIT,
+    model: str | None = None,
 ) -> DataFrame:
     """:func:`retrieve` on an index that already exists."""
     if strategy not in ("lexical", "vector", "auto"):
@@ -273,56 +369,77 @@ def retrieve_from(
     semantic = strategy != "lexical" and "vector" in bagged.columns and "vector" in queries.columns
     if strategy == "vector" and not semantic:
         raise ValueError("the vector strategy needs vectors on both sides")
-    asked = queries.where(F.size(terms.token_array(F.col("query"))) > 0)
-    weighted = staged(weighted_terms(asked, bagged), "question-terms")
-    near = None
-    if semantic:
-        # The whole cosine admits a chunk, the rounded one ranks it.
-        near = semantic_pairs(asked, bagged).withColumn(
-            "close", F.col("semantic") >= fixed.SEMANTIC_GATE
-        ).withColumn("semantic", F.bround("semantic", 4))
-    scored = score(weighted, bagged, near)
-    close = F.col("close")
-    admitted = close if strategy == "vector" else (F.col("lexical") >= fixed.LEXICAL_GATE) | close
-    top = rank_evidence(scored.where(admitted), strategy, limit)
-    detail = bagged.select("evidence_id", "title", "start", "end", *(["vector"] if semantic else []))
-    found = top.join(detail, "evidence_id")
-    if semantic:
-        # Chunks admitted by their words report their cosine too; only returned rows need it.
-        own = asked.select("query_id", F.col("vector").alias("_asked"))
-        cosine = F.bround(terms.cosine(F.col("_asked"), F.col("vector")), 4)
-        found = found.join(own, "query_id").withColumn(
-            "semantic", F.when(F.col("semantic") >= fixed.SEMANTIC_GATE, F.col("semantic")).otherwise(cosine)
-        )
-    return found.select(
+    if semantic and model is not None and "embedding_model" in bagged.columns:
+        bagged = bagged.withColumn("vector", F.when(F.col("embedding_model") == model, F.col("vector")))
+    tokens = terms.token_array(F.col("query"))
+    vector = F.when(terms.valid_vector(F.col("vector")), F.col("vector")) if semantic else F.lit(None).cast("array<double>")
+    asked = staged(
+        queries.select("query_id", "plant_id", tokens.alias("tokens"), vector.alias("vector"))
+        .where(F.size("tokens") > 0)
+        .select("query_id", "plant_id", terms.token_counts(F.col("tokens")).alias("bag"), F.size("tokens").alias("length"), "vector"),
+        "questions",
+    )
+    spark, parts = bagged.sparkSession, []
+    for questions, names in question_blocks(asked):
+        statistics = scoring.plant_statistics(bagged, questions)
+        depth, left = max(FIRST_DEPTH if strategy == "auto" else FIRST_DEPTH // 4, limit), questions
+        while left:
+            block = spark.sparkContext.broadcast(scoring.QuestionBlock(left, statistics))
+            pool = _pool(bagged, block, depth, strategy, semantic)
+            if strategy == "auto" and semantic:
+                pool = staged(pool, "pool")
+                pool = _with_counted_ranks(pool, bagged, block)
+            pool = staged(pool, "pool")
+            chosen = _selected(pool, strategy, limit)
+            unsettled = _unsettled(pool, chosen, strategy, limit, depth)
+            settled = chosen.where(~F.col("query_no").isin(*unsettled)) if unsettled else chosen
+            ids = spark.createDataFrame(names, f"query_no int, query_id {dict(queries.dtypes)['query_id']}")
+            parts.append(settled.join(ids, "query_no"))
+            left, depth = [q for q in left if q.number in unsettled], depth * 4
+    detail = bagged.select("evidence_id", "title", "start", "end")
+    if not parts:
+        empty = F.lit(None)
+        parts = [asked.where("false").select(
+            "query_id", empty.cast("long").alias("rank"), empty.cast("string").alias("evidence_id"),
+            empty.cast(dict(bagged.dtypes)["document_id"]).alias("document_id"),
+            *[empty.cast("double").alias(c) for c in ("lexical", "semantic", "bm25", "score")],
+        )]
+    columns = ["query_id", "rank", "evidence_id", "document_id", "lexical", "semantic", "bm25", "score"]
+    top = reduce(DataFrame.unionByName, [p.select(*columns) for p in parts])
+    return top.join(detail, "evidence_id").select(
         "query_id", "rank", "evidence_id", "document_id", "title", "start", "end",
         F.bround("lexical", 4).alias("lexical_score"), F.col("semantic").alias("semantic_score"),
         F.bround("bm25", 4).alias("bm25_score"), F.bround("score", 6).alias("score"),
     )
 
 
-def rank_evidence(candidates: DataFrame, strategy: str, limit: int) -> DataFrame:
-    """Order candidates, keep two chunks of a document at most, then the first ``limit``."""
-    if strategy == "vector":
-        scored = candidates.withColumn("score", F.col("semantic"))
-    else:
-        staged_candidates = staged(candidates, "candidates")
-        scored = exact_rank(staged_candidates, ["query_id"], "bm25", "evidence_id", "_by_bm25")
-        fused = 1 / (fixed.FUSION_OFFSET + F.col("_by_bm25"))
-        if strategy == "auto":
-            near = staged_candidates.where(F.col("semantic") >= fixed.SEMANTIC_GATE).select(
-                "query_id", "evidence_id", "semantic"
-            )
-            ranked = exact_rank(near, ["query_id"], "semantic", "evidence_id", "_by_cosine", 1000.0)
-            scored = scored.join(ranked.drop("semantic"), ["query_id", "evidence_id"], "left")
-            fused = fused + F.coalesce(1 / (fixed.FUSION_OFFSET + F.col("_by_cosine")), F.lit(0.0))
-        scored = scored.withColumn("score", fused)
-    best = [F.col("score").desc(), F.col("evidence_id").asc()]
-    per_document = first_rows(
-        scored, ["query_id", "document_id"], best, fixed.CHUNKS_PER_DOCUMENT, F.col("evidence_id"), "_d"
-    ).drop("_d")
-    top = first_rows(per_document, ["query_id"], best, limit, F.col("evidence_id"))
-    return top.withColumn("rank", F.col("rank").cast("long"))
+def evidence_payload(
+    bagged: DataFrame, documents: DataFrame, queries: DataFrame, strategy: str = "auto", model: str | None = None
+) -> DataFrame:
+    """What an answer stores with each piece of evidence: scores, text, version, digest and the mode of the search.
+
+    A question's mode is ``hybrid`` or ``vector`` if it was compared by meaning, that is if it has a vector and
+    its plant any document of the model; else ``lexical``.
+    """
+    found = retrieve_from(bagged, queries, strategy, model=model)
+    semantic = strategy != "lexical" and "vector" in bagged.columns and "vector" in queries.columns
+    compared = F.lit(False)
+    asked = queries.select("query_id", "plant_id")
+    if semantic:
+        fits = F.col("vector").isNotNull()
+        if model is not None and "embedding_model" in bagged.columns:
+            fits = fits & (F.col("embedding_model") == model)
+        with_vectors = bagged.groupBy("plant_id").agg(F.bool_or(fits).alias("_any"))
+        given = queries.select("query_id", "plant_id", terms.valid_vector(F.col("vector")).alias("_own"))
+        asked = given.join(with_vectors, "plant_id", "left")
+        compared = F.col("_own") & F.coalesce("_any", F.lit(False))
+    named = "vector" if strategy == "vector" else "hybrid"
+    modes = asked.select("query_id", F.when(compared, named).otherwise("lexical").alias("mode"))
+    texts = bagged.select("evidence_id", "version", "text")
+    digests = documents.select("document_id", "content_sha256")
+    return found.join(texts, "evidence_id").join(digests, "document_id").join(modes, "query_id").withColumn(
+        "lexical_plus_semantic", F.bround(F.col("lexical_score") + F.col("semantic_score"), 4)
+    )
 
 
 def attach_vectors(

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import wraps
+from functools import lru_cache, wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,7 +14,7 @@ from millrace.functions.text import canonical_row
 from millrace.operators import assets, batches, evaluation, importing, integrity, lifecycle, retrieval
 from millrace.operators import samples as sample_queries
 from millrace.plans import workloads
-from millrace.session import configure, fresh_folder
+from millrace.session import configure, file_stamps, fresh_folder
 from millrace.sources import star_binding as star
 from millrace.sources import tabular
 from millrace.streaming.acquisition import LiveStore, mapped_nodes, notifications, to_samples
@@ -516,13 +516,27 @@ def chunk_documents(spark, sf_dir):
 
 @registered
 def document_frequencies(spark, sf_dir):
-    docs = star.documents(spark, sf_dir).drop("vector")
-    return retrieval.document_frequency(retrieval.index(docs))
+    return retrieval.document_frequency(_chunk_index(spark, sf_dir))
+
+
+@lru_cache(maxsize=16)
+def _index_path(application: str, sf_dir: str, stamp: tuple) -> str:
+    """Where the chunk index of a corpus lies: built once per application, and again if a source file changes."""
+    spark = SparkSession.getActiveSession()
+    path = fresh_folder(spark, "chunk-index")
+    documents = star.documents(spark, sf_dir).select("document_id", "plant_id", "title", "version", "content", "vector")
+    retrieval.indexed(documents).write.parquet(path)
+    return path
+
+
+def _chunk_index(spark, sf_dir):
+    stamp = file_stamps(spark, f"{sf_dir}/documents.parquet", f"{sf_dir}/embeddings.parquet")
+    return spark.read.parquet(_index_path(spark.sparkContext.applicationId, sf_dir, stamp))
 
 
 def _retrieved(spark, sf_dir, strategy):
-    documents, questions = star.documents(spark, sf_dir), star.questions(spark, sf_dir)
-    return _longs(retrieval.retrieve(documents, questions, strategy), "start", "end")
+    found = retrieval.retrieve_from(_chunk_index(spark, sf_dir), star.questions(spark, sf_dir), strategy)
+    return _longs(found, "start", "end")
 
 
 @registered

@@ -80,6 +80,16 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def file_stamps(spark: SparkSession, *paths: str) -> tuple:
+    """Length and modification time of files or folders: changed content changes them."""
+    found = []
+    for path in paths:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        files = place.getFileSystem(spark._jsc.hadoopConfiguration())
+        found.append((files.getContentSummary(place).getLength(), files.getFileStatus(place).getModificationTime()))
+    return tuple(found)
+
+
 def read_if_present(spark: SparkSession, path: str) -> DataFrame | None:
     """A partitioned Parquet table, or ``None`` while nothing has been written to it."""
     try:
