@@ -323,6 +323,21 @@ def _evidence(strategy: str) -> dict[str, str]:
     }
 
 
+# Vectors of one document in four are of an older model and are not compared; a question's vector is the sum
+# of those of the two documents after its own, and one question in five has none.
+PAYLOAD = {
+    **_evidence("auto"),
+    "knowledge_document": """SELECT doc_id AS document_id, substring(source, 4)::BIGINT % 5 AS plant_id,
+        source || '-' || doc_id AS title, text AS content, 1 + doc_id % 3 AS version, sha256(text) AS content_sha256,
+        CASE WHEN doc_id % 4 <> 0 THEN embedding::DOUBLE[] END AS vector
+        FROM documents LEFT JOIN embeddings ON vec_id = doc_id""",
+    "question": """SELECT item_id AS query_id, b.text AS query, substring(source, 4)::BIGINT % 5 AS plant_id,
+        CASE WHEN item_id % 5 <> 3 THEN list_transform(list_zip(x.embedding::DOUBLE[], y.embedding::DOUBLE[]),
+          lambda p: p[1] + p[2]) END AS vector
+        FROM benchmark b JOIN documents ON doc_id = item_id LEFT JOIN embeddings x ON x.vec_id = item_id + 1
+        LEFT JOIN embeddings y ON y.vec_id = item_id + 2""",
+    "compared": "SELECT DISTINCT plant_id FROM chunk WHERE vector IS NOT NULL",
+}
 METRICS = {
     **_evidence("auto"),
     "title_place": """SELECT query_id, title, row_number() OVER (PARTITION BY query_id ORDER BY best, title)
@@ -691,6 +706,9 @@ QUERIES: dict[str, tuple[dict[str, str], str]] = {
           count(t.tag_id) AS n, row_number() OVER (PARTITION BY l.plant_id ORDER BY d.device_id) AS r
           FROM device d JOIN production_line l USING (line_id) LEFT JOIN tag t ON t.device_id = d.device_id
           GROUP BY l.plant_id, d.device_id, d.name, l.name) WHERE r <= 30"""),
+    "all_device_facts": ({}, """SELECT l.plant_id, d.device_id, l.name || ' / ' || d.name || '：' || count(t.tag_id)
+        || ' 个测点。' AS facts FROM device d JOIN production_line l USING (line_id)
+        LEFT JOIN tag t ON t.device_id = d.device_id GROUP BY l.plant_id, d.device_id, d.name, l.name"""),
     "find_tags": ({}, """SELECT plant_id, rank, tag_id, code, name, device, unit, enabled, total > 20 AS truncated
         FROM (SELECT plant_id, tag_id, code, name, device_name AS device, unit, is_enabled AS enabled,
           row_number() OVER (PARTITION BY plant_id ORDER BY code, tag_id) AS rank,
@@ -827,6 +845,11 @@ QUERIES: dict[str, tuple[dict[str, str], str]] = {
         message, emit_order::BIGINT AS emit_order, issue_number FROM (SELECT *, row_number() OVER (
           PARTITION BY batch_id ORDER BY row_number, emit_order, issue_type) AS issue_number
           FROM found_issue) WHERE issue_number <= 50"""),
+    "all_import_counters": ({**_VERDICT, **COUNTERS}, """SELECT *, issue_count AS stored_issue_count,
+        false AS issues_truncated FROM counters"""),
+    "all_import_issues": (_VERDICT, """SELECT batch_id, row_number, issue_type, severity, field_name, raw_value,
+        message, emit_order::BIGINT AS emit_order, row_number() OVER (
+          PARTITION BY batch_id ORDER BY row_number, emit_order, issue_type) AS issue_number FROM found_issue"""),
     "import_issue_summary": (_VERDICT, f"""SELECT batch_id, severity, issue_type, count(*) AS issue_count,
         {ADVICE} AS advice FROM found_issue GROUP BY ALL"""),
     "import_wide": ({**RAW_WIDE, **CLASSIFY}, """SELECT batch_id, value_field, rule,
@@ -893,6 +916,11 @@ QUERIES: dict[str, tuple[dict[str, str], str]] = {
     "bm25_top5": (_evidence("lexical"), "SELECT * FROM evidence"),
     "vector_top5": (_evidence("vector"), "SELECT * FROM evidence"),
     "hybrid_top5": (_evidence("auto"), "SELECT * FROM evidence"),
+    "evidence_payload": (PAYLOAD, """SELECT e.*, c.version, c.text, d.content_sha256,
+        round_even(e.lexical_score + e.semantic_score, 4) AS lexical_plus_semantic,
+        CASE WHEN q.vector IS NOT NULL AND p.plant_id IS NOT NULL THEN 'hybrid' ELSE 'lexical' END AS mode
+        FROM evidence e JOIN chunk c USING (evidence_id) JOIN knowledge_document d ON d.document_id = e.document_id
+        JOIN question q ON q.query_id = e.query_id LEFT JOIN compared p ON p.plant_id = q.plant_id"""),
     "embedding_similarity": ({}, """SELECT d.document_id, round(list_cosine_similarity(d.vector, b.v), 6)
         AS similarity FROM knowledge_document d JOIN (SELECT plant_id, arg_min(vector, document_id) AS v
           FROM knowledge_document WHERE vector IS NOT NULL GROUP BY plant_id) b USING (plant_id)

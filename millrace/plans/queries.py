@@ -554,6 +554,17 @@ def hybrid_top5(spark, sf_dir):
     return _retrieved(spark, sf_dir, "auto")
 
 
+@registered
+def evidence_payload(spark, sf_dir):
+    """Stored evidence of questions whose vectors are compared with documents of the same model only."""
+    asked = workloads.distant_questions(spark, sf_dir, star.questions(spark, sf_dir))
+    found = retrieval.evidence_payload(
+        workloads.dated_vectors(_chunk_index(spark, sf_dir)), star.documents(spark, sf_dir), asked,
+        model=workloads.EMBEDDING_MODEL,
+    )
+    return _longs(found, "start", "end", "version")
+
+
 @registered
 def embedding_similarity(spark, sf_dir):
     """Cosine of every document's vector with the vector of its plant's first document."""

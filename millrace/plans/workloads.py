@@ -265,6 +265,26 @@ def incoming_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited.unionByName(added)
 
 
+EMBEDDING_MODEL = "m2"
+
+
+def dated_vectors(bagged: DataFrame) -> DataFrame:
+    """A chunk index in which one document in four still has the vector of an older model."""
+    model = F.when(F.col("document_id") % 4 == 0, "m1").otherwise(EMBEDDING_MODEL)
+    return bagged.withColumn("embedding_model", F.when(F.col("vector").isNotNull(), model))
+
+
+def distant_questions(spark: SparkSession, sf_dir: str, asked: DataFrame) -> DataFrame:
+    """Questions whose vector is no document's own: the sum of two neighbours'; one in five has none."""
+    vectors = given(spark, sf_dir, "embeddings").selectExpr("vec_id", "CAST(embedding AS ARRAY<DOUBLE>) AS v")
+    near = vectors.select((F.col("vec_id") - 1).alias("query_id"), F.col("v").alias("_a"))
+    far = vectors.select((F.col("vec_id") - 2).alias("query_id"), F.col("v").alias("_b"))
+    summed = F.when(F.col("query_id") % 5 != 3, F.zip_with("_a", "_b", lambda a, b: a + b))
+    return asked.drop("vector").join(near, "query_id", "left").join(far, "query_id", "left").withColumn(
+        "vector", summed
+    ).drop("_a", "_b")
+
+
 def answer_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scored cases: the calls an assistant made in a turn, against what was required."""
     conv, turn = F.col("conv_id"), F.col("turn")
