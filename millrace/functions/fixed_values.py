@@ -172,3 +172,7 @@ SNIFF_BYTES = 64 * 1024
 
 # Sentence of the trend text when only the newest samples were asked for.
 TREND_CUT_TEXT = "结果已截断：以下仅为最近至多{limit}条样本的统计，不是整个请求时间范围的统计。\n"
+
+# Import: the reason of a batch whose file lacks mapped columns, and how much of a reason is kept.
+MISSING_COLUMNS_TEXT = "映射列不存在："
+ERROR_TEXT_LIMIT = 2000

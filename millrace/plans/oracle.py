@@ -862,6 +862,17 @@ QUERIES: dict[str, tuple[dict[str, str], str]] = {
     "import_from_files": ({**_VERDICT, **COUNTERS}, """SELECT batch_id AS plant_id, total_rows, accepted_rows,
         rejected_rows, duplicate_rows, warning_rows, issue_count, accepted_rows AS published_rows
         FROM counters"""),
+    "import_file_batches": ({**_VERDICT, **COUNTERS}, """SELECT c.batch_id AS plant_id, 'completed' AS status,
+          NULL::VARCHAR AS error_message, f.files, total_rows + blanks AS total_rows, accepted_rows,
+          rejected_rows + blanks AS rejected_rows, duplicate_rows, warning_rows, issue_count + blanks AS issue_count,
+          accepted_rows AS published_rows, accepted_rows AS visible_rows
+        FROM counters c JOIN (SELECT batch_id, count(DISTINCT source_row % 2) AS files,
+            count(*) FILTER (source_row % 38 = 4) AS blanks FROM cell GROUP BY batch_id) f USING (batch_id)
+        WHERE c.batch_id < 4
+        UNION ALL SELECT 4, 'failed', '映射列不存在：value', (SELECT count(DISTINCT source_row % 2) FROM cell WHERE plant_id = 4),
+          0, 0, 0, 0, 0, 0, 0, 0 WHERE EXISTS (FROM cell WHERE plant_id = 4)
+        UNION ALL SELECT NULL, 'failed', 'CSV files must be UTF-8 or GB18030', (SELECT count(*) FROM nation), 0, 0, 0, 0, 0, 0, 0, 0
+        UNION ALL SELECT NULL, 'failed', 'source column headers must be unique', (SELECT count(*) FROM region), 0, 0, 0, 0, 0, 0, 0, 0"""),
     "duplicate_files": ({}, """SELECT o_orderkey AS batch_id, o_custkey % 5 AS plant_id,
         CASE o_orderstatus WHEN 'F' THEN 'completed' WHEN 'O' THEN 'queued' ELSE 'failed' END AS status,
         last_value(CASE WHEN o_orderstatus IN ('F', 'O') THEN o_orderkey END IGNORE NULLS) OVER (

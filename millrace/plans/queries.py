@@ -13,6 +13,7 @@ from millrace.functions import terms
 from millrace.functions.text import canonical_row
 from millrace.operators import assets, batches, evaluation, importing, integrity, lifecycle, retrieval
 from millrace.operators import samples as sample_queries
+from millrace.operators.transactions import COUNTS, FolderImport
 from millrace.plans import workloads
 from millrace.session import configure, file_stamps, fresh_folder
 from millrace.sources import star_binding as star
@@ -440,6 +441,21 @@ def import_from_files(spark, sf_dir):
     )
 
 
+@registered
+def import_file_batches(spark, sf_dir):
+    """A folder of files in five forms, with broken ones among them: each file is a batch of its own."""
+    folder = fresh_folder(spark, "mixed-files")
+    workloads.write_mixed_files(spark, sf_dir, folder)
+    plant = F.when(F.col("path").contains("/good/"), F.regexp_extract("path", "plant_id=([0-9]+)", 1).cast("long"))
+    store = FolderImport(spark, fresh_folder(spark, "folder-import"))
+    store.run(1, folder, workloads.LONG_MAPPING, star.bind(spark, sf_dir), plant, star.as_of())
+    visible = store.samples().groupBy(F.col("import_batch_id").alias("batch_id")).agg(F.count("*").alias("visible"))
+    rows = store.batches().join(visible, "batch_id", "left").na.fill(0, ["visible"])
+    return rows.groupBy("plant_id", "status", "error_message").agg(
+        F.count("*").alias("files"), *[F.sum(c).alias(c) for c in (*COUNTS, "published_rows")], F.sum("visible").alias("visible_rows")
+    )
+
+
 @registered
 def duplicate_files(spark, sf_dir):
     return tabular.duplicate_files(workloads.uploads(spark, sf_dir)).select(

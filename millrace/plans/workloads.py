@@ -69,6 +69,53 @@ def raw_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def write_mixed_files(spark: SparkSession, sf_dir: str, folder: str) -> None:
+    """Two import files per plant from all events, in a form of the plant's own, and broken files beside them.
+
+    Plant 0 has UTF-8 with commas, 1 GB18030, 2 tabs, 3 semicolons, all with lines of blanks and empty lines
+    between their rows; the files of plant 4 have no value column. Each customer nation adds a file of bytes that
+    are in neither encoding, and each region one with a repeated header.
+    """
+    cells = [F.coalesce(F.col(c), F.lit("")) for c in RAW_COLUMNS]
+    sep = F.when(F.col("plant_id") == 2, "\t").when(F.col("plant_id") == 3, ";").otherwise(",")
+    named = lambda value: F.array(*[F.lit(value if c == "value" else c) for c in RAW_COLUMNS])
+    names = F.when(F.col("plant_id") == 4, named("reading")).otherwise(named("value"))
+    data = raw_long(spark, sf_dir).withColumn("sep", sep).withColumn("part", F.col("source_row") % 2)
+    line = F.concat(F.call_function("array_join", F.array(*cells), F.col("sep")), F.col("sep"), F.lit("压力"))
+    blank = F.when(F.col("source_row") % 38 == 4, F.array(F.lit("   "), F.lit(""))).otherwise(F.array())
+    body = data.select(
+        "plant_id", "part", F.col("source_row").alias("at"), F.posexplode(F.concat(F.array(line), blank.cast("array<string>"))).alias("n", "line")
+    )
+    heads = data.select("plant_id", "part", F.lit(-1).cast("long").alias("at"), F.lit(0).alias("n"),
+                        F.concat(F.call_function("array_join", names, F.col("sep")), F.col("sep"), F.lit("备注")).alias("line")).distinct()
+    encoded = F.when(F.col("plant_id") == 1, F.encode("line", "GB18030")).otherwise(F.encode("line", "UTF-8")).cast("string")
+    rows = body.unionByName(heads).withColumn("line", encoded)
+    # One file per plant and part, in order.
+    rows.repartition("plant_id", "part").sortWithinPartitions("plant_id", "part", "at", "n").select(
+        "plant_id", "part", "line"
+    ).write.partitionBy("plant_id", "part").option("compression", "none").text(f"{folder}/good")
+    broken = given(spark, sf_dir, "nation").select(
+        F.col("n_nationkey").alias("file"), F.unhex(F.lit("74696D652C81300A")).cast("string").alias("line")
+    )
+    doubled = given(spark, sf_dir, "region").select((F.col("r_regionkey") + 1000).alias("file"), F.lit("time,tag,time").alias("line"))
+    broken.unionByName(doubled).repartition("file").write.partitionBy("file").text(f"{folder}/bad")
+    for path in ("good", "bad"):
+        _as_csv(spark, f"{folder}/{path}")
+
+
+def _as_csv(spark: SparkSession, folder: str) -> None:
+    """Give the text files below a folder the ending of CSV files."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    files = path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    found = files.listFiles(path(folder), True)
+    names = []
+    while found.hasNext():
+        names.append(found.next().getPath().toString())
+    for name in names:
+        if name.endswith(".txt"):
+            files.rename(path(name), path(name.removesuffix(".txt") + ".csv"))
+
+
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Access requests: one per order, some for users or plants that do not exist."""
     return given(spark, sf_dir, "orders").selectExpr(

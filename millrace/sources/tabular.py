@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from millrace.functions import fixed_values as fixed
-from millrace.functions.text import fold
+from millrace.functions.text import fold, let
 from millrace.operators.running import previous_marked
 from millrace.session import staged
 from millrace.sources import workbook
@@ -69,11 +69,18 @@ def detect_encoding(content: bytes) -> str:
 
 
 def sniff(text: str) -> tuple[str, str]:
-    """(delimiter, quote character) of a CSV sample; comma and double quote by default."""
+    """(delimiter, quote character) of a CSV sample.
+
+    Where the lines do not agree (lines of blanks between them are enough for that), the header decides: a
+    comma if it holds one, else the delimiter that it holds most often, else a comma. Quotes are double then.
+    """
     try:
         dialect = csv.Sniffer().sniff(text, delimiters=fixed.CSV_DELIMITERS)
     except csv.Error:
-        return ",", '"'
+        header = "".join((text.splitlines() or [""])[0].split('"')[::2])
+        if "," in header:
+            return ",", '"'
+        return max(fixed.CSV_DELIMITERS, key=lambda d: (header.count(d), d == ",")), '"'
     return dialect.delimiter, dialect.quotechar or '"'
 
 
@@ -194,7 +201,14 @@ def read_csv(spark: SparkSession, group: FileGroup) -> DataFrame:
     return _number_rows(rows)
 
 
-def _number_rows(rows: DataFrame) -> DataFrame:
+def _number_rows(rows: DataFrame, first: int = 2) -> DataFrame:
+    """Rows with their place in the file; ``first`` is the number of the first row that was read."""
+    offsets, _ = _block_offsets(rows)
+    return _numbered(rows, offsets, first)
+
+
+def _block_offsets(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Where each block of a file starts to count, and the number of rows of each file."""
     blocks = rows.groupBy("path", "_block").agg(F.count("*").alias("_rows"), F.min("_seen").alias("_start"))
     before = W.partitionBy("path").orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
     offsets = blocks.select(
@@ -202,14 +216,70 @@ def _number_rows(rows: DataFrame) -> DataFrame:
     )
     # Staged, so that the plan knows how small the table of blocks is, and the files are not
     # read again for it.
-    offsets = staged(offsets, "csv-blocks")
-    # Data rows start at 2, below the header.
-    number = F.col("_before") + F.col("_seen") - F.col("_start") + 2
+    offsets = staged(offsets.join(blocks.select("path", "_block", "_rows"), ["path", "_block"]), "csv-blocks")
+    return offsets.drop("_rows"), offsets.groupBy("path").agg(F.sum("_rows").alias("lines"))
+
+
+def _numbered(rows: DataFrame, offsets: DataFrame, first: int) -> DataFrame:
+    number = F.col("_before") + F.col("_seen") - F.col("_start") + first
     return rows.join(offsets, ["path", "_block"]).withColumn("source_row", number).drop(
         "_block", "_seen", "_start", "_before", "_rows"
     )
 
 
+def same_path(path: Column) -> Column:
+    """A path as every reader spells it."""
+    return F.regexp_replace(path, "^file:/+", "file:/")
+
+
+def profiles_in(spark: SparkSession, folder: str, glob: str = "*.{csv,xlsx}") -> DataFrame:
+    """Profiles of all files below a folder, staged: contents are read for them once."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(folder)
+    found = files.select(same_path(F.col("path")).alias("path"), "content").mapInPandas(_profile, PROFILE_SCHEMA)
+    return staged(found, "profiles")
+
+
+def line_cells(spark: SparkSession, folder: str, profiles: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(``path``, ``source_row``, ``cells``) of all CSV files below a folder, and the lines of each file.
+
+    One reader takes all files, whatever their encoding, delimiter and header: files are split into blocks of
+    lines, a line is decoded and parsed as its file's profile says, and no list of files leaves the
+    executors. Empty lines are no rows; a line of blanks is one. Files with line breaks inside quotes are
+    not read here.
+    """
+    plain = profiles.where((F.col("file_format") == "csv") & ~F.col("multi_line"))
+    shape = plain.agg(F.max(F.size("header")).alias("width"), F.collect_set(F.struct("delimiter", "quote")).alias("kinds")).first()
+    lines = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.[cC][sS][vV]").text(folder)
+    rows = (
+        lines.select(same_path(F.col("_metadata.file_path")).alias("path"), F.col("_metadata.file_block_start").alias("_block"), "value")
+        .where(F.octet_length("value") > 0)
+        .withColumn("_seen", F.monotonically_increasing_id())
+    )
+    offsets, counts = _block_offsets(rows.drop("value"))
+    how = plain.select("path", "encoding", "delimiter", "quote")
+    decoded = F.when(F.col("encoding") == "gb18030", F.decode(F.col("value").cast("binary"), "GB18030")).otherwise(F.col("value"))
+    named = _numbered(rows, offsets, 1).where("source_row > 1").join(how, "path").withColumn("line", decoded)
+    cells = F.lit(None).cast("array<string>")
+    names = [f"c{n}" for n in range(shape["width"] or 0)]
+    for kind in shape["kinds"] or []:  # three delimiters and two quotes at most
+        options = {
+            "sep": kind.delimiter, "quote": kind.quote, "escape": kind.quote, "mode": "PERMISSIVE", "emptyValue": "",
+            "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false",
+        }
+        parsed = F.from_csv(F.col("line"), F.lit(", ".join(f"{c} STRING" for c in names)), options)
+        fits = (F.col("delimiter") == kind.delimiter) & (F.col("quote") == kind.quote)
+        # Bound once: each line is parsed once, for all its cells.
+        cells = F.when(fits, let(parsed, lambda row: F.array(*[row[c] for c in names]))).otherwise(cells)
+    return named.select("path", "source_row", cells.alias("cells")), counts
+
+
+def named_cells(cells: DataFrame, profiles: DataFrame, names: Sequence[str]) -> DataFrame:
+    """Cells by header name; a name that a file lacks is null."""
+    place = lambda name: F.array_position("header", F.lit(name)).cast("int") - 1
+    picked = [F.get("cells", F.when(place(name) >= 0, place(name))).alias(name) for name in names]
+    return cells.join(profiles.select("path", "header"), "path").select("path", "source_row", *picked)
+
+
 def _workbook_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         for path, content in zip(batch["path"], batch["content"], strict=True):

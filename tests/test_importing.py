@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from millrace.operators import importing
 from millrace.operators.importing import ImportMapping, WideColumn
+from millrace.operators.transactions import FolderImport
 from millrace.sources import tabular, workbook
 from millrace.sources.tables import SCHEMAS
 from millrace import session
@@ -313,3 +314,53 @@ def test_scratch_folder_is_never_local_on_a_cluster():
 def test_schemas_parse(spark):
     for ddl in SCHEMAS.values():
         assert spark.createDataFrame([], ddl).columns
+
+
+def _folder_import(spark, tmp_path, files, tables):
+    folder = tmp_path / "inbox"
+    folder.mkdir()
+    for name, raw in files.items():
+        (folder / name).write_bytes(raw if isinstance(raw, bytes) else raw.encode())
+    store = FolderImport(spark, str(tmp_path / "store"))
+    mapping = ImportMapping(timestamp_column="time", tag_code_column="tag", value_column="value")
+    rows = store.run(1, str(folder), mapping, tables, F.lit(1).cast("long"), F.lit("2026-01-01").cast("timestamp"))
+    return store, folder, mapping, {r.path.rsplit("/", 1)[1]: r for r in rows.collect()}
+
+
+def test_each_file_is_a_transaction(spark, tmp_path):
+    tables = plant_with_tags(spark, [(1, "A", "string", None, None)])
+    good = "time,tag,value\n2026-01-01T00:00:00Z,A,{}\n"
+    files = {
+        "utf8.csv": "﻿" + good.format("x") + "   \n\n2026-01-02T00:00:00Z,A,y\n",
+        "gb.csv": "time;tag;value;备注\n2026-01-03T00:00:00Z;A;压力;注\n2026-01-03T00:00:01Z;A;ok;\n".encode("gb18030"),
+        "tab.csv": "time\ttag\tvalue\r\n\t\t\r\n2026-01-04T00:00:00Z\tA\tz\r\n",
+        "quoted.csv": 'time,tag,value\n2026-01-05T00:00:00Z,A,"two\nlines"\n2026-01-05T00:00:01Z,A,"a,""b"""\n',
+        "lacks.csv": "time,tag,reading\n2026-01-06T00:00:00Z,A,1\n", "lacks-but-empty.csv": "time,tag\n",
+        "broken.csv": b"time,tag,value\n\x81\x30\n", "twice.csv": "time,tag,time\n1,2,3\n", "empty.csv": "\n",
+    }
+    store, folder, mapping, rows = _folder_import(spark, tmp_path, files, tables)
+    state = {n: (r.status, r.error_message, r.total_rows, r.accepted_rows, r.published_rows) for n, r in rows.items()}
+    assert state == {
+        "utf8.csv": ("completed", None, 3, 2, 2), "gb.csv": ("completed", None, 2, 2, 2), "tab.csv": ("completed", None, 2, 1, 1),
+        "quoted.csv": ("completed", None, 2, 2, 2), "lacks.csv": ("failed", "映射列不存在：value", 0, 0, 0),
+        "lacks-but-empty.csv": ("completed", None, 0, 0, 0), "broken.csv": ("failed", "CSV files must be UTF-8 or GB18030", 0, 0, 0),
+        "twice.csv": ("failed", "source column headers must be unique", 0, 0, 0), "empty.csv": ("failed", "the file has no header row", 0, 0, 0),
+    }
+    values = sorted(r.value for r in store.samples().collect())
+    assert values == sorted(["x", "y", "压力", "ok", "z", "two\nlines", 'a,"b"'])
+    # Lines of blanks are rows with a number of their own; empty lines are not.
+    cells, _ = tabular.line_cells(spark, str(folder), tabular.profiles_in(spark, str(folder)))
+    found = sorted((r.path.rsplit("/", 1)[1], r.source_row, r.cells[:3]) for r in cells.where("path LIKE '%utf8%' OR path LIKE '%tab%'").collect())
+    assert [(n, k) for n, k, _ in found] == [("tab.csv", 2), ("tab.csv", 3), ("utf8.csv", 2), ("utf8.csv", 3), ("utf8.csv", 4)]
+    assert found[3][2][0] == "   "
+    # A second run of the same files replaces its batches and adds nothing.
+    store.run(2, str(folder), mapping, tables, F.lit(1).cast("long"), F.lit("2026-01-01").cast("timestamp"))
+    assert store.samples().count() == 7 and store.batches().count() == 9 and store.batches().where("run = 2").count() == 9
+
+
+def test_samples_without_a_batch_row_are_not_seen(spark, tmp_path):
+    tables = plant_with_tags(spark, [(1, "A", "float", None, None)])
+    store, *_ = _folder_import(spark, tmp_path, {"a.csv": "time,tag,value\n2026-01-01T00:00:00Z,A,1\n"}, tables)
+    stray = store.samples().withColumn("import_batch_id", F.lit(7).cast("long"))
+    stray.write.mode("append").partitionBy("import_batch_id").parquet(store.samples_path)
+    assert store.samples().count() == 1
