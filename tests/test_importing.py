@@ -1,5 +1,7 @@
 """Import rules, counters, files and atomic publishing."""
 
+import json
+
 
 import pytest
 from helpers import plant_with_tags, utc, workbook_bytes
@@ -346,7 +348,7 @@ def test_each_file_is_a_transaction(spark, tmp_path):
         "lacks-but-empty.csv": ("completed", None, 0, 0, 0), "broken.csv": ("failed", "CSV files must be UTF-8 or GB18030", 0, 0, 0),
         "twice.csv": ("failed", "source column headers must be unique", 0, 0, 0), "empty.csv": ("failed", "the file has no header row", 0, 0, 0),
     }
-    values = sorted(r.value for r in store.samples().collect())
+    values = sorted(json.loads(r.value) for r in store.samples().collect())
     assert values == sorted(["x", "y", "压力", "ok", "z", "two\nlines", 'a,"b"'])
     # Lines of blanks are rows with a number of their own; empty lines are not.
     cells, _ = tabular.line_cells(spark, str(folder), tabular.profiles_in(spark, str(folder)))
