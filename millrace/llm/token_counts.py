@@ -21,6 +21,7 @@ import struct
 import unicodedata
 from collections.abc import Iterator
 from functools import cache
+from itertools import accumulate
 from operator import sub
 
 import numpy as np
@@ -33,8 +34,9 @@ from millrace.llm.pieces import WordPieces, load_tokenizer
 
 VOCABULARY = "word_bpe_49k.json"
 LIMIT = 2048
-GROUP = 64
+GROUP = 256
 WORD_END = "</w>"
+KEPT_PAIRS = 1 << 20
 
 
 def prefix_counts(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
@@ -91,6 +93,15 @@ def bytes_within(ends: Column, counts: Column, budget: Column) -> Column:
     return F.coalesce(F.array_max(F.zip_with(ends, counts, lambda e, c: F.when(c <= budget, e))), F.lit(0)).cast("long")
 
 
+class State:
+    """A place in a word as far as tokens can tell: an ending, the tokens that end with it, and what may follow."""
+
+    __slots__ = ("after", "ending", "tokens")
+
+    def __init__(self, ending: str, tokens: list[tuple]):
+        self.ending, self.tokens, self.after = ending, tokens, {}
+
+
 class WordPrefixes:
     """Token counts of all prefixes of one word, by dynamic programming over its characters."""
 
@@ -109,9 +120,34 @@ class WordPrefixes:
             self.parts.append((number[left], number[right]))
         # By spelling: the token inside a word, and the one that closes it.
         self.entries = {t.removesuffix(WORD_END): (number.get(t.removesuffix(WORD_END)), number.get(t.removesuffix(WORD_END) + WORD_END)) for t in number}
-        self.longest = max(map(len, number))
+        self.beginnings = {spelling[:k] for spelling in self.entries for k in range(len(spelling) + 1)}
+        self.fits: dict[tuple[int, int], bool] = {}
+        # The word before, with the state, last token and count of each of its prefixes.
+        self.before, self.states, self.last, self.count, self.out = "", [State("", [])], [None], [0], []
+        self.known = {"": self.states[0]}
+
+    def _next(self, state: State, character: str) -> State:
+        """The state after one more character: the longest ending that some token begins with."""
+        ending = state.ending + character
+        while ending not in self.beginnings:
+            ending = ending[1:]
+        found = self.known.get(ending)
+        if found is None:
+            tokens = [(n, *self.entries[e]) for n in range(len(ending), 0, -1) if (e := ending[len(ending) - n :]) in self.entries]
+            found = self.known[ending] = State(ending, tokens)
+        state.after[character] = found
+        return found
 
     def _fit(self, left: int, right: int) -> bool:
+        """:meth:`_apart`, kept for pairs seen before."""
+        known = self.fits.get((left, right))
+        if known is None:
+            if len(self.fits) >= KEPT_PAIRS:
+                self.fits.clear()
+            known = self.fits[left, right] = self._apart(left, right)
+        return known
+
+    def _apart(self, left: int, right: int) -> bool:
         """Whether two tokens stay apart when the symbols of both are merged in order of rank: no
         two parts that meet at their border may be merged before one of them is complete."""
         limit = len(self.parts)
@@ -133,28 +169,38 @@ class WordPrefixes:
 
     def counts(self, word: str) -> list[int]:
         """Tokens of ``word[:1]``, ``word[:2]``... each as a word of its own; ``word`` in the
-        vocabulary's byte alphabet, as the pre-tokenizer gives it."""
-        last: list[int | None] = [None]
-        count, out, entries = [0], [], self.entries
-        for end in range(1, len(word) + 1):
-            inner = closing = None
-            for begin in range(max(0, end - self.longest), end):
-                entry = entries.get(word[begin:end])
-                if entry is None:
-                    continue
+        vocabulary's byte alphabet, as the pre-tokenizer gives it. What the word shares with the
+        one before is not reckoned again, so that words in order cost little more than a trie of them."""
+        shared = 0
+        for a, b in zip(word, self.before, strict=False):
+            if a != b:
+                break
+            shared += 1
+        states, last, count, out = self.states, self.last, self.count, self.out
+        del states[shared + 1 :], last[shared + 1 :], count[shared + 1 :], out[shared:]
+        self.before = word
+        state, fit, end = states[shared], self._fit, shared
+        for character in word[shared:]:
+            end += 1
+            state = state.after.get(character) or self._next(state, character)
+            token = closing = None
+            tokens = 0
+            for length, inside, at_end in state.tokens:  # all tokens that end here, the longest first
+                begin = end - length
                 before = last[begin]
                 if begin and before is None:
                     continue
-                if closing is None and entry[1] is not None and (not begin or self._fit(before, entry[1])):
+                if closing is None and at_end is not None and (not begin or fit(before, at_end)):
                     closing = count[begin] + 1
-                if inner is None and entry[0] is not None and (not begin or self._fit(before, entry[0])):
-                    inner = (entry[0], count[begin] + 1)
-                if inner is not None and closing is not None:
+                if token is None and inside is not None and (not begin or fit(before, inside)):
+                    token, tokens = inside, count[begin] + 1
+                if token is not None and closing is not None:
                     break
-            last.append(inner[0] if inner else None)
-            count.append(inner[1] if inner else 0)
+            states.append(state)
+            last.append(token)
+            count.append(tokens)
             out.append(closing)
-        return out
+        return out.copy()
 
     def text_counts(self, text: str) -> list[tuple[str, list[int]]]:
         """Each word of a text as the pre-tokenizer sees it, with the counts of all prefixes up to
@@ -189,12 +235,12 @@ class PrefixPieces(WordPieces):
     def prefixes(self, piece: bytes) -> list[int]:
         if piece.isalpha():  # ASCII letters only
             return self.program.counts(piece.lower().decode())
-        ends, text = _ends(piece), piece.decode("utf-8", "replace")
+        text = piece.decode("utf-8", "replace")
         normal = self.tokenizer.normalizer.normalize_str(text)
         # Where the normal form joins or adds characters, or special strings may be, prefixes differ in more than their end.
         odd = "<|" in text or "İ" in text or any(map(str.isspace, text)) or not unicodedata.is_normalized("NFC", text)
-        if odd or not len(ends) == len(text) == len(normal):
-            return [self.size(piece[:e].decode("utf-8", "replace")) for e in ends.tolist()]
+        if odd or len(text) != len(normal) or "\ufffd" in text:
+            return [self.size(piece[:e].decode("utf-8", "replace")) for e in _ends(piece).tolist()]
         before, out = 0, []
         for word, (begin, end) in self.tokenizer.pre_tokenizer.pre_tokenize_str(normal):
             out += [before] * (begin - len(out))
@@ -204,7 +250,7 @@ class PrefixPieces(WordPieces):
             else:
                 own = self.program.counts(word)
                 if not part.isascii():
-                    own = [own[e - 1] for e in _ends(part.encode()).tolist()]
+                    own = [own[e - 1] for e in accumulate(len(c.encode()) for c in part)]
             out += [before + c for c in own]
             before = out[-1]
         return out + [before] * (len(text) - len(out))
