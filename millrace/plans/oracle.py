@@ -6,6 +6,10 @@ each query adds its own. Written for DuckDB's dialect.
 
 from __future__ import annotations
 
+import re
+
+from millrace.plans.workloads import DAMAGE
+
 BINDING = {
     "plant": """SELECT r_regionkey::BIGINT AS plant_id, r_name AS code, r_name AS name,
         CASE WHEN r_regionkey = 4 THEN 'inactive' ELSE 'active' END AS status,
@@ -500,10 +504,14 @@ _RULES_CHECK = {
 }
 
 
+def _complete(keys: str) -> str:
+    return " AND ".join(f"{key} IS NOT NULL" for key in keys.split(", "))
+
+
 def _integrity() -> str:
     parts = [
         f"SELECT '{rule}' AS rule, count(*) AS violations FROM "
-        f"(SELECT {keys} FROM {table} GROUP BY {keys} HAVING count(*) > 1)"
+        f"(SELECT {keys} FROM {table} WHERE {_complete(keys)} GROUP BY {keys} HAVING count(*) > 1)"
         for rule, (table, keys) in _RULES_UNIQUE.items()
     ]
     parts += [
@@ -518,6 +526,17 @@ def _integrity() -> str:
     return " UNION ALL ".join(parts)
 
 
+_BROKEN = {
+    f"broken_{name}": f"SELECT * REPLACE ({', '.join(f'{sql} AS {column}' for column, sql in changes.items())}) FROM {name}"
+    for name, changes in DAMAGE.items()
+}
+
+
+def _integrity_of_broken() -> str:
+    """The audit over the damaged copies of the tables."""
+    return re.sub(rf"\b({'|'.join(DAMAGE)})\b", r"broken_\1", _integrity())
+
+
 def _subset_counts() -> str:
     inside = {
         "plant": ("plant", "plant_id IN (FROM in_plant)"),
@@ -781,6 +800,7 @@ QUERIES: dict[str, tuple[dict[str, str], str]] = {
           FROM acquisition_node c JOIN asset a ON a.tag_id = c.tag_id WHERE c.is_enabled GROUP BY c.task_id)
         USING (task_id)"""),
     "integrity_audit": ({}, _integrity()),
+    "integrity_audit_damaged": (_BROKEN, _integrity_of_broken()),
     "delivery_audit": (SNAPSHOT, """SELECT task_id, node_count, round(elapsed, 3) AS elapsed_seconds,
         final_state, round_even(expected, 0)::BIGINT AS expected_samples, received_delta, written_delta,
         written_delta AS row_delta,

@@ -297,6 +297,12 @@ def integrity_audit(spark, sf_dir):
     return integrity.integrity_audit(star.bind(spark, sf_dir), ALLOWED_HOSTS)
 
 
+@registered
+def integrity_audit_damaged(spark, sf_dir):
+    """The same audit of tables in which every rule is broken somewhere."""
+    return integrity.integrity_audit(workloads.damaged_tables(star.bind(spark, sf_dir)), ALLOWED_HOSTS)
+
+
 @registered
 def delivery_audit(spark, sf_dir):
     t = star.bind(spark, sf_dir)

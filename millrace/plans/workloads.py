@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from millrace.operators.importing import ImportMapping, WideColumn
 from millrace.sources.star_binding import given, lines
+from millrace.sources.tables import Tables
 
 LONG_MAPPING = ImportMapping(
     timestamp_column="time", tag_code_column="tag", value_column="value",
@@ -116,6 +117,62 @@ def _as_csv(spark: SparkSession, folder: str) -> None:
             files.rename(path(name), path(name.removesuffix(".txt") + ".csv"))
 
 
+# What is broken in a copy of the stored tables, as SQL expressions that both engines read: every rule has hits.
+DAMAGE = {
+    "plant": {"code": "CASE WHEN plant_id < 2 THEN 'SAME' ELSE code END"},
+    "production_line": {
+        "plant_id": "CASE WHEN line_id % 11 = 3 THEN 99 ELSE plant_id END",
+        "code": "CASE WHEN line_id % 5 < 2 THEN 'L' ELSE code END",
+    },
+    "device": {
+        "line_id": "CASE WHEN device_id % 13 = 4 THEN -1 ELSE line_id END",
+        "code": "CASE WHEN device_id % 3 = 1 THEN 'D' ELSE code END",
+    },
+    "tag": {
+        "device_id": "CASE WHEN tag_id % 17 = 5 THEN -2 ELSE device_id END",
+        "code": "CASE WHEN tag_id % 17 = 5 THEN 'not a code' ELSE code END",
+        "min_value": "CASE WHEN tag_id % 23 = 6 THEN 9 ELSE min_value END",
+        "max_value": "CASE WHEN tag_id % 23 = 6 THEN 8 ELSE max_value END",
+        "sampling_interval_ms": "CASE WHEN tag_id % 29 = 7 THEN 5 ELSE sampling_interval_ms END",
+    },
+    "acquisition_node": {
+        "tag_id": "CASE WHEN tag_id % 31 = 8 THEN -3 ELSE tag_id END",
+        "node_id": "CASE WHEN tag_id % 31 = 9 THEN 'ns=2;s=one' ELSE node_id END",
+        "task_id": "CASE WHEN tag_id % 31 = 10 THEN 9999 ELSE task_id END",
+    },
+    "acquisition_task": {
+        "publishing_interval_ms": "CASE WHEN task_id % 5 = 1 THEN 99 ELSE publishing_interval_ms END",
+        "batch_size": "CASE WHEN task_id % 5 = 2 THEN 2001 ELSE batch_size END",
+        "reconnect_delay_seconds": "CASE WHEN task_id % 5 = 3 THEN 301 ELSE reconnect_delay_seconds END",
+        "max_reconnect_delay_seconds": "CASE WHEN task_id % 5 = 4 THEN 901 WHEN task_id % 5 = 3 THEN 300 "
+        "ELSE max_reconnect_delay_seconds END",
+        "endpoint_url": "CASE WHEN task_id % 5 = 0 THEN 'opc.tcp://other:4840' ELSE endpoint_url END",
+    },
+    "tag_sample": {
+        "source_timestamp": "CASE WHEN id % 37 < 2 THEN TIMESTAMP '2024-01-01 00:00:00' ELSE source_timestamp END",
+        "tag_id": "CASE WHEN id % 41 = 3 THEN -4 ELSE tag_id END",
+        "task_id": "CASE WHEN id % 43 = 4 THEN 8888 ELSE task_id END",
+        "import_batch_id": "CASE WHEN id % 47 = 5 THEN 7777 ELSE import_batch_id END",
+    },
+    "data_quality_issue": {"batch_id": "CASE WHEN id % 3 = 1 THEN -5 ELSE batch_id END"},
+    "user_plant_access": {"plant_id": "CASE WHEN user_id % 6 = 5 THEN 77 ELSE plant_id END"},
+    "knowledge_document": {
+        "title": "CASE WHEN document_id % 53 = 6 THEN '' ELSE title END",
+        "content": "CASE WHEN document_id % 59 = 7 THEN 'short' ELSE content END",
+    },
+}
+
+
+def damaged_tables(t: Tables) -> Tables:
+    """The stored tables with :data:`DAMAGE` done to them."""
+    broken = {}
+    for name, changes in DAMAGE.items():
+        table = t.as_dict()[name]
+        # All changes look at the values before any of them.
+        broken[name] = table.select(*[F.expr(changes.get(c, f"`{c}`")).alias(c) for c in table.columns])
+    return t.replaced(**broken)
+
+
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Access requests: one per order, some for users or plants that do not exist."""
     return given(spark, sf_dir, "orders").selectExpr(
