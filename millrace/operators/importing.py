@@ -6,6 +6,7 @@ collected: the samples, the issues and the counters are three reads of one stage
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -345,16 +346,21 @@ def mark_duplicates(checked: DataFrame, stored: DataFrame) -> DataFrame:
     )
 
 
-def classify(raw: DataFrame, mapping: ImportMapping, t: Tables, stored: DataFrame) -> DataFrame:
+def classify(
+    raw: DataFrame, mapping: ImportMapping, t: Tables, stored: DataFrame | Callable[[DataFrame], DataFrame]
+) -> DataFrame:
     """Every measurement of the files with its ``rule`` and ``issue_type``, null when accepted.
 
+    ``stored`` holds the keys that are there already, or is a function that looks them up for the candidates.
+
     Staged twice in the shared folder: the cells are parsed once, though the search for
     duplicates reads them twice, and the verdicts serve all reports.
     """
     cells = check_cells(resolve_tags(source_measurements(raw, mapping), t))
     checked = staged(cells, "import-checked")
     passed = checked.where(F.col("_rule").isNull())
-    return staged(mark_duplicates(checked, within_bounds(stored, passed)), "import-classified")
+    known = stored(passed) if callable(stored) else within_bounds(stored, passed)
+    return staged(mark_duplicates(checked, known), "import-classified")
 
 
 def accepted_samples(classified: DataFrame, received_at: Column) -> DataFrame:

@@ -14,24 +14,32 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions import fixed_values as fixed
-from millrace.operators.importing import ImportMapping, counters, issues, process
+from millrace.operators.importing import ImportMapping, accepted_samples, classify, counters, existing_keys, issues, within_bounds
 from millrace.session import read_if_present, staged
 from millrace.sources import tabular
 from millrace.sources.tables import Tables
+from millrace.streaming.daily import DailyTable
 
 COUNTS = ("total_rows", "accepted_rows", "rejected_rows", "duplicate_rows", "warning_rows", "issue_count")
+SAMPLE_COLUMNS = (
+    "task_id LONG, import_batch_id LONG, source_type STRING, tag_id LONG, value STRING, numeric_value DOUBLE, "
+    "source_timestamp TIMESTAMP, server_timestamp TIMESTAMP, received_at TIMESTAMP, status_code STRING, "
+    "is_good BOOLEAN, import_run LONG"
+)
+KEYS = ("tag_id", "source_timestamp")
 
 
 @dataclass(frozen=True)
 class FolderImport:
-    """Samples by batch, and one row for each file and run."""
+    """Samples by day and key bucket, and one row for each file and run."""
 
     spark: SparkSession
     root: str
+    buckets: int = 1
 
     @property
-    def samples_path(self) -> str:
-        return f"{self.root}/samples"
+    def table(self) -> DailyTable:
+        return DailyTable(self.spark, f"{self.root}/samples", SAMPLE_COLUMNS, KEYS, "source_timestamp", self.buckets)
 
     @property
     def batches_path(self) -> str:
@@ -46,13 +54,31 @@ class FolderImport:
         return every.groupBy("batch_id").agg(F.max_by(rest, "run").alias("_b"), F.max("run").alias("run")).select("batch_id", "run", "_b.*")
 
     def samples(self) -> DataFrame | None:
-        """Samples of completed batches only."""
+        """Samples of completed batches, each as its newest run has left it."""
+        stored = self.table.rows()
+        return None if stored is None else self._visible(stored)
+
+    def _visible(self, stored: DataFrame) -> DataFrame | None:
+        """Rows whose batch row is written: those of a run that broke off, or was repeated, are not seen."""
         batches = self.batches()
-        stored = read_if_present(self.spark, self.samples_path)
-        if batches is None or stored is None:
+        if batches is None:
             return None
-        done = batches.where(F.col("status") == "completed").select(F.col("batch_id").alias("import_batch_id"))
-        return stored.join(done, "import_batch_id", "left_semi")
+        done = batches.where(F.col("status") == "completed").select(
+            F.col("batch_id").alias("import_batch_id"), F.col("run").cast("long").alias("import_run")
+        )
+        return stored.join(done, ["import_batch_id", "import_run"], "left_semi")
+
+    def known_keys(self, candidates: DataFrame, own: DataFrame | None = None) -> DataFrame | None:
+        """Stored keys in the days and buckets of the candidates, but those of the batches ``own``.
+
+        The set of places decides what is listed and read: one wrong date adds its own day and nothing between.
+        """
+        dated = candidates.where(F.col("source_timestamp").isNotNull())
+        found = self.table.at(self.table.places(self.table.placed(dated)))
+        visible = None if found is None else self._visible(found)
+        if visible is None or own is None:
+            return visible
+        return visible.join(own.select(F.col("batch_id").alias("import_batch_id")), "import_batch_id", "left_anti")
 
     def run(self, number: int, folder: str, mapping: ImportMapping, tables: Tables, plant: Column, received_at: Column) -> DataFrame:
         """Import all files below ``folder``; returns the batch rows. ``plant`` is an expression over ``path``."""
@@ -60,9 +86,17 @@ class FolderImport:
         raw, counts = self._rows(folder, profiles, mapping)
         files = staged(_checked(profiles, counts, mapping).withColumn("batch_id", F.xxhash64("path")).withColumn("plant_id", plant), "files")
         good = files.where(F.col("status") == "completed").select("path", "batch_id", "plant_id")
-        result = process(self.spark, raw.join(good, "path"), mapping, tables, self.samples_path, received_at)
-        measured = counters(result.classified, issues(result.classified, mapping)).select("batch_id", *COUNTS)
-        written = result.samples.groupBy(F.col("import_batch_id").alias("batch_id")).agg(F.count("*").alias("published_rows"))
+
+        def stored(candidates: DataFrame) -> DataFrame:
+            before = within_bounds(existing_keys(tables.tag_sample), candidates)
+            own = self.known_keys(candidates, good)
+            return before if own is None else before.unionByName(own.select(*KEYS))
+
+        classified = classify(raw.join(good, "path"), mapping, tables, stored)
+        accepted = accepted_samples(classified, received_at).withColumn("import_run", F.lit(number).cast("long"))
+        self.table.add(self.table.placed(accepted), number)
+        measured = counters(classified, issues(classified, mapping)).select("batch_id", *COUNTS)
+        written = self._written(accepted, number)
         rows = (
             files.select("batch_id", "plant_id", "path", "status", "error_message")
             .join(measured, "batch_id", "left").join(written, "batch_id", "left")
@@ -71,6 +105,12 @@ class FolderImport:
         rows.write.mode("overwrite").parquet(f"{self.batches_path}/run={number}")
         return self.spark.read.parquet(f"{self.batches_path}/run={number}")
 
+    def _written(self, accepted: DataFrame, number: int) -> DataFrame:
+        """Rows of a run by batch, as its places hold them now."""
+        found = self.table.at(self.table.places(self.table.placed(accepted)))
+        mine = accepted.where("false") if found is None else found.where(F.col("import_run") == number)
+        return mine.groupBy(F.col("import_batch_id").alias("batch_id")).agg(F.count("*").alias("published_rows"))
+
     def _rows(self, folder: str, profiles: DataFrame, mapping: ImportMapping) -> tuple[DataFrame, DataFrame]:
         """Rows of all readable files by column name, and the data rows of each file."""
         names = sorted(mapping.source_columns())

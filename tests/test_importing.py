@@ -363,6 +363,24 @@ def test_each_file_is_a_transaction(spark, tmp_path):
 def test_samples_without_a_batch_row_are_not_seen(spark, tmp_path):
     tables = plant_with_tags(spark, [(1, "A", "float", None, None)])
     store, *_ = _folder_import(spark, tmp_path, {"a.csv": "time,tag,value\n2026-01-01T00:00:00Z,A,1\n"}, tables)
-    stray = store.samples().withColumn("import_batch_id", F.lit(7).cast("long"))
-    stray.write.mode("append").partitionBy("import_batch_id").parquet(store.samples_path)
-    assert store.samples().count() == 1
+    stray = store.samples().drop("sample_date").withColumn("import_run", F.lit(7).cast("long"))
+    store.table.add(store.table.placed(stray), 7)
+    assert store.table.rows().count() == 2 and store.samples().count() == 1
+
+
+def test_one_wrong_date_does_not_open_the_table(spark, tmp_path):
+    """Known keys are looked up in the candidates' own days, whatever lies between them."""
+    tables = plant_with_tags(spark, [(1, "A", "float", None, None)])
+    days = "".join(f"2026-01-{d:02}T00:00:00Z,A,{d}\n" for d in range(1, 29))
+    store, folder, mapping, rows = _folder_import(spark, tmp_path, {"all.csv": "time,tag,value\n" + days}, tables)
+    assert rows["all.csv"].accepted_rows == 28
+    other = tmp_path / "later"
+    other.mkdir()
+    (other / "b.csv").write_text("time,tag,value\n1900-01-01T00:00:00Z,A,1\n2026-01-09T00:00:00Z,A,9\n2999-01-01T00:00:00Z,A,1\n")
+    found = store.run(2, str(other), mapping, tables, F.lit(1).cast("long"), F.lit("2026-01-01").cast("timestamp")).first()
+    assert (found.accepted_rows, found.duplicate_rows, found.published_rows) == (2, 1, 2)
+    keys = [("1900-01-01 00:00:00", 1), ("2026-01-09 00:00:00", 1), ("2999-01-01 00:00:00", 1)]
+    asked = spark.createDataFrame(keys, "t string, tag_id long").selectExpr("tag_id", "cast(t as timestamp) as source_timestamp")
+    known = store.known_keys(asked)
+    read = {f.split("sample_date=")[1][:10] for f in known.inputFiles() if "sample_date=" in f}
+    assert read == {"1900-01-01", "2026-01-09", "2999-01-01"} and known.count() == 3
