@@ -507,6 +507,51 @@ def upsert_documents(current: DataFrame, incoming: DataFrame) -> DataFrame:
     )
 
 
+def merged_documents(current: DataFrame, incoming: DataFrame) -> DataFrame:
+    """The document table after a versioned upsert, with what became of each row.
+
+    As :func:`upsert_documents`, with everything a document is stored with. A new content takes the place of
+    the old one, and its vector and model go, as they belong to the old text. ``result`` and
+    ``expected_version`` tell writers about conflicts; :func:`store_documents` leaves them out.
+    """
+    old = current.withColumnsRenamed({c: f"_{c}" for c in current.columns if c != "document_id"})
+    fresh = incoming.select("document_id", "plant_id", "title", "content", "expected_version")
+    both = old.join(fresh, "document_id", "full_outer")
+    given, stored = F.col("content").isNotNull(), F.col("_version").isNotNull()
+    result = (
+        F.when(given & ~stored, "created")
+        .when(given & stored & F.col("expected_version").eqNullSafe(F.col("_version")), "updated")
+        .when(given & stored, "conflict")
+        .otherwise("kept")
+    )
+    takes = F.col("result").isin("created", "updated")
+    same = F.col("content").eqNullSafe(F.col("_content"))
+    kinds = dict(current.dtypes)
+
+    def column(name: str) -> Column:
+        if name in ("plant_id", "title", "content"):
+            return F.when(takes, F.col(name)).otherwise(F.col(f"_{name}"))
+        if name == "content_sha256":
+            return F.sha2(F.when(takes, F.col("content")).otherwise(F.col("_content")), 256)
+        if name == "version":
+            return (F.coalesce("_version", F.lit(0)) + takes.cast("int")).cast(kinds[name])
+        if name in ("vector", "embedding_model"):
+            return F.when(~takes | same, F.col(f"_{name}"))
+        return F.col(f"_{name}")
+
+    return both.withColumn("result", result).select(
+        "document_id", *[column(c).alias(c) for c in current.columns if c != "document_id"], "result", "expected_version"
+    )
+
+
+def store_documents(current: DataFrame, incoming: DataFrame, path: str) -> tuple[DataFrame, DataFrame]:
+    """Write the merged table to a new place; returns it read back, and the conflicts with the version they met."""
+    merged = staged(merged_documents(current, incoming), "merged-documents")
+    merged.drop("result", "expected_version").write.parquet(path)
+    conflicts = merged.where("result = 'conflict'").select("document_id", "expected_version", F.col("version").alias("current_version"))
+    return current.sparkSession.read.parquet(path), conflicts
+
+
 def seed_documents(current: DataFrame, seeds: DataFrame) -> DataFrame:
     """Seeds whose title is not there yet; an existing document is never overwritten."""
     return seeds.join(current.select("plant_id", "title"), ["plant_id", "title"], "left_anti")

@@ -937,6 +937,8 @@ QUERIES: dict[str, tuple[dict[str, str], str]] = {
           JOIN import_batch o ON o.batch_id = b.duplicate_of_id
           WHERE (b.batch_id IN (FROM in_batch)) <> (o.batch_id IN (FROM in_batch))"""),
     "archive_restore_check": ({}, "SELECT code AS table_name FROM plant WHERE false"),
+    "changed_table_check": (_BROKEN, " UNION ALL ".join(
+        f"SELECT '{n}' AS table_name WHERE EXISTS (SELECT * FROM {n} EXCEPT ALL SELECT * FROM broken_{n})" for n in DAMAGE)),
     "canonical_rows": ({}, """SELECT tag_id, '{"code":"' || code || '","is_enabled":' || is_enabled
         || ',"max_value":' || coalesce(max_value::VARCHAR, 'null') || ',"tag_id":' || tag_id || '}'
         AS row_text FROM tag"""),
@@ -966,6 +968,19 @@ QUERIES: dict[str, tuple[dict[str, str], str]] = {
         FROM knowledge_document o FULL JOIN incoming n USING (document_id),
         LATERAL (SELECT n.content IS NOT NULL AND (o.version IS NULL
           OR coalesce(n.expected_version = o.version, false)) AS takes)"""),
+    "document_store": (INCOMING, """SELECT document_id, plant_id, title, version, sha256(content) AS content_sha256,
+        length(content) AS characters, has_vector, CASE WHEN length(content) > 0 THEN (length(content) - 1) // 600 + 1
+          ELSE 0 END AS chunk_count, CASE WHEN conflict THEN expected END AS expected_version,
+        CASE WHEN conflict THEN version END AS current_version FROM (
+          SELECT document_id, CASE WHEN takes THEN n.plant_id ELSE o.plant_id END AS plant_id,
+            CASE WHEN takes THEN n.title ELSE o.title END AS title,
+            CASE WHEN takes THEN n.content ELSE o.content END AS content,
+            (coalesce(o.version, 0) + takes::INT)::BIGINT AS version, n.expected_version::BIGINT AS expected,
+            o.vector IS NOT NULL AND NOT (takes AND n.content IS DISTINCT FROM o.content) AS has_vector,
+            n.content IS NOT NULL AND o.version IS NOT NULL AND NOT takes AS conflict
+          FROM knowledge_document o FULL JOIN incoming n USING (document_id),
+          LATERAL (SELECT n.content IS NOT NULL AND (o.version IS NULL
+            OR coalesce(n.expected_version = o.version, false)) AS takes))"""),
     "seed_documents": (INCOMING, """SELECT document_id, title FROM incoming n WHERE NOT EXISTS (
         SELECT 1 FROM knowledge_document o WHERE o.plant_id = n.plant_id AND o.title = n.title)"""),
     "retrieval_metrics": (METRICS, """SELECT query_id, returned_titles, round(recall, 6) AS recall,

@@ -519,6 +519,14 @@ def archive_restore_check(spark, sf_dir):
     return lifecycle.changed_tables(before, lifecycle.fingerprints(lifecycle.restore_scope(outside, inside)))
 
 
+@registered
+def changed_table_check(spark, sf_dir):
+    """Tables whose fingerprints tell a damaged copy from the original."""
+    t = star.bind(spark, sf_dir)
+    damaged = workloads.damaged_tables(t).as_dict()
+    return lifecycle.changed_tables(lifecycle.fingerprints(t.as_dict()), lifecycle.fingerprints(damaged))
+
+
 @registered
 def canonical_rows(spark, sf_dir):
     tags = star.tags(spark, sf_dir)
@@ -607,6 +615,21 @@ def document_versions(spark, sf_dir):
     )
 
 
+@registered
+def document_store(spark, sf_dir):
+    """The table after an upsert, written and read back, with its chunks and the conflicts that writers are told."""
+    after, conflicts = retrieval.store_documents(
+        star.documents(spark, sf_dir), workloads.incoming_documents(spark, sf_dir), fresh_folder(spark, "documents")
+    )
+    chunked = retrieval.chunks(after.drop("vector")).groupBy("document_id").agg(F.count("*").alias("chunk_count"))
+    rows = after.select(
+        "document_id", "plant_id", "title", "version", "content_sha256", F.length("content").alias("characters"),
+        F.col("vector").isNotNull().alias("has_vector"),
+    )
+    found = rows.join(chunked, "document_id", "left").na.fill(0, ["chunk_count"]).join(conflicts, "document_id", "left")
+    return _longs(found, "version", "characters", "expected_version", "current_version")
+
+
 @registered
 def seed_documents(spark, sf_dir):
     seeds = workloads.incoming_documents(spark, sf_dir)

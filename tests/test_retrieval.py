@@ -7,7 +7,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.operators import evaluation, retrieval
+from millrace.operators import evaluation, retrieval, scoring
 
 WORDS = "pump seal valve motor flow heat oil leak noise check the the the and of".split()
 
@@ -152,6 +152,51 @@ def test_embeddings_are_attached_and_checked(frames):
     assert retrieval.mixed_dimensions(found).count() == 0
 
 
+@pytest.mark.parametrize("strategy", ["lexical", "vector", "auto"])
+def test_rankings_settle_from_any_first_depth(frames, spark, strategy, monkeypatch):
+    """Few places are followed at first: questions that are not settled are asked again, deeper."""
+    monkeypatch.setattr(retrieval, "FIRST_DEPTH", 1)
+    docs, asked = frames
+    rows = retrieval.retrieve(docs, asked, strategy).orderBy("query_id", "rank").collect()
+    for query in QUERIES:
+        assert [r.evidence_id for r in rows if r.query_id == query[0]] == brute_force(corpus(), query, strategy)
+
+
+def test_chunks_that_cannot_reach_the_best_are_not_scored(spark):
+    rare = [(n, 1, "t", f"common words {'rare' if n % 400 == 0 else 'other'} {n}", 1) for n in range(4000)]
+    docs = spark.createDataFrame(rare, "document_id LONG, plant_id LONG, title STRING, content STRING, version INT").coalesce(1)
+    bagged = retrieval.index(docs).coalesce(1)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100")
+    question = scoring.Question(0, 1, 3, [("common", 1), ("rare", 1), ("words", 1)], None)
+    block = spark.sparkContext.broadcast(scoring.QuestionBlock([question], scoring.plant_statistics(bagged, [question])))
+    lists = scoring.best_lists(bagged, block, 5, False, True).collect()
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    effort = next(r for r in lists if r.list == "scored")
+    assert effort.semantic == 4000 and effort.bm25 < 2000  # those met, and those scored
+    assert {r.document_id % 400 for r in lists if r.list == "words"} == {0}
+
+
+def test_only_vectors_of_the_model_are_compared(spark):
+    ddl = "document_id LONG, plant_id LONG, title STRING, content STRING, version INT, content_sha256 STRING, vector ARRAY<DOUBLE>, embedding_model STRING"
+    docs = spark.createDataFrame([(1, 1, "t", "aa", 1, "d1", [1.0, 0.0], "old"), (2, 1, "t", "bb", 3, "d2", [1.0, 0.0], "new"), (3, 2, "t", "cc", 1, "d3", [1.0, 0.0], "old")], ddl)
+    asked = spark.createDataFrame([(1, 1, "zz", [1.0, 0.0]), (2, 2, "cc", [1.0, 0.0])], "query_id LONG, plant_id LONG, query STRING, vector ARRAY<DOUBLE>")
+    assert [(r.query_id, r.document_id) for r in retrieval.retrieve(docs, asked, "vector", model="new").collect()] == [(1, 2)]
+    rows = retrieval.evidence_payload(retrieval.index(docs), docs, asked, model="new").collect()
+    assert {(r.query_id, r.document_id, r.version, r.text, r.content_sha256, r["mode"]) for r in rows} == {(1, 2, 3, "bb", "d2", "hybrid"), (2, 3, 1, "cc", "d3", "lexical")}
+
+
+def test_stored_documents_come_back(spark, tmp_path):
+    ddl = "document_id LONG, plant_id LONG, title STRING, content STRING, content_sha256 STRING, version INT, vector ARRAY<DOUBLE>"
+    current = spark.createDataFrame([(1, 1, "a", "x", "-", 1, [1.0]), (2, 1, "b", "y", "-", 4, [2.0]), (3, 1, "c", "z", "-", 2, None), (4, 1, "d", "w", "-", 1, [3.0])], ddl)
+    incoming = spark.createDataFrame([(1, 1, "a2", "x2", 1), (2, 1, "b2", "y2", 3), (4, 1, "d2", "w", 1), (9, 1, "n", "v", None)], "document_id LONG, plant_id LONG, title STRING, content STRING, expected_version INT")
+    after, conflicts = retrieval.store_documents(current, incoming, str(tmp_path / "docs"))
+    found = {r.document_id: (r.title, r.content, r.version, r.vector) for r in after.collect()}
+    assert found == {1: ("a2", "x2", 2, None), 2: ("b", "y", 4, [2.0]), 3: ("c", "z", 2, None), 4: ("d2", "w", 2, [3.0]), 9: ("n", "v", 1, None)}
+    assert after.columns == current.columns and [tuple(r) for r in conflicts.collect()] == [(2, 3, 4)]
+    again, _ = retrieval.store_documents(after, incoming, str(tmp_path / "docs2"))
+    assert {r.document_id: r.version for r in again.collect()} == {1: 2, 2: 4, 3: 2, 4: 2, 9: 1}
+
+
 def test_document_upsert(spark):
     ddl = "document_id LONG, plant_id LONG, title STRING, content STRING"
     current = spark.createDataFrame([(1, 1, "a", "x", 1), (2, 1, "b", "y", 4), (3, 1, "c", "z", 2)], ddl + ", version INT")
