@@ -640,6 +640,11 @@ QUERIES: dict[str, tuple[dict[str, str], str]] = {
           ORDER BY source_timestamp DESC, id DESC) AS rank, count(*) OVER (PARTITION BY tag_id)
           AS total_count, count(*) FILTER (NOT is_good) OVER (PARTITION BY tag_id) AS bad_count
           FROM tag_sample) WHERE rank <= 5"""),
+    "tag_history_filtered": ({}, """SELECT id, task_id, tag_id, source_timestamp, value, is_good, count(*) OVER () AS total_count
+        FROM tag_sample WHERE tag_id = 7 AND task_id = 1 AND is_good AND source_timestamp BETWEEN TIMESTAMP '2024-01-03'
+          AND TIMESTAMP '2024-01-28' ORDER BY source_timestamp DESC, id DESC LIMIT 3"""),
+    "samples_of_both_sources": ({}, """SELECT source_type, tag_id, count(*) AS samples, count(task_id) AS with_task,
+        count(import_batch_id) AS with_batch FROM tag_sample GROUP BY ALL"""),
     "tag_trend_all": (TREND, "SELECT * FROM trend"),
     "trend_facts": (TREND, f"""SELECT plant_id, tag_id,
         '测点 ' || code || '（' || name || '）；来源 opcua；测点'
@@ -736,6 +741,11 @@ QUERIES: dict[str, tuple[dict[str, str], str]] = {
     "search_nodes": ({}, """SELECT n.task_id, n.tag_id, n.node_id, n.is_enabled, t.code, t.name
         FROM acquisition_node n JOIN tag t ON t.tag_id = n.tag_id
         WHERE contains(lower(t.code || ' ' || t.name || ' ' || n.node_id), 'ns=2;s=customer#00000001')"""),
+    "asset_lists": ({}, """SELECT 'plant' AS kind, plant_id AS id, NULL::BIGINT AS parent_id, code, name, status FROM plant
+          WHERE status = 'active'
+        UNION ALL SELECT 'line', line_id, plant_id, code, name, status FROM production_line WHERE plant_id = 2
+        UNION ALL SELECT 'device', device_id, line_id, code, name, status FROM device
+          WHERE line_id = 7 OR line_id = 4 AND (code ILIKE '%_3%' OR name ILIKE '%_3%')"""),
     "list_page": ({}, """SELECT tag_id, code, name, data_type, count(*) OVER () AS total_count FROM tag
         WHERE data_type = 'float' AND (code ILIKE '%customer#0_00%' OR name ILIKE '%customer#0_00%')
         ORDER BY code, tag_id LIMIT 25 OFFSET 10"""),
@@ -898,6 +908,8 @@ QUERIES: dict[str, tuple[dict[str, str], str]] = {
         last_value(CASE WHEN o_orderstatus IN ('F', 'O') THEN o_orderkey END IGNORE NULLS) OVER (
           PARTITION BY o_custkey % 5, o_custkey % 200 ORDER BY o_orderdate, o_orderkey
           ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS duplicate_of_id FROM orders"""),
+    "source_files_available": ({}, """SELECT o_orderkey AS batch_id, 'page-' || (o_orderkey % 3000) AS storage_key,
+        o_orderkey % 3000 IN (SELECT page_id FROM pages) AS source_file_available FROM orders"""),
     "header_suggestions": ({}, """SELECT event_id AS file_id, t AS timestamp_column, g AS tag_code_column,
         v AS value_column, d AS device_code_column, q AS quality_column, layout, layout = 'long' AS suggested
         FROM events JOIN (VALUES
@@ -1020,6 +1032,12 @@ QUERIES: dict[str, tuple[dict[str, str], str]] = {
         conv_id * 3 + turn AS document_id, 1 + turn % 3 AS version, d.version AS current_version
         FROM conversations LEFT JOIN knowledge_document d ON d.document_id = conv_id * 3 + turn
         WHERE d.version IS NULL OR d.version <> 1 + turn % 3"""),
+    "stale_evidence_found": ({}, """SELECT * FROM (SELECT conv_id AS answer_id, turn AS position,
+          ['acquisition_status', 'asset_overview', 'tag_trend'][length(text) % 3 + 1] AS title,
+          conv_id * 3 + turn AS document_id, greatest(1, 1 + turn % 3 - conv_id % 2) AS version,
+          d.version AS current_version
+          FROM conversations LEFT JOIN knowledge_document d ON d.document_id = conv_id * 3 + turn)
+        WHERE current_version IS NULL OR current_version <> version"""),
     "last_snapshots": ({}, """SELECT answer_id, position, title, document_id, version FROM (
           SELECT *, max(position) OVER (PARTITION BY answer_id, title) AS last FROM (
             SELECT conv_id AS answer_id, turn AS position,

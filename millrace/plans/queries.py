@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable
-from functools import lru_cache, wraps
+from functools import lru_cache, reduce, wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,6 +19,7 @@ from millrace.plans import workloads
 from millrace.session import configure, file_stamps, fresh_folder
 from millrace.sources import star_binding as star
 from millrace.sources import tabular
+from millrace.sources.tables import all_samples
 from millrace.streaming.acquisition import LiveStore, mapped_nodes, notifications, to_samples
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,6 +27,7 @@ REGISTRY: dict[str, Query] = {}
 
 ALLOWED_HOSTS = ("sim",)
 ISSUE_LIMIT = 50
+HISTORY_TAG = 7
 SCOPE = "plant_id < 2"
 
 
@@ -85,6 +88,27 @@ def tag_history_page(spark, sf_dir):
     return sample_queries.history_pages(star.samples(spark, sf_dir), 5)
 
 
+@registered
+def tag_history_filtered(spark, sf_dir):
+    """One tag's newest good live samples of a task within a time range, with the count of all that match."""
+    start, end = dt.datetime(2024, 1, 3, tzinfo=dt.UTC), dt.datetime(2024, 1, 28, tzinfo=dt.UTC)
+    found = sample_queries.history(
+        star.bind(spark, sf_dir), HISTORY_TAG, task_id=HISTORY_TAG % 125 // 5, start=start, end=end, is_good=True, limit=3
+    )
+    return found.select("id", "task_id", "tag_id", "source_timestamp", "value", "is_good", "total_count")
+
+
+@registered
+def samples_of_both_sources(spark, sf_dir):
+    """Live and file samples put together again as one fact table, counted by source and tag."""
+    every = star.samples(spark, sf_dir)
+    live, filed = (sample_queries.from_source(every, source) for source in ("opcua", "file"))
+    both = all_samples(live.drop("import_batch_id"), filed.drop("task_id"))
+    return both.groupBy("source_type", "tag_id").agg(
+        F.count("*").alias("samples"), F.count("task_id").alias("with_task"), F.count("import_batch_id").alias("with_batch")
+    )
+
+
 @registered
 def tag_trend_all(spark, sf_dir):
     found = sample_queries.trend(star.bind(spark, sf_dir), star.as_of(), 24, "opcua")
@@ -215,6 +239,21 @@ def list_page(spark, sf_dir):
     )
 
 
+@registered
+def asset_lists(spark, sf_dir):
+    """The lists of plants, lines and devices: active plants, the lines of two plants, the devices of some lines."""
+    t = star.bind(spark, sf_dir)
+    lists = {
+        "plant": (assets.filter_assets(t.plant, status="active"), "plant_id", F.lit(None)),
+        "line": (assets.filter_assets(t.production_line, plant_id=2), "line_id", F.col("plant_id")),
+        "device": (assets.filter_assets(t.device, search="_3", line_id=4).unionByName(assets.filter_assets(t.device, line_id=7)), "device_id", F.col("line_id")),
+    }
+    return reduce(DataFrame.unionByName, [
+        df.select(F.lit(kind).alias("kind"), F.col(key).alias("id"), parent.cast("long").alias("parent_id"), "code", "name", "status")
+        for kind, (df, key, parent) in lists.items()
+    ])
+
+
 # --- batches, tasks, delivery ----------------------------------------------------------
 
 
@@ -469,6 +508,14 @@ def duplicate_files(spark, sf_dir):
     )
 
 
+@registered
+def source_files_available(spark, sf_dir):
+    """Uploads whose stored file is still listed."""
+    uploads = workloads.uploads(spark, sf_dir).withColumn("storage_key", F.concat(F.lit("page-"), F.col("batch_id") % 3000))
+    listing, _ = workloads.recorded_pages(spark, sf_dir)
+    return tabular.with_source_file(uploads, listing).select("batch_id", "storage_key", "source_file_available")
+
+
 @registered
 def header_suggestions(spark, sf_dir):
     return tabular.suggest_mappings(workloads.file_headers(spark, sf_dir), tabular.alias_table(spark))
@@ -707,6 +754,15 @@ def stale_evidence(spark, sf_dir):
     )
 
 
+@registered
+def stale_evidence_found(spark, sf_dir):
+    """Evidence of answers that cited an edition before the current one."""
+    cited = workloads.evidence_rows(spark, sf_dir).withColumn(
+        "version", F.greatest(F.lit(1), F.col("version") - (F.col("answer_id") % 2).cast("int"))
+    )
+    return _longs(evaluation.stale_evidence(cited, star.documents(spark, sf_dir)), "version", "current_version")
+
+
 @registered
 def last_snapshots(spark, sf_dir):
     return _longs(evaluation.last_snapshots(workloads.evidence_rows(spark, sf_dir)), "version")
