@@ -283,6 +283,41 @@ def fingerprints(tables: dict[str, DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+DIGEST_MODULUS = 1 << 61
+
+
+def row_text(df: DataFrame, columns: Sequence[str]) -> Column:
+    """A row as text that any engine can build: whole numbers and flags as they are, times in microseconds,
+    other numbers in whole millionths, with a mark for nulls."""
+    kinds = dict(df.dtypes)
+
+    def cell(name: str) -> Column:
+        col, kind = F.col(name), kinds[name]
+        if kind.startswith("timestamp"):
+            col = F.unix_micros(col)
+        elif kind in ("double", "float"):
+            col = F.floor(col * 1_000_000 + 0.5)
+        return F.coalesce(col.cast("string"), F.lit(chr(30)))
+
+    return F.concat_ws(chr(31), *[cell(c) for c in columns])
+
+
+def digests(tables: dict[str, DataFrame], columns: dict[str, Sequence[str]]) -> DataFrame:
+    """(``table_name``, ``row_count``, ``digest``): a multiset hash that other engines can repeat.
+
+    The digest is the sum of the first 60 bits of each row's MD5, modulo 2^61: it does not depend on the order
+    of rows, counts repeated ones, and combines before the shuffle.
+    """
+    parts = []
+    for name, names in columns.items():
+        bits = F.conv(F.substring(F.md5(row_text(tables[name], names)), 1, 15), 16, 10).cast("decimal(38,0)")
+        total = F.coalesce(F.sum(bits), F.lit(0)) % F.lit(DIGEST_MODULUS).cast("decimal(38,0)")
+        parts.append(tables[name].agg(F.count("*").alias("row_count"), total.cast("long").alias("digest")).select(
+            F.lit(name).alias("table_name"), "row_count", "digest"
+        ))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def changed_tables(before: DataFrame, after: DataFrame) -> DataFrame:
     """Tables whose fingerprints differ."""
     renamed = after.withColumnsRenamed({c: f"{c}_after" for c in ("row_count", "hash_sum", "hash_xor")})

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import re
 
-from millrace.plans.workloads import DAMAGE
+from millrace.plans.workloads import DAMAGE, DIGESTED
 
 BINDING = {
     "plant": """SELECT r_regionkey::BIGINT AS plant_id, r_name AS code, r_name AS name,
@@ -537,6 +537,29 @@ def _integrity_of_broken() -> str:
     return re.sub(rf"\b({'|'.join(DAMAGE)})\b", r"broken_\1", _integrity())
 
 
+_DIGEST_CELLS = {
+    "whole": "{c}::VARCHAR", "text": "{c}", "flag": "{c}::VARCHAR", "time": "epoch_us({c})::VARCHAR",
+    "number": "floor({c} * 1000000 + 0.5)::BIGINT::VARCHAR",
+}
+
+
+def _digest(state: str, name: str, source: str) -> str:
+    cells = ", ".join(f"coalesce({_DIGEST_CELLS[kind].format(c=column)}, chr(30))" for column, kind in DIGESTED[name].items())
+    return (
+        f"SELECT '{state}' AS state, '{name}' AS table_name, count(*) AS row_count, "
+        f"(coalesce(sum(('0x' || substr(md5(concat_ws(chr(31), {cells})), 1, 15))::BIGINT), 0) % 2305843009213693952)::BIGINT AS digest FROM {source}"
+    )
+
+
+def _digests() -> str:
+    """Digests of the tables, which a restored subset has to give again, of damaged ones, and of the tags in scope."""
+    parts = [_digest(state, name, name) for state in ("before", "restored") for name in DIGESTED]
+    parts += [_digest("damaged", name, f"broken_{name}") for name in DIGESTED]
+    lines = "SELECT line_id FROM production_line WHERE plant_id < 2"
+    inside = f"(FROM tag WHERE device_id IN (SELECT device_id FROM device WHERE line_id IN ({lines})))"
+    return " UNION ALL ".join([*parts, _digest("inside", "tag", inside)])
+
+
 def _subset_counts() -> str:
     inside = {
         "plant": ("plant", "plant_id IN (FROM in_plant)"),
@@ -949,6 +972,7 @@ QUERIES: dict[str, tuple[dict[str, str], str]] = {
           JOIN import_batch o ON o.batch_id = b.duplicate_of_id
           WHERE (b.batch_id IN (FROM in_batch)) <> (o.batch_id IN (FROM in_batch))"""),
     "archive_restore_check": ({}, "SELECT code AS table_name FROM plant WHERE false"),
+    "restored_digests": (_BROKEN, _digests()),
     "changed_table_check": (_BROKEN, " UNION ALL ".join(
         f"SELECT '{n}' AS table_name WHERE EXISTS (SELECT * FROM {n} EXCEPT ALL SELECT * FROM broken_{n})" for n in DAMAGE)),
     "canonical_rows": ({}, """SELECT tag_id, '{"code":"' || code || '","is_enabled":' || is_enabled

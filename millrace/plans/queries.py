@@ -566,6 +566,22 @@ def archive_restore_check(spark, sf_dir):
     return lifecycle.changed_tables(before, lifecycle.fingerprints(lifecycle.restore_scope(outside, inside)))
 
 
+@registered
+def restored_digests(spark, sf_dir):
+    """Digests of every table after a subset is taken out and put back, beside those before and of a damaged copy."""
+    t = star.bind(spark, sf_dir)
+    columns = {name: tuple(kinds) for name, kinds in workloads.DIGESTED.items()}
+    inside, outside = lifecycle.split_scope(t, t.plant.where(SCOPE))
+    states = {
+        "before": t.as_dict(), "restored": lifecycle.restore_scope(outside, inside), "damaged": workloads.damaged_tables(t).as_dict(),
+        "inside": inside,
+    }
+    return reduce(DataFrame.unionByName, [
+        lifecycle.digests(tables, columns if state != "inside" else {"tag": columns["tag"]}).select(F.lit(state).alias("state"), "*")
+        for state, tables in states.items()
+    ])
+
+
 @registered
 def changed_table_check(spark, sf_dir):
     """Tables whose fingerprints tell a damaged copy from the original."""

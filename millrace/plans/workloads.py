@@ -163,6 +163,20 @@ DAMAGE = {
 }
 
 
+# Columns whose digests two engines compare, with what they hold.
+DIGESTED = {
+    "plant": {"plant_id": "whole", "code": "text", "name": "text", "status": "text"},
+    "production_line": {"line_id": "whole", "plant_id": "whole", "code": "text", "name": "text"},
+    "device": {"device_id": "whole", "line_id": "whole", "code": "text", "name": "text"},
+    "tag": {"tag_id": "whole", "device_id": "whole", "code": "text", "data_type": "text", "max_value": "number", "is_enabled": "flag"},
+    "acquisition_node": {"task_id": "whole", "tag_id": "whole", "node_id": "text", "is_enabled": "flag"},
+    "tag_sample": {
+        "id": "whole", "tag_id": "whole", "task_id": "whole", "import_batch_id": "whole", "source_type": "text",
+        "numeric_value": "number", "source_timestamp": "time", "is_good": "flag",
+    },
+}
+
+
 def damaged_tables(t: Tables) -> Tables:
     """The stored tables with :data:`DAMAGE` done to them."""
     broken = {}

@@ -61,7 +61,15 @@ def shared_folder(spark: SparkSession) -> str:
             raise ValueError(f"{CHECKPOINT_KEY} must name a folder that all executors share")
         named = tempfile.mkdtemp(prefix="millrace-")
         spark.conf.set(CHECKPOINT_KEY, named)
-    return named.rstrip("/")
+    return qualified(spark, named.rstrip("/"))
+
+
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path with the scheme of the default file system, so that Python tasks and Spark read the same place."""
+    if ":" in path.split("/", 1)[0]:
+        return path
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(place).toString()
 
 
 def fresh_folder(spark: SparkSession, label: str) -> str:
