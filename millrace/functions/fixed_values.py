@@ -155,6 +155,24 @@ CLAUSE_BREAK = "[。；\n]"
 CANARIES = ("CANARY_73921", "PRIVATE_482")
 SNAPSHOT_TITLES = ("acquisition_status", "asset_overview")
 
+# --- fixed values: import messages by broken rule --------------------------------------
+ISSUE_MESSAGES = {
+    "missing_timestamp": "数据时间不能为空",
+    "invalid_timestamp": "时间必须是 ISO 8601 或常见日期时间格式",
+    "bad_quality": "质量码不是 Good；保留原始值并标记为非良好数据",
+    "missing_required": "测点编码和值均不能为空",
+    "unknown_pair": "工厂内不存在该启用设备与测点组合",
+    "unknown_tag": "工厂内不存在该启用测点编码",
+    "ambiguous_tag": "测点编码不唯一，请指定设备编码",
+    "invalid_boolean": "布尔值只能使用 true/false、1/0、是/否或开/关",
+    "invalid_integer": "整数测点不能导入小数",
+    "not_finite": "数值不能是 NaN 或无穷大",
+    "invalid_value": "数值格式无效",
+    "out_of_range": "数值超出测点范围",
+    "duplicate_in_file": "文件内同一测点和时间戳重复",
+    "duplicate_existing": "数据库中已存在同一测点和时间戳的文件数据",
+}
+
 # --- fixed values: display wording ---------------------------------------------------
 STATE_WORDS = {
     "running": "运行",
@@ -165,14 +183,24 @@ STATE_WORDS = {
     "error": "异常",
 }
 PHASE_WORDS = ("正常基线", "注入扰动", "恢复观察")
+ENABLED_WORDS = ("已启用", "已禁用")
+TREND_HEAD_TEXT = "测点 %s（%s）；来源 %s；测点%s。\n请求时间范围：%s 至 %s。\n返回 %s 条；Good数值 %s 条；坏质量 %s 条。\n"
+# Sentence of the trend text when only the newest samples were asked for.
+TREND_CUT_TEXT = "结果已截断：以下仅为最近至多{limit}条样本的统计，不是整个请求时间范围的统计。\n"
+TREND_NUMBERS_TEXT = "均值 %.6f %s；最小值 %.6f %s；最大值 %.6f %s。\n"
+TREND_CHANGE_TEXT = "首末差 %.6f %s。\n"
+TREND_NO_CHANGE_TEXT = "不足两个有效数值，无法计算首末差。\n"
+TREND_TIMES_TEXT = "返回样本首末时间：%s 至 %s。\n"
+TREND_NO_NUMBERS_TEXT = "没有有效Good数值样本，不能计算均值或极值，不能解释为零。\n"
+TREND_TAIL_TEXT = "数值统计排除坏质量和非数值样本；Good不等于工艺合格，首末差不是趋势斜率，不进行故障根因判断或预测。"
+TREND_FILE_TEXT = "file来源为历史文件，不是实时采集。"
+TASK_TEXT = "%s：期望%s，记录连接状态%s；心跳 %s，最后样本 %s；接收%s / 写入%s / 丢弃%s / 重复%s / 错误%s / 重连%s。"
+DEVICE_TEXT = "%s / %s：%s 个测点。"
 
 # Sizes of the file profile; they bound memory and do not change what is accepted.
 DECODE_BLOCK = 1 << 20
 SNIFF_BYTES = 64 * 1024
 
-# Sentence of the trend text when only the newest samples were asked for.
-TREND_CUT_TEXT = "结果已截断：以下仅为最近至多{limit}条样本的统计，不是整个请求时间范围的统计。\n"
-
 # Import: the reason of a batch whose file lacks mapped columns, and how much of a reason is kept.
 MISSING_COLUMNS_TEXT = "映射列不存在："
 ERROR_TEXT_LIMIT = 2000

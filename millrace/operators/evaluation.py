@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -195,40 +196,30 @@ def structure_scores(cases: DataFrame) -> DataFrame:
     return scored.withColumn("structural_pass", passed)
 
 
-def _number(value: Column) -> Column:
-    return F.format_string("%.6f", value)
+def _filled(template: str, *values: Column | str) -> Column:
+    """A fixed sentence with its values; null if a value is missing."""
+    columns = [F.col(v) if isinstance(v, str) else v for v in values]
+    known = reduce(lambda a, b: a & b, [c.isNotNull() for c in columns])
+    return F.when(known, F.format_string(template, *columns))
 
 
 def trend_facts(trends: DataFrame, source: str, limit: int | None = None) -> DataFrame:
     """The trend summary of each tag as display text; ``limit`` is that of the summary."""
     unit = F.coalesce("unit", F.lit(""))
-    head = F.concat(
-        F.lit("测点 "), "code", F.lit("（"), "name", F.lit(f"）；来源 {source}；测点"),
-        F.when(F.col("enabled"), "已启用").otherwise("已禁用"), F.lit("。\n请求时间范围："),
-        fresh.local_time_text(F.col("window_start")), F.lit(" 至 "),
-        fresh.local_time_text(F.col("window_end")), F.lit("。\n返回 "),
-        F.col("sample_count").cast("string"), F.lit(" 条；Good数值 "),
-        F.col("good_numeric_count").cast("string"), F.lit(" 条；坏质量 "),
-        F.col("bad_quality_count").cast("string"), F.lit(" 条。\n"),
-    )
+    on, off = fixed.ENABLED_WORDS
+    times = {name: fresh.local_time_text(F.col(name)) for name in ("window_start", "window_end", "first_timestamp", "last_timestamp")}
+    head = _filled(
+        fixed.TREND_HEAD_TEXT, "code", "name", F.lit(source), F.when(F.col("enabled"), on).otherwise(off),
+        times["window_start"], times["window_end"], "sample_count", "good_numeric_count", "bad_quality_count",
+    )
     cut = F.when(F.col("truncated"), fixed.TREND_CUT_TEXT.format(limit=limit)).otherwise("")
-    change = F.when(
-        F.col("first_to_last_change").isNotNull(),
-        F.concat(F.lit("首末差 "), _number(F.col("first_to_last_change")), F.lit(" "), unit, F.lit("。\n")),
-    ).otherwise("不足两个有效数值，无法计算首末差。\n")
+    change = F.coalesce(_filled(fixed.TREND_CHANGE_TEXT, "first_to_last_change", unit), F.lit(fixed.TREND_NO_CHANGE_TEXT))
     numbers = F.concat(
-        F.lit("均值 "), _number(F.col("mean")), F.lit(" "), unit, F.lit("；最小值 "),
-        _number(F.col("minimum")), F.lit(" "), unit, F.lit("；最大值 "), _number(F.col("maximum")),
-        F.lit(" "), unit, F.lit("。\n"), change, F.lit("返回样本首末时间："),
-        fresh.local_time_text(F.col("first_timestamp")), F.lit(" 至 "),
-        fresh.local_time_text(F.col("last_timestamp")), F.lit("。\n"),
-    )
-    body = F.when(F.col("good_numeric_count") > 0, numbers).otherwise(
-        "没有有效Good数值样本，不能计算均值或极值，不能解释为零。\n"
-    )
-    tail = "数值统计排除坏质量和非数值样本；Good不等于工艺合格，首末差不是趋势斜率，不进行故障根因判断或预测。"
-    if source == "file":
-        tail += "file来源为历史文件，不是实时采集。"
+        _filled(fixed.TREND_NUMBERS_TEXT, "mean", unit, "minimum", unit, "maximum", unit), change,
+        _filled(fixed.TREND_TIMES_TEXT, times["first_timestamp"], times["last_timestamp"]),
+    )
+    body = F.when(F.col("good_numeric_count") > 0, numbers).otherwise(fixed.TREND_NO_NUMBERS_TEXT)
+    tail = fixed.TREND_TAIL_TEXT + (fixed.TREND_FILE_TEXT if source == "file" else "")
     return trends.select("plant_id", "tag_id", F.concat(head, cut, body, F.lit(tail)).alias("facts"))
 
 
@@ -237,22 +228,15 @@ def task_facts(status: DataFrame) -> DataFrame:
     def state(name: str) -> Column:
         return lookup(fixed.STATE_WORDS, F.col(name), F.col(name))
 
-    counts = {
-        "received": "；接收", "written": " / 写入", "dropped": " / 丢弃", "duplicates": " / 重复",
-        "errors": " / 错误", "reconnects": " / 重连",
-    }
-    shown = [part for c, label in counts.items() for part in (F.lit(label), F.col(c).cast("string"))]
-    line = F.concat(
-        "name", F.lit("：期望"), state("desired_state"), F.lit("，记录连接状态"), state("connection_state"),
-        F.lit("；心跳 "), fresh.local_time_text(F.col("heartbeat_at")), F.lit("，最后样本 "),
-        fresh.local_time_text(F.col("last_sample_at")), *shown, F.lit("。"),
-    )
+    line = _filled(
+        fixed.TASK_TEXT, "name", state("desired_state"), state("connection_state"),
+        fresh.local_time_text(F.col("heartbeat_at")), fresh.local_time_text(F.col("last_sample_at")),
+        "received", "written", "dropped", "duplicates", "errors", "reconnects",
+    )
     return status.select("plant_id", "task_id", line.alias("facts"))
 
 
 def device_facts(overview: DataFrame) -> DataFrame:
     """One display line per device of an asset overview."""
-    line = F.concat(
-        "line", F.lit(" / "), "device", F.lit("："), F.col("device_tag_count").cast("string"), F.lit(" 个测点。")
-    )
+    line = _filled(fixed.DEVICE_TEXT, "line", "device", "device_tag_count")
     return overview.where(F.col("device_id").isNotNull()).select("plant_id", "device_id", line.alias("facts"))

@@ -29,22 +29,7 @@ _POSITIONS = 1_024
 
 # Rules in the order in which a measurement is tested; the first broken one counts.
 DUPLICATE_RULES = ("duplicate_in_file", "duplicate_existing")
-MESSAGES = {
-    "missing_timestamp": "数据时间不能为空",
-    "invalid_timestamp": "时间必须是 ISO 8601 或常见日期时间格式",
-    "bad_quality": "质量码不是 Good；保留原始值并标记为非良好数据",
-    "missing_required": "测点编码和值均不能为空",
-    "unknown_pair": "工厂内不存在该启用设备与测点组合",
-    "unknown_tag": "工厂内不存在该启用测点编码",
-    "ambiguous_tag": "测点编码不唯一，请指定设备编码",
-    "invalid_boolean": "布尔值只能使用 true/false、1/0、是/否或开/关",
-    "invalid_integer": "整数测点不能导入小数",
-    "not_finite": "数值不能是 NaN 或无穷大",
-    "invalid_value": "数值格式无效",
-    "out_of_range": "数值超出测点范围",
-    "duplicate_in_file": "文件内同一测点和时间戳重复",
-    "duplicate_existing": "数据库中已存在同一测点和时间戳的文件数据",
-}
+MESSAGES = fixed.ISSUE_MESSAGES
 # Rules that share an issue type with another rule.
 _ISSUE_OF_RULE = {
     "missing_timestamp": "missing_required", "unknown_pair": "unknown_tag",

@@ -7,6 +7,7 @@ from collections.abc import Callable, Mapping
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+# --- fixed values: names and types of the stored tables --------------------------------
 SCHEMAS = {
     "plant": "plant_id LONG, code STRING, name STRING, status STRING, location STRING",
     "production_line": (
