@@ -13,7 +13,10 @@ from functools import cache
 
 import numpy as np
 
-KEPT_PIECES = 400_000
+# Up to twice as many are held, at about 200 bytes each: 400 MB for a worker.
+KEPT_PIECES = 1_000_000
+# Texts whose pieces are looked up and learnt together.
+GROUP = 256
 SIGNS = ".,;:!?#*$%&"
 
 
@@ -54,7 +57,11 @@ class _Pieces:
             self.kept.update(again)
             missing.difference_update(again)
             joined, plain = {}, set()
+            signs = SIGNS if isinstance(next(iter(missing), ""), str) else SIGNS.encode()
             for piece in missing:
+                if piece.rstrip(signs) == piece:  # most pieces
+                    plain.add(piece)
+                    continue
                 core, tail = self.parted(piece)
                 if tail:
                     joined[piece] = core, tail
@@ -112,17 +119,16 @@ class BytePieces(_Pieces):
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text; null is empty. Pieces of some texts are learnt together."""
         out = []
-        for begin in range(0, len(texts), 64):
-            split = [[] if not t else t.split(" ") for t in texts[begin : begin + 64]]
-            plain = [p[1:] if "  " not in (t or "") else [] for p, t in zip(split, texts[begin : begin + 64], strict=True)]
+        for begin in range(0, len(texts), GROUP):
+            group = [t or "" for t in texts[begin : begin + GROUP]]
+            plain = [t.split(" ")[1:] if "  " not in t else [] for t in group]
             get = self.known(plain).__getitem__
-            for text, parts, rest in zip(texts[begin : begin + 64], split, plain, strict=True):
-                if not text:
-                    out.append(b"")
-                elif rest:
-                    out.append(self.ids(parts[0]).tobytes() + b"".join(map(get, rest)))
-                else:  # one piece only, or spaces in a row: these texts go to the library as they are
-                    out.append(self.ids(text).tobytes())
+            # The first piece; all of a text of one piece, or with spaces in a row, goes to the library as it is.
+            heads = [t[: t.index(" ")] if rest else t for t, rest in zip(group, plain, strict=True)]
+            first = self.tokenizer.encode_batch_fast(heads, add_special_tokens=False)
+            out += [
+                np.array(head.ids, "<u4").tobytes() + b"".join(map(get, rest)) for head, rest in zip(first, plain, strict=True)
+            ]
         return out
 
 
