@@ -76,7 +76,7 @@ class DailyTable:
         for status in self._files().globStatus(self._at(f"{place.folder}/kind=*/upto=*")) or []:
             name, kind = status.getPath().getName(), status.getPath().getParent().getName()
             found.append(Folder(f"{place.folder}/{kind}/{name}", kind == "kind=merged", int(name.removeprefix("upto="))))
-        return found
+        return sorted(found, key=lambda folder: folder.upto)
 
     def folders(self, place: Place) -> list[Folder]:
         """The folders of one place that count; only that place is listed."""
