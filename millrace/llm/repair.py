@@ -2,9 +2,9 @@
 
 Texts are encoded, each followed by the end id 0, sorted by id and cut into shards. In each shard
 Re-Pair replaces frequent pairs of neighbouring symbols by new symbols (nonterminals), again and
-again. Each pass counts all pairs and takes, from the most frequent on, all that cannot get in
-each other's way (no symbol ends one pair and begins another), so that they are replaced together; it ends when
-no pair is frequent enough to pay for its rule, or after ``passes``.
+again, until no pair is found twice. Each pass takes, from the most frequent on, the pairs at least an eighth as
+frequent as the first that cannot get in each other's way (no symbol ends one pair and begins another), so that
+they are replaced together.
 
 File format, little-endian: magic ``RPG1``; six unsigned 64-bit counts (terminal bound, rules,
 symbols, documents, tokens, bytes of ids); rules as pairs of 32-bit symbols; expansion length of
@@ -39,94 +39,100 @@ MAGIC = b"RPG1"
 VOCABULARY = "byte_bpe_50k.json"
 END = 0
 SHARD_TOKENS = 1 << 20
-MIN_COUNT = 8
-PASSES = 3
+MIN_COUNT = 2
+# A pass takes pairs down to this part of the most frequent one's count.
+SHARE = 8
+_SLOT_BITS = 20
+_ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
 def _runs_cut(at: np.ndarray) -> np.ndarray:
-    """Of places where a pair of two equal symbols stands, every other one of each run."""
+    """Whether each place where a pair of two equal symbols stands is kept: every other one of each run."""
     starts = np.r_[True, np.diff(at) != 1]
     begin = np.maximum.accumulate(np.where(starts, np.arange(len(at)), 0))
-    return at[(np.arange(len(at)) - begin) % 2 == 0]
+    return (np.arange(len(at)) - begin) % 2 == 0
 
 
-def compress(tokens: np.ndarray, terminals: int, min_count: int = MIN_COUNT, passes: int = PASSES):
-    """(rules, expansion lengths, symbols) of a grammar that expands to ``tokens``."""
-    seq = tokens.astype(np.int64)
-    rules, lengths = [], []
-    for _ in range(passes):
-        if len(seq) < 2:
-            break
-        keys = (seq[:-1] << 32) | seq[1:]
-        ordered = np.sort(keys)
-        edge = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]])
-        count = np.diff(np.r_[edge, len(ordered)])
-        often = count >= min_count
-        pairs, count = ordered[edge[often]], count[often]
-        if not len(pairs):
+def compress(tokens: np.ndarray, terminals: int, min_count: int = MIN_COUNT, passes: int | None = None):
+    """(rules, expansion lengths, symbols) of a grammar that expands to ``tokens``.
+
+    Without ``passes`` it ends as Re-Pair does, when no pair is found ``min_count`` times. A pair that is
+    not so frequent stays so until one of its symbols is replaced, so that a pass looks at the places
+    only (``live``) whose pair was frequent or is new.
+    """
+    seq = tokens.astype(np.uint64)
+    live = np.arange(max(0, len(seq) - 1))
+    width, rules, done = np.ones(terminals, np.int64), [np.zeros((0, 2), np.int64)], 0
+    while len(live) and done != passes:
+        done += 1
+        left, right = seq[live], seq[live + 1]
+        keys = (left << np.uint64(32)) | right
+        free = np.ones(len(live), bool)
+        twin = np.flatnonzero(left == right)
+        free[twin] = _runs_cut(live[twin])
+        # Counts by hash are never too small: a pair that is rare by them is rare.
+        slot = ((keys * _ODD) >> np.uint64(64 - _SLOT_BITS)).astype(np.int64)
+        about = np.bincount(slot[free], minlength=1 << _SLOT_BITS)[slot]
+        again = about >= min_count
+        floor = max(min_count, int(about.max()) // SHARE)
+        while True:
+            near = np.flatnonzero((about >= floor) & free)
+            order = near[np.argsort(keys[near])]
+            ordered = keys[order]
+            edge = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]][: len(ordered)])
+            count = np.diff(np.r_[edge, len(ordered)])
+            often = np.flatnonzero(count >= floor)
+            if len(often) or floor <= min_count:
+                break
+            floor = max(min_count, floor // 2)
+        if not len(often):
             break
-        order = np.lexsort((pairs, -count))
-        role: dict[int, int] = {}
-        taken = []
-        for pair in pairs[order].tolist():
-            a, b = pair >> 32, pair & 0xFFFFFFFF
-            if a == b:
-                if a not in role:
-                    role[a] = 3
-                    taken.append(pair)
-            elif role.get(a, 1) == 1 and role.get(b, 2) == 2:
-                role[a], role[b] = 1, 2
-                taken.append(pair)
-        chosen = np.array(taken, np.int64)
-        left, right = chosen >> 32, chosen & 0xFFFFFFFF
-        symbols = terminals + len(rules) + np.arange(len(chosen))
-        known = np.array(lengths, np.int64)
-
-        def width(side: np.ndarray, known=known) -> np.ndarray:
-            out = np.ones(len(side), np.int64)
-            inner = side >= terminals
-            out[inner] = known[side[inner] - terminals]
-            return out
-
-        fresh = width(left) + width(right)
-        # Where a chosen pair stands: first by its left symbol, then in the sorted choice.
-        begins = np.zeros(terminals + len(rules), bool)
-        begins[left] = True
-        at = np.flatnonzero(begins[seq[:-1]])
-        sort = np.argsort(chosen)
-        place = np.minimum(np.searchsorted(chosen[sort], keys[at]), len(chosen) - 1)
-        real = chosen[sort][place] == keys[at]
-        at, which = at[real], sort[place[real]]
-        twin = (left == right)[which]
-        if twin.any():
-            keep = np.ones(len(at), bool)
-            keep[twin] = np.isin(at[twin], _runs_cut(at[twin]))
-            at, which = at[keep], which[keep]
-        seq = seq.copy()
-        seq[at] = symbols[which]
-        gone = np.ones(len(seq), bool)
-        gone[at + 1] = False
-        seq = seq[gone]
-        rules += list(zip(left.tolist(), right.tolist(), strict=True))
-        lengths += fresh.tolist()
-    return np.array(rules, "<u4").reshape(-1, 2), np.array(lengths, "<u4"), seq.astype("<u4")
-
-
-def expand(symbols: np.ndarray, rules: np.ndarray, terminals: int) -> np.ndarray:
-    """Tokens of a sequence of symbols: nonterminals open all at once, level by level."""
-    seq = symbols.astype(np.int64)
+        # From the most frequent on; a symbol begins or ends pairs as the first of its pairs says.
+        often = often[np.lexsort((ordered[edge[often]], -count[often]))]
+        pairs = ordered[edge[often]]
+        a, b = (pairs >> np.uint64(32)).astype(np.int64), (pairs & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        place = np.arange(len(pairs))
+        begins, ends = np.full(len(width), len(pairs)), np.full(len(width), len(pairs))
+        begins[a[::-1]], ends[b[::-1]] = place[::-1], place[::-1]
+        taken = np.where(a == b, (begins[a] == place) & (ends[a] == place), (begins[a] < ends[a]) & (ends[b] < begins[b]))
+        a, b, first, size = a[taken], b[taken], edge[often[taken]], count[often[taken]]
+        inside = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+        at = live[order[np.repeat(first, size) + inside]]
+        seq[at] = np.repeat(np.arange(len(width), len(width) + len(a)).astype(np.uint64), size)
+        rules.append(np.stack([a, b], 1))
+        width = np.r_[width, width[a] + width[b]]
+        # Look again at the new symbols and at those before them.
+        gone, look = np.zeros(len(seq), bool), np.zeros(len(seq), bool)
+        gone[at + 1] = True
+        look[live[again]] = True
+        look[at] = True
+        before = at[at > 0] - 1
+        before = np.where(gone[before], before - 1, before)
+        look[before] = True
+        seq, look = seq[~gone], look[~gone]
+        live = np.flatnonzero(look[:-1])
+    return np.concatenate(rules).astype("<u4"), width[terminals:].astype("<u4"), seq.astype("<u4")
+
+
+def expand(symbols: np.ndarray, rules: np.ndarray, terminals: int, lengths: np.ndarray | None = None) -> np.ndarray:
+    """Tokens of a sequence of symbols: nonterminals open all at once, level by level, each at its place."""
     rules = rules.astype(np.int64)
-    while True:
+    width = np.ones(terminals + len(rules), np.int64)
+    if lengths is None:
+        for n, (a, b) in enumerate(rules.tolist()):
+            width[terminals + n] = width[a] + width[b]
+    else:
+        width[terminals:] = lengths
+    seq = symbols.astype(np.int64)
+    size = width[seq]
+    out = np.empty(int(size.sum()), "<u4")
+    at = np.cumsum(size) - size
+    while len(seq):
         inner = seq >= terminals
-        if not inner.any():
-            return seq.astype("<u4")
-        width = inner + 1
-        start = np.cumsum(width) - width
-        out = np.empty(int(width.sum()), np.int64)
-        out[start] = np.where(inner, 0, seq)
-        opened = rules[seq[inner] - terminals]
-        out[start[inner]], out[start[inner] + 1] = opened[:, 0], opened[:, 1]
-        seq = out
+        out[at[~inner]] = seq[~inner]
+        at, opened = at[inner], rules[seq[inner] - terminals]
+        seq, at = opened.T.ravel(), np.r_[at, at + width[opened[:, 0]]]
+    return out
 
 
 def shard_bytes(ids: list, starts: list[int], tokens: np.ndarray, terminals: int) -> bytes:
@@ -174,7 +180,7 @@ class Shard:
         self._index()
         first = int(np.searchsorted(self._offsets, begin, "right")) - 1
         last = int(np.searchsorted(self._offsets, end, "left"))
-        part = expand(self._symbols[first:last], self.rules, self.terminals)
+        part = expand(self._symbols[first:last], self.rules, self.terminals, self.lengths)
         return part[begin - self._offsets[first] : end - self._offsets[first]]
 
     def document(self, number: int) -> np.ndarray:

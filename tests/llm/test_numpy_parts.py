@@ -70,6 +70,17 @@ def test_grammar_expands_to_the_tokens(tmp_path_factory, tokens, a, b):
     assert all(repair.expand(np.array([10 + n]), rules, 10).size == size for n, size in enumerate(lengths))
 
 
+def test_grammar_leaves_no_pair_twice():
+    rng = np.random.default_rng(5)
+    phrase = rng.integers(1, 90, 64)
+    for tokens in (np.tile(phrase, 3), rng.integers(0, 6, 3000), np.zeros(1000, int), np.r_[phrase, 7, phrase]):
+        rules, _, symbols = repair.compress(tokens.astype("<u4"), 100)
+        assert repair.expand(symbols, rules, 100).tolist() == tokens.tolist()
+        last = {}
+        for at, pair in enumerate(zip(symbols.tolist(), symbols.tolist()[1:], strict=False)):
+            assert at - last.setdefault(pair, at) <= 1  # two of a run overlap
+
+
 def test_shard_gives_any_document(tmp_path):
     rng = np.random.default_rng(3)
     docs = [np.tile(rng.integers(1, 20, 7), n).astype("<u4") for n in (0, 1, 50, 3, 200)]
