@@ -4,7 +4,7 @@ Each word enters as a word embedding (hashed) joined with the mean embedding of
 n-grams, plus log-odds of both in the training texts. A network of ``HIDDEN`` units in each
 direction reads windows of ``WINDOW`` words that overlap by a quarter; attention pools the states
 of a window to one logit. A text scores as its highest window, so that length does not dilute a
-short insult. The network is trained on the driver over a bounded sample of labelled texts
+short insult. The network is trained in one task over a bounded sample of labelled texts
 (``max_per_class`` of each label, a documented parameter); everything else runs on the executors.
 
 Cases: null, empty and punctuation-only texts have no words and get the base rate of the labels.
@@ -16,11 +16,13 @@ Without labels of both kinds, every text gets the base rate (0 without any label
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -431,8 +433,16 @@ def fit(
     )
     # At most 2 * max_per_class ids, hence the hint.
     sample = docs.select(F.col(id_column).alias("_id"), F.col(text_column).alias("_text")).join(F.broadcast(chosen), "_id")
-    found = sorted(sample.collect(), key=lambda r: (r["_id"], r["_text"] or ""))
-    return train([r["_text"] for r in found], [int(r["_y"]) for r in found], base_rate)
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [r for batch in batches for r in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
+        rows.sort(key=lambda r: (r[0], r[1] or ""))
+        net = train([r[1] for r in rows], [int(r[2]) for r in rows], base_rate)
+        yield pa.RecordBatch.from_pydict({"net": pa.array([pickle.dumps(net)], pa.binary())})
+
+    # One task for the bounded sample: the driver holds neither texts nor their words, only the network.
+    found = sample.select("_id", "_text", "_y").coalesce(1).mapInArrow(learn, "net binary").collect()
+    return pickle.loads(found[0]["net"]) if found else train([], [], base_rate)
 
 
 def scored(docs: DataFrame, net: Network, text_column: str = "text", score_column: str = "score") -> DataFrame:

@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import math
+import os
 import random
 
 import compare
@@ -288,3 +289,17 @@ def test_pipeline_keeps_what_it_should(spark, sf_dir):
         assert ids <= {r.doc_id for r in docs.select("doc_id").collect()} and len(ids) > (0.8 if number < 3 else 0.5) * docs.count()
     result = corpus_pipeline.run(spark, sf_dir)
     assert result.count() > 0 and math.isclose(result.agg(F.max(F.col("start") + F.col("n_tokens"))).first()[0], result.agg(F.sum("n_tokens")).first()[0])
+
+
+def test_network_is_trained_away_from_the_driver(spark, monkeypatch):
+    def where(texts, labels, base_rate):
+        net = toxicity.Network()
+        net.base_rate, net.shift = float(os.getpid()), [*zip(texts, labels, strict=True)]
+        return net
+
+    monkeypatch.setattr(toxicity, "train", where)
+    docs = spark.createDataFrame([(2, "b"), (1, None), (3, "c"), (2, "a"), (4, "d")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 0), (2, 1), (3, 0), (3, 1)], "doc_id long, toxic int")
+    net = toxicity.fit(docs, labels)
+    assert net.base_rate != os.getpid()
+    assert net.shift == [(None, 0), ("a", 1), ("b", 1)]
