@@ -197,9 +197,19 @@ def tag_catalogue(t: Tables) -> tuple[DataFrame, DataFrame]:
     return by("_device_key", "_tag_key"), by("_tag_key")
 
 
-def resolve_tags(measurements: DataFrame, t: Tables) -> DataFrame:
-    """Attach the tag of each measurement: by device and tag code, or by tag code alone."""
+def resolve_tags(measurements: DataFrame, t: Tables, mapping: ImportMapping | None = None) -> DataFrame:
+    """Attach the tag of each measurement: by device and tag code, or by tag code alone.
+
+    A wide ``mapping`` names all codes that its files can have. The catalogue is cut to them and staged, so
+    that the plan knows how small it is and the measurements are not shuffled to a few codes.
+    """
     by_pair, by_code = tag_catalogue(t)
+    if mapping is not None and mapping.wide_columns:
+        codes = [fold(clean(F.lit(w.tag_code))) for w in mapping.wide_columns]
+        devices = [fold(clean(F.lit(w.device_code))) for w in mapping.wide_columns if w.device_code]
+        named = F.col("_tag_key").isin(*codes)
+        by_pair = staged(by_pair.where(named & F.col("_device_key").isin(*devices)), "import-pairs")
+        by_code = staged(by_code.where(named), "import-codes")
     device = clean(F.col("device_code_raw"))
     has_device = F.coalesce(device != "", F.lit(False))
     keyed = (
@@ -341,7 +351,7 @@ def classify(
     Staged twice in the shared folder: the cells are parsed once, though the search for
     duplicates reads them twice, and the verdicts serve all reports.
     """
-    cells = check_cells(resolve_tags(source_measurements(raw, mapping), t))
+    cells = check_cells(resolve_tags(source_measurements(raw, mapping), t, mapping))
     checked = staged(cells, "import-checked")
     passed = checked.where(F.col("_rule").isNull())
     known = stored(passed) if callable(stored) else within_bounds(stored, passed)
