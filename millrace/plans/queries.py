@@ -618,7 +618,8 @@ def _index_path(application: str, sf_dir: str, stamp: tuple) -> str:
     spark = SparkSession.getActiveSession()
     path = fresh_folder(spark, "chunk-index")
     documents = star.documents(spark, sf_dir).select("document_id", "plant_id", "title", "version", "content", "vector")
-    retrieval.indexed(documents).write.parquet(path)
+    # Chunks overlap and share the vector of their document: zstd finds these repeats, the default does not.
+    retrieval.indexed(documents).write.option("compression", "zstd").parquet(path)
     return path
 
 
