@@ -80,6 +80,23 @@ def test_a_bad_time_is_one_issue_but_rejects_every_measurement(spark):
     assert pressure == 1.5
 
 
+def test_a_wide_mapping_meets_its_own_codes_only(spark):
+    mapping = ImportMapping(
+        timestamp_column="time", layout="wide",
+        wide_columns=(WideColumn("value", " temp"), WideColumn("tag", "PRESS", "d1"), WideColumn("quality", "PRESS", "D2")),
+    )
+    tables = plant_with_tags(spark, [(n, f"X{n}", "float", None, None) for n in range(3, 50)] + [
+        (1, "TEMP", "float", None, None), (2, "PRESS", "float", None, None)
+    ])
+    raw = raw_rows(spark, [("2026-01-01T00:00:00Z", "1", None, "2", "3")])
+    found = importing.resolve_tags(importing.source_measurements(raw, mapping), tables, mapping)
+    # Joined by a broadcast that the plan knows from the start: the measurements are not shuffled to a few codes.
+    plan = found._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("BroadcastHashJoin") == 2 and "SortMergeJoin" not in plan
+    rows = {r.value_field: (r["_matches"], r["_tag"] and r["_tag"].tag_id) for r in found.collect()}
+    assert rows == {"value": (1, 1), "tag": (1, 2), "quality": (0, None)}
+
+
 def test_existing_file_rows_block_and_live_rows_do_not(spark):
     at = utc(2026, 8, 22, 2)
     row = (None, None, None, None, 1, "5", 5.0, at, None, at, "Good", True)
