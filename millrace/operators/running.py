@@ -26,16 +26,6 @@ def bounded_broadcast(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
-def spread_small(df: DataFrame) -> DataFrame:
-    """Repartition a table of fewer files than there are cores, before costly expressions.
-
-    A small file is a single task otherwise. Larger tables keep their scan partitions and
-    are not shuffled.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores else df
-
-
 def chunk_offsets(
     df: DataFrame, keys: Sequence[str], chunk: Column, amount: Column
 ) -> DataFrame:

@@ -23,9 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions import fixed_values as fixed
-from millrace.functions import terms
 
-# Chunks and terms that are laid out as one table of numbers, of so many cells.
+# Chunks whose cosines with the questions of a plant are laid out as one table of numbers, of so many cells.
 CELLS = 1 << 22
 WORDS, MEANING = "words", "meaning"
 POOL_COLUMNS = "query_no int, list string, evidence_id string, document_id {document}, lexical double, bm25 double, semantic double"
@@ -63,6 +62,7 @@ class PlantQuestions:
     average_length: float
     places: np.ndarray  # numbers of the plant's terms in the block's vocabulary, ascending
     weights: np.ndarray
+    place: np.ndarray  # of each term of the block's vocabulary, -1 without one
     asked: list[_Asked] = field(default_factory=list)
 
 
@@ -82,7 +82,10 @@ class QuestionBlock:
                 held = sorted(t for t in known.frequency if t in number)
                 frequency = np.array([known.frequency[t] for t in held], float)
                 weights = np.log(1 + (known.chunks - frequency + 0.5) / (frequency + 0.5))
-                self.plants[q.plant] = PlantQuestions(known.tokens / known.chunks, np.array([number[t] for t in held], np.int64), weights)
+                places = np.array([number[t] for t in held], np.int64)
+                place = np.full(len(words), -1, np.int32)
+                place[places] = np.arange(len(places))
+                self.plants[q.plant] = PlantQuestions(known.tokens / known.chunks, places, weights, place)
             plant = self.plants[q.plant]
             found = [(t, c) for t, c in q.terms if t in known.frequency]
             columns = np.searchsorted(plant.places, [number[t] for t, _ in found]).astype(np.int64)
@@ -102,17 +105,18 @@ def plant_statistics(bagged: DataFrame, questions: list[Question]) -> dict[objec
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, plants = shared.value
         vocabulary = pa.array(words, pa.string())
-        found = [np.zeros(len(words), np.int64) for _ in plants]
+        found = np.zeros((len(plants), len(words)), np.int64)
         chunks, tokens = np.zeros(len(plants), np.int64), np.zeros(len(plants), np.int64)
         for batch in batches:
             whole = _Batch(batch, vocabulary)
+            of = np.full(whole.size, -1)
             for n, plant in enumerate(plants):
                 rows = whole.of_plant(plant)
-                inside = np.zeros(whole.size, bool)
-                inside[rows] = True
-                found[n] += np.bincount(whole.terms[inside[whole.owner]], minlength=len(words))
+                of[rows] = n
                 chunks[n] += len(rows)
                 tokens[n] += int(whole.length[rows].sum())
+            of = of[whole.owner]
+            np.add.at(found, (of[of >= 0], whole.terms[of >= 0]), 1)
         for n in np.flatnonzero(chunks):
             held = np.flatnonzero(found[n])
             yield pa.RecordBatch.from_arrays(
@@ -123,7 +127,7 @@ def plant_statistics(bagged: DataFrame, questions: list[Question]) -> dict[objec
                 ["plant", "term", "n"],
             )
 
-    sums = _index_columns(bagged, False).mapInArrow(count, "plant int, term int, n bigint").groupBy("plant", "term").agg(F.sum("n").alias("n"))
+    sums = bagged.select("plant_id", "length", "bag").mapInArrow(count, "plant int, term int, n bigint").groupBy("plant", "term").agg(F.sum("n").alias("n"))
     found: dict[object, PlantStatistics] = {}
     for r in sums.collect():  # at most the block's terms for each of its plants
         held = found.setdefault(plants[r.plant], PlantStatistics(0, 0, {}))
@@ -137,34 +141,28 @@ def plant_statistics(bagged: DataFrame, questions: list[Question]) -> dict[objec
 
 
 class Chunks:
-    """The chunks of one plant in a batch: contributions and counts of terms, and cosines, by row."""
+    """The chunks of one plant in a batch: the places of every term, with counts and contributions."""
 
     def __init__(self, plant: PlantQuestions, rows: np.ndarray, batch: _Batch):
         self.rows, self.plant = rows, plant
         self.evidence, self.document = batch.evidence[rows], batch.document[rows]
         at = np.full(batch.size, -1)
         at[rows] = np.arange(len(rows))
-        place = np.searchsorted(plant.places, batch.terms)
-        known = (at[batch.owner] >= 0) & (place < len(plant.places))
-        known[known] = plant.places[place[known]] == batch.terms[known]
-        place, owner, counts = place[known], at[batch.owner[known]], batch.counts[known]
-        # Only terms that occur here get a column; the last one stands for all others.
-        self.held = np.unique(place)
-        column = np.searchsorted(self.held, place)
-        self.counts = np.zeros((len(rows), len(self.held) + 1), np.int64)
-        self.counts[owner, column] = counts
+        owner = at[batch.owner]
+        inside = np.flatnonzero(owner >= 0)
+        place = plant.place[batch.terms[inside]]
+        inside, place = inside[place >= 0], place[place >= 0]
+        order = np.argsort(place, kind="stable")
+        inside, place = inside[order], place[order]
+        self.owner, self.counts = owner[inside], batch.counts[inside]
+        self.starts = np.searchsorted(place, np.arange(len(plant.places) + 1))
         norm = 1 - fixed.BM25_B + fixed.BM25_B * batch.length[rows] / max(1.0, plant.average_length)
-        part = counts * (fixed.BM25_K1 + 1) / (counts + fixed.BM25_K1 * norm[owner])
-        self.gains = np.zeros((len(rows), len(self.held) + 1))
-        self.gains[owner, column] = plant.weights[place] * part
-        self.most = self.gains.max(axis=0, initial=0.0)
-
-    def columns(self, wanted: np.ndarray) -> np.ndarray:
-        if not len(self.held):
-            return np.zeros(len(wanted), np.int64)
-        found = np.searchsorted(self.held, wanted)
-        found[self.held[np.minimum(found, len(self.held) - 1)] != wanted] = len(self.held)
-        return found
+        self.gains = plant.weights[place] * (self.counts * (fixed.BM25_K1 + 1) / (self.counts + fixed.BM25_K1 * norm[self.owner]))
+        self.most = np.zeros(len(plant.places))
+        held = np.flatnonzero(np.diff(self.starts))
+        if len(held):
+            self.most[held] = np.maximum.reduceat(self.gains, self.starts[held])
+        self._scored: tuple[_Asked | None, tuple | None] = (None, None)
 
     def reaching(self, columns: np.ndarray, threshold: float) -> np.ndarray:
         """Rows that may reach the threshold: those with a term outside the cheapest that cannot."""
@@ -173,10 +171,26 @@ class Chunks:
         most = self.most[columns]
         order = np.argsort(most, kind="stable")
         upto = np.cumsum(most[order])
-        lifting = order[upto >= threshold - 1e-9]
-        if not len(lifting):
-            return np.zeros(0, np.int64)
-        return np.flatnonzero((self.gains[:, columns[lifting]] > 0).any(axis=1))
+        hit = np.zeros(len(self.rows), bool)
+        for n in columns[order[upto >= threshold - 1e-9]].tolist():
+            hit[self.owner[self.starts[n] : self.starts[n + 1]]] = True
+        return np.flatnonzero(hit)
+
+    def scores(self, asked: _Asked, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Lexical share and BM25 at ten digits (the order of addition must not decide a ranking)."""
+        if not len(rows):
+            return np.zeros(0), np.zeros(0)
+        if self._scored[0] is not asked:
+            size = np.diff(self.starts)[asked.columns]
+            ends = np.cumsum(size)
+            total = int(size.sum())
+            at = np.arange(total) + np.repeat(self.starts[asked.columns] - (ends - size), size)
+            owner, wanted = self.owner[at], np.repeat(asked.counts, size)
+            shared = np.bincount(owner, np.minimum(self.counts[at], wanted), len(self.rows))
+            bm25 = np.bincount(owner, self.gains[at], len(self.rows))
+            self._scored = asked, (shared / asked.length, np.round(bm25, 10))
+        lexical, bm25 = self._scored[1]
+        return lexical[rows], bm25[rows]
 
 
 class _Batch:
@@ -186,8 +200,9 @@ class _Batch:
         column = {name: batch.column(n) for n, name in enumerate(batch.schema.names)}
         self.size = batch.num_rows
         self.plant = column["plant_id"]
-        self.evidence = np.array(column["evidence_id"].to_pylist(), object)
-        self.document = np.array(column["document_id"].to_pylist(), object)
+        if "evidence_id" in column:
+            self.evidence = np.array(column["evidence_id"].to_pylist(), object)
+            self.document = np.array(column["document_id"].to_pylist(), object)
         self.length = column["length"].to_numpy(zero_copy_only=False).astype(float)
         bags = column["bag"]
         sizes = np.diff(bags.offsets.to_numpy())
@@ -197,7 +212,16 @@ class _Batch:
         self.owner = np.repeat(np.arange(self.size), sizes)[inside]
         self.terms = number.drop_null().to_numpy().astype(np.int64)
         self.counts = flat.field(1).to_numpy(zero_copy_only=False)[inside].astype(np.int64)
-        self.vectors = column["vector"].to_pylist() if "vector" in column else None
+        self.numbers = None
+        if "vector" in column:
+            widths = pc.fill_null(pc.list_value_length(column["vector"]), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            self.numbers = column["vector"].flatten().to_numpy(zero_copy_only=False).astype(float)
+            self.first = np.cumsum(widths) - widths
+            # As terms.valid_vector: of bounded size, finite everywhere, not all zero. Others have width 0.
+            whose = np.repeat(np.arange(self.size), widths)
+            bad = np.bincount(whose[~np.isfinite(self.numbers)], minlength=self.size) > 0
+            some = np.bincount(whose[self.numbers != 0], minlength=self.size) > 0
+            self.width = np.where((widths <= fixed.MAX_VECTOR_SIZE) & some & ~bad, widths, 0)
 
     def of_plant(self, plant) -> np.ndarray:
         if plant is None:
@@ -211,34 +235,27 @@ def _parts(block: QuestionBlock, batch: pa.RecordBatch) -> Iterator[tuple[PlantQ
     whole = _Batch(batch, block.vocabulary)
     for name, plant in block.plants.items():
         rows = whole.of_plant(name)
-        step = max(1, CELLS // (len(plant.places) + 1))
+        step = max(1, CELLS // (len(plant.asked) + 1))
         for begin in range(0, len(rows), step):
             part = rows[begin : begin + step]
             yield plant, Chunks(plant, part, whole), _cosines(plant, part, whole)
 
 
 def _cosines(plant: PlantQuestions, rows: np.ndarray, batch: _Batch) -> np.ndarray | None:
-    if batch.vectors is None or all(a.vector is None for a in plant.asked):
+    if batch.numbers is None or all(a.vector is None for a in plant.asked):
         return None
     out = np.full((len(plant.asked), len(rows)), np.nan)
-    sizes = np.array([len(batch.vectors[r] or ()) for r in rows])
+    sizes = batch.width[rows]
     for size in {len(a.vector) for a in plant.asked if a.vector is not None}:
         mine = [n for n, a in enumerate(plant.asked) if a.vector is not None and len(a.vector) == size]
         fits = np.flatnonzero(sizes == size)
         if len(fits):
-            right = np.array([batch.vectors[r] for r in rows[fits]], float)
+            right = batch.numbers[batch.first[rows[fits], None] + np.arange(size)]
             right /= np.linalg.norm(right, axis=1, keepdims=True)
             out[np.ix_(mine, fits)] = np.stack([plant.asked[n].vector for n in mine]) @ right.T
     return out
 
 
-def _scores(chunks: Chunks, asked: _Asked, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Lexical share and BM25 at ten digits (the order of addition must not decide a ranking)."""
-    columns = chunks.columns(asked.columns)
-    shared = np.minimum(chunks.counts[np.ix_(rows, columns)], asked.counts).sum(axis=1)
-    return shared / asked.length, np.round(chunks.gains[np.ix_(rows, columns)].sum(axis=1), 10)
-
-
 def _admitted(lexical: np.ndarray, cosine: np.ndarray | None) -> np.ndarray:
     passes = lexical >= fixed.LEXICAL_GATE
     return passes if cosine is None else passes | (np.nan_to_num(cosine, nan=-1.0) >= fixed.SEMANTIC_GATE)
@@ -267,8 +284,7 @@ class Best:
 
 
 def _index_columns(bagged: DataFrame, semantic: bool) -> DataFrame:
-    vector = [F.when(terms.valid_vector(F.col("vector")), F.col("vector")).alias("vector")] if semantic else []
-    return bagged.select("plant_id", "evidence_id", "document_id", "length", "bag", *vector)
+    return bagged.select("plant_id", "evidence_id", "document_id", "length", "bag", *(["vector"] if semantic else []))
 
 
 def best_lists(bagged: DataFrame, block: Broadcast, depth: int, semantic: bool, by_words: bool) -> DataFrame:
@@ -288,18 +304,18 @@ def best_lists(bagged: DataFrame, block: Broadcast, depth: int, semantic: bool,
                     cosine = None if cosines is None or asked.vector is None else cosines[n]
                     words = lists.setdefault((asked.number, WORDS), Best(depth)) if by_words else None
                     met += len(chunks.rows)
-                    rows = chunks.reaching(chunks.columns(asked.columns), words.floor) if by_words else np.zeros(0, np.int64)
+                    rows = chunks.reaching(asked.columns, words.floor) if by_words else np.zeros(0, np.int64)
                     if cosine is not None:
                         meaning = lists.setdefault((asked.number, MEANING), Best(depth))
                         near = np.flatnonzero(np.round(np.nan_to_num(cosine, nan=-1.0), 4) >= max(fixed.SEMANTIC_GATE, meaning.floor))
-                        near_lexical, near_bm25 = _scores(chunks, asked, near)
+                        near_lexical, near_bm25 = chunks.scores(asked, near)
                         good = cosine[near] >= fixed.SEMANTIC_GATE if not by_words else _admitted(near_lexical, cosine[near])
                         near = near[good]
                         meaning.add(np.round(cosine[near], 4), chunks, near, near_lexical[good], near_bm25[good], cosine[near])
                     scored += len(rows)
                     if not len(rows):
                         continue
-                    lexical, bm25 = _scores(chunks, asked, rows)
+                    lexical, bm25 = chunks.scores(asked, rows)
                     own = None if cosine is None else cosine[rows]
                     good = _admitted(lexical, own)
                     reported = np.zeros(int(good.sum())) if own is None else np.nan_to_num(own[good], nan=0.0)
@@ -311,7 +327,9 @@ def best_lists(bagged: DataFrame, block: Broadcast, depth: int, semantic: bool,
         types = pa.schema([*kind, ("document_id", documents), *((c, pa.float64()) for c in ("lexical", "bm25", "semantic"))])
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), types, strict=True)], schema=types)
 
-    return _index_columns(bagged, semantic).mapInArrow(search, schema)
+    # By meaning alone, chunks without a vector are in no list.
+    compared = bagged if by_words else bagged.where(F.col("vector").isNotNull())
+    return _index_columns(compared, semantic).mapInArrow(search, schema)
 
 
 def better_counts(bagged: DataFrame, block: Broadcast, pool: Broadcast) -> DataFrame:
@@ -338,14 +356,14 @@ def better_counts(bagged: DataFrame, block: Broadcast, pool: Broadcast) -> DataF
                 for n, asked in enumerate(plant.asked):
                     cosine = None if cosines is None or asked.vector is None else cosines[n]
                     if (key := (asked.number, WORDS)) in above:
-                        rows = chunks.reaching(chunks.columns(asked.columns), float(pool.value[key][0].min()))
-                        lexical, bm25 = _scores(chunks, asked, rows)
+                        rows = chunks.reaching(asked.columns, float(pool.value[key][0].min()))
+                        lexical, bm25 = chunks.scores(asked, rows)
                         good = _admitted(lexical, None if cosine is None else cosine[rows])
                         tally(key, bm25[good], chunks.evidence[rows[good]])
                     if (key := (asked.number, MEANING)) in above and cosine is not None:
                         rounded = np.round(np.nan_to_num(cosine, nan=-1.0), 4)
                         rows = np.flatnonzero(rounded >= max(fixed.SEMANTIC_GATE, float(pool.value[key][0].min())))
-                        good = _admitted(_scores(chunks, asked, rows)[0], cosine[rows])
+                        good = _admitted(chunks.scores(asked, rows)[0], cosine[rows])
                         tally(key, rounded[rows[good]], chunks.evidence[rows[good]])
         out = [(q, name, e, int(a)) for (q, name), counts in above.items() for e, a in zip(pool.value[q, name][1], counts, strict=True)]
         if out:
