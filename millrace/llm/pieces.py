@@ -13,8 +13,8 @@ from functools import cache
 
 import numpy as np
 
-# Up to twice as many are held, at about 200 bytes each: 400 MB for a worker.
-KEPT_PIECES = 1_000_000
+# Up to twice as many are held, at about 200 bytes each: 200 MB for a worker.
+KEPT_PIECES = 500_000
 # Texts whose pieces are looked up and learnt together.
 GROUP = 256
 SIGNS = ".,;:!?#*$%&"

@@ -2,7 +2,7 @@
 
 Texts are encoded, each followed by the end id 0, sorted by id and cut into shards. In each shard
 Re-Pair replaces frequent pairs of neighbouring symbols by new symbols (nonterminals), again and
-again, until no pair is found twice. Each pass takes, from the most frequent on, the pairs at least an eighth as
+again, until no pair is found twice. Each pass takes, from the most frequent on, the pairs at least 1/32 as
 frequent as the first that cannot get in each other's way (no symbol ends one pair and begins another), so that
 they are replaced together.
 
@@ -41,7 +41,7 @@ END = 0
 SHARD_TOKENS = 1 << 20
 MIN_COUNT = 2
 # A pass takes pairs down to this part of the most frequent one's count.
-SHARE = 8
+SHARE = 32
 _SLOT_BITS = 20
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -53,6 +53,32 @@ def _runs_cut(at: np.ndarray) -> np.ndarray:
     return (np.arange(len(at)) - begin) % 2 == 0
 
 
+def _in_order(keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The places that sort keys of so many bits, and the sorted keys; key and place share a number where both fit."""
+    places = len(keys).bit_length()
+    if bits + places > 64:
+        order = np.argsort(keys, kind="stable")
+        return order, keys[order]
+    packed = keys << np.uint64(places)
+    packed |= np.arange(len(keys), dtype=np.uint64)
+    packed.sort()
+    order = (packed & np.uint64((1 << places) - 1)).astype(np.int64)
+    packed >>= np.uint64(places)
+    return order, packed
+
+
+def _about(keys: np.ndarray, cut: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Counts of keys by hash, never too small, without the places in ``cut``; zero there in the first array."""
+    bits = min(_SLOT_BITS, max(10, len(keys).bit_length() + 1))
+    slot = ((keys * _ODD) >> np.uint64(64 - bits)).astype(np.int64)
+    tally = np.bincount(slot, minlength=1 << bits)
+    np.subtract.at(tally, slot[cut], 1)
+    every = tally[slot]
+    about = every.copy() if len(cut) else every
+    about[cut] = 0
+    return about, every
+
+
 def compress(tokens: np.ndarray, terminals: int, min_count: int = MIN_COUNT, passes: int | None = None):
     """(rules, expansion lengths, symbols) of a grammar that expands to ``tokens``.
 
@@ -60,25 +86,24 @@ def compress(tokens: np.ndarray, terminals: int, min_count: int = MIN_COUNT, pas
     not so frequent stays so until one of its symbols is replaced, so that a pass looks at the places
     only (``live``) whose pair was frequent or is new.
     """
-    seq = tokens.astype(np.uint64)
+    seq = tokens.astype(np.uint32)
     live = np.arange(max(0, len(seq) - 1))
     width, rules, done = np.ones(terminals, np.int64), [np.zeros((0, 2), np.int64)], 0
     while len(live) and done != passes:
         done += 1
+        bits = len(width).bit_length()
         left, right = seq[live], seq[live + 1]
-        keys = (left << np.uint64(32)) | right
-        free = np.ones(len(live), bool)
         twin = np.flatnonzero(left == right)
-        free[twin] = _runs_cut(live[twin])
-        # Counts by hash are never too small: a pair that is rare by them is rare.
-        slot = ((keys * _ODD) >> np.uint64(64 - _SLOT_BITS)).astype(np.int64)
-        about = np.bincount(slot[free], minlength=1 << _SLOT_BITS)[slot]
-        again = about >= min_count
+        keys = left.astype(np.uint64) << np.uint64(bits)
+        keys |= right
+        # A pair that is rare by its hash is rare.
+        about, every = _about(keys, twin[~_runs_cut(live[twin])])
+        again = every >= min_count
         floor = max(min_count, int(about.max()) // SHARE)
+        del left, right, every
         while True:
-            near = np.flatnonzero((about >= floor) & free)
-            order = near[np.argsort(keys[near])]
-            ordered = keys[order]
+            near = np.flatnonzero(about >= floor)
+            order, ordered = _in_order(keys[near], 2 * bits)
             edge = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]][: len(ordered)])
             count = np.diff(np.r_[edge, len(ordered)])
             often = np.flatnonzero(count >= floor)
@@ -87,29 +112,30 @@ def compress(tokens: np.ndarray, terminals: int, min_count: int = MIN_COUNT, pas
             floor = max(min_count, floor // 2)
         if not len(often):
             break
+        del keys, about
         # From the most frequent on; a symbol begins or ends pairs as the first of its pairs says.
         often = often[np.lexsort((ordered[edge[often]], -count[often]))]
         pairs = ordered[edge[often]]
-        a, b = (pairs >> np.uint64(32)).astype(np.int64), (pairs & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        a, b = (pairs >> np.uint64(bits)).astype(np.int64), (pairs & np.uint64((1 << bits) - 1)).astype(np.int64)
         place = np.arange(len(pairs))
         begins, ends = np.full(len(width), len(pairs)), np.full(len(width), len(pairs))
         begins[a[::-1]], ends[b[::-1]] = place[::-1], place[::-1]
         taken = np.where(a == b, (begins[a] == place) & (ends[a] == place), (begins[a] < ends[a]) & (ends[b] < begins[b]))
         a, b, first, size = a[taken], b[taken], edge[often[taken]], count[often[taken]]
         inside = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
-        at = live[order[np.repeat(first, size) + inside]]
-        seq[at] = np.repeat(np.arange(len(width), len(width) + len(a)).astype(np.uint64), size)
+        at = live[near[order[np.repeat(first, size) + inside]]]
+        seq[at] = np.repeat(np.arange(len(width), len(width) + len(a), dtype=np.uint32), size)
         rules.append(np.stack([a, b], 1))
         width = np.r_[width, width[a] + width[b]]
         # Look again at the new symbols and at those before them.
-        gone, look = np.zeros(len(seq), bool), np.zeros(len(seq), bool)
-        gone[at + 1] = True
+        kept, look = np.ones(len(seq), bool), np.zeros(len(seq), bool)
+        kept[at + 1] = False
         look[live[again]] = True
         look[at] = True
         before = at[at > 0] - 1
-        before = np.where(gone[before], before - 1, before)
+        before -= ~kept[before]
         look[before] = True
-        seq, look = seq[~gone], look[~gone]
+        seq, look = seq[kept], look[kept]
         live = np.flatnonzero(look[:-1])
     return np.concatenate(rules).astype("<u4"), width[terminals:].astype("<u4"), seq.astype("<u4")
 

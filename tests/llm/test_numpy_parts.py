@@ -10,6 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from millrace.llm import decontamination, minhash, repair, substrings, toxicity, warc_zip
+from millrace.llm import pieces
 from millrace.llm.pieces import BytePieces, WordPieces
 from millrace.llm.token_counts import PrefixPieces, WordPrefixes, _ends
 
@@ -221,3 +222,28 @@ def test_signatures_do_not_depend_on_the_texts_beside(counted):
         alone = minhash.dart_signature(s, w, 112)
         assert (together[n] == alone).all()
         assert (keys[n] == minhash.band_keys(alone, 4, 28)).all()
+
+
+def test_a_shard_is_compressed_within_a_bound_of_memory():
+    import tracemalloc
+
+    tokens = (np.random.default_rng(3).zipf(1.3, 1 << 18) % 5000).astype("<u4")
+    tracemalloc.start()
+    rules, _, symbols = repair.compress(tokens, 5000)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 85 * len(tokens)
+    assert repair.expand(symbols, rules, 5000).tolist() == tokens.tolist()
+
+
+@pytest.mark.parametrize("bits", [34, 62])
+def test_keys_are_ordered_by_value_then_place(bits):
+    keys = np.random.default_rng(1).integers(0, 1 << bits, 500).repeat(3).astype(np.uint64)
+    np.random.default_rng(2).shuffle(keys)
+    order, ordered = repair._in_order(keys, bits)
+    assert order.tolist() == sorted(range(len(keys)), key=lambda n: (int(keys[n]), n))
+    assert ordered.tolist() == sorted(keys.tolist())
+
+
+def test_pieces_of_two_workers_leave_room_on_an_executor():
+    assert 2 * 2 * 200 * pieces.KEPT_PIECES <= 500e6
