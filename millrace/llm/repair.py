@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.llm.common import files_at, publish, table
-from millrace.llm.pieces import GROUP, byte_pieces
+from millrace.llm.pieces import byte_pieces
 from millrace.session import fresh_folder, staged
 
 MAGIC = b"RPG1"
@@ -43,7 +43,7 @@ MIN_COUNT = 2
 # A pass takes pairs down to this part of the most frequent one's count.
 SHARE = 32
 _SLOT_BITS = 20
-_ODD = np.uint64(0x9E3779B97F4A7C15)
+_ODD = np.uint32(0x9E3779B1), np.uint32(0x85EBCA77)
 
 
 def _runs_cut(at: np.ndarray) -> np.ndarray:
@@ -67,11 +67,14 @@ def _in_order(keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     return order, packed
 
 
-def _about(keys: np.ndarray, cut: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Counts of keys by hash, never too small, without the places in ``cut``; zero there in the first array."""
-    bits = min(_SLOT_BITS, max(10, len(keys).bit_length() + 1))
-    slot = ((keys * _ODD) >> np.uint64(64 - bits)).astype(np.int64)
-    tally = np.bincount(slot, minlength=1 << bits)
+def _about(left: np.ndarray, right: np.ndarray, cut: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Counts of pairs by hash, never too small, without the places in ``cut``; zero there in the first array."""
+    bits = min(_SLOT_BITS, max(10, len(left).bit_length() + 1))
+    mixed = left * _ODD[0]
+    mixed += right * _ODD[1]
+    mixed >>= np.uint32(32 - bits)
+    slot = mixed.astype(np.int64)
+    tally = np.bincount(slot, minlength=1 << bits).astype(np.int32)
     np.subtract.at(tally, slot[cut], 1)
     every = tally[slot]
     about = every.copy() if len(cut) else every
@@ -92,18 +95,19 @@ def compress(tokens: np.ndarray, terminals: int, min_count: int = MIN_COUNT, pas
     while len(live) and done != passes:
         done += 1
         bits = len(width).bit_length()
-        left, right = seq[live], seq[live + 1]
+        left, right = seq.take(live), seq[1:].take(live)
         twin = np.flatnonzero(left == right)
-        keys = left.astype(np.uint64) << np.uint64(bits)
-        keys |= right
         # A pair that is rare by its hash is rare.
-        about, every = _about(keys, twin[~_runs_cut(live[twin])])
+        about, every = _about(left, right, twin[~_runs_cut(live[twin])])
         again = every >= min_count
         floor = max(min_count, int(about.max()) // SHARE)
-        del left, right, every
+        del every
         while True:
             near = np.flatnonzero(about >= floor)
-            order, ordered = _in_order(keys[near], 2 * bits)
+            keys = left[near].astype(np.uint64)
+            keys <<= np.uint64(bits)
+            keys |= right[near]
+            order, ordered = _in_order(keys, 2 * bits)
             edge = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]][: len(ordered)])
             count = np.diff(np.r_[edge, len(ordered)])
             often = np.flatnonzero(count >= floor)
@@ -112,7 +116,9 @@ def compress(tokens: np.ndarray, terminals: int, min_count: int = MIN_COUNT, pas
             floor = max(min_count, floor // 2)
         if not len(often):
             break
-        del keys, about
+        if floor == min_count:  # counted exactly: what is rare need not be looked at again
+            again[near[order[np.repeat(count < min_count, count)]]] = False
+        del keys, about, left, right
         # From the most frequent on; a symbol begins or ends pairs as the first of its pairs says.
         often = often[np.lexsort((ordered[edge[often]], -count[often]))]
         pairs = ordered[edge[often]]
@@ -130,7 +136,7 @@ def compress(tokens: np.ndarray, terminals: int, min_count: int = MIN_COUNT, pas
         # Look again at the new symbols and at those before them.
         kept, look = np.ones(len(seq), bool), np.zeros(len(seq), bool)
         kept[at + 1] = False
-        look[live[again]] = True
+        look[live] = again
         look[at] = True
         before = at[at > 0] - 1
         before -= ~kept[before]
@@ -141,7 +147,16 @@ def compress(tokens: np.ndarray, terminals: int, min_count: int = MIN_COUNT, pas
 
 
 def expand(symbols: np.ndarray, rules: np.ndarray, terminals: int, lengths: np.ndarray | None = None) -> np.ndarray:
-    """Tokens of a sequence of symbols: nonterminals open all at once, level by level, each at its place."""
+    """Tokens of a sequence of symbols: nonterminals open all at once, level by level, each at its place.
+
+    In a long sequence each rule opens once, and its tokens are copied to where it is used.
+    """
+    if lengths is not None and len(symbols) > 2 * len(rules):
+        opened = expand(np.arange(terminals, terminals + len(rules)), rules, terminals, lengths)
+        cuts = 4 * np.r_[np.arange(terminals), terminals + np.r_[0, np.cumsum(lengths, dtype=np.int64)]]
+        tokens = np.r_[np.arange(terminals, dtype="<u4"), opened]
+        each = pa.Array.from_buffers(pa.large_binary(), len(cuts) - 1, [None, pa.py_buffer(cuts), pa.py_buffer(tokens)])
+        return np.frombuffer(each.take(pa.array(symbols)).buffers()[2], "<u4")
     rules = rules.astype(np.int64)
     width = np.ones(terminals + len(rules), np.int64)
     if lengths is None:
@@ -248,15 +263,13 @@ def write_shards(
 
         for batch in batches:
             pieces = pieces or byte_pieces(vocabulary)
-            names, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for begin in range(0, len(texts), GROUP):
-                for name, encoded in zip(names[begin : begin + GROUP], pieces.encode(texts[begin : begin + GROUP]), strict=True):
-                    ids.append(name)
-                    starts.append(size)
-                    held.append(encoded + end)
-                    size += len(encoded) // 4 + 1
-                    if size >= SHARD_TOKENS:
-                        yield flush()
+            for name, encoded in zip(batch.column(0).to_pylist(), pieces.encode(batch.column(1)), strict=True):
+                ids.append(name)
+                starts.append(size)
+                held.append(encoded + end)
+                size += len(encoded) // 4 + 1
+                if size >= SHARD_TOKENS:
+                    yield flush()
         if ids:
             yield flush()
 
