@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 # Up to twice as many are held, at about 200 bytes each: 200 MB for a worker.
 KEPT_PIECES = 500_000
 # Texts of so many bytes, or one, have their pieces looked up and learnt together.
-GROUP_BYTES = 4 << 20
+GROUP_BYTES = 6 << 20
 # Pieces that the library reads as one text.
 LEARNT = 500
 SIGNS = ".,;:!?#*$%&"
@@ -51,6 +51,13 @@ def _bytes_of(strings: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return offsets, np.frombuffer(raw or b"", np.uint8)
 
 
+def _pieces_of(texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """Where the pieces of each text begin, and the last ones end, and the pieces."""
+    split = pc.split_pattern(texts, " ")
+    starts = split.offsets.to_numpy().astype(np.int64)
+    return starts - starts[0], split.flatten()
+
+
 def _last_bytes(strings: pa.Array, sizes: np.ndarray) -> pa.Array:
     """The last bytes of each value, as many as ``sizes`` says."""
     offsets, raw = _bytes_of(strings)
@@ -188,19 +195,22 @@ class BytePieces(_Pieces):
         """The ids of each text; null is empty. Texts that are next to each other are cut into pieces together."""
         texts = pc.fill_null(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()), "")
         size = pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)
-        group = (np.cumsum(size) - size) // GROUP_BYTES
+        all_bytes = max(1, int(size.sum()))
+        group = (np.cumsum(size) - size) * max(1, round(all_bytes / GROUP_BYTES)) // all_bytes
         cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(texts)]
         for a, b in zip(cuts, cuts[1:], strict=False):
             yield from self._encoded(texts.slice(a, b - a))
 
     def _encoded(self, texts: pa.Array) -> list[bytes]:
         # A text with spaces in a row goes to the library as it is, like the first piece of any other.
-        odd = pc.match_substring(texts, "  ")
-        split = pc.split_pattern(pc.if_else(odd, "", texts), " ")
-        starts = split.offsets.to_numpy().astype(np.int64)
-        starts -= starts[0]
-        pieces = split.flatten()
-        heads = pc.if_else(odd, texts, pieces.take(pa.array(starts[:-1]))).to_pylist()
+        starts, pieces = _pieces_of(texts)
+        empty = np.flatnonzero(np.diff(_bytes_of(pieces)[0]) == 0)
+        text = np.searchsorted(starts, empty, "right") - 1
+        odd = np.zeros(len(texts), bool)
+        odd[text[(empty > starts[text]) & (empty < starts[text + 1] - 1)]] = True
+        if odd.any():
+            starts, pieces = _pieces_of(pc.if_else(pa.array(odd), "", texts))
+        heads = pc.if_else(pa.array(odd), texts, pieces.take(pa.array(starts[:-1]))).to_pylist()
         first = self.tokenizer.encode_batch_fast(heads, add_special_tokens=False)
         rest = np.ones(len(pieces), bool)
         rest[starts[:-1]] = False

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.llm.common import files_at, publish, table
-from millrace.llm.pieces import byte_pieces
+from millrace.llm.pieces import GROUP_BYTES, byte_pieces
 from millrace.session import fresh_folder, staged
 
 MAGIC = b"RPG1"
@@ -87,22 +87,23 @@ def compress(tokens: np.ndarray, terminals: int, min_count: int = MIN_COUNT, pas
 
     Without ``passes`` it ends as Re-Pair does, when no pair is found ``min_count`` times. A pair that is
     not so frequent stays so until one of its symbols is replaced, so that a pass looks at the places
-    only (``live``) whose pair was frequent or is new.
+    only (``live``) whose pair was frequent or is new. Places of pairs found less than ``low`` times wait
+    until a pass takes pairs that are as rare.
     """
     seq = tokens.astype(np.uint32)
-    live = np.arange(max(0, len(seq) - 1))
+    # Of each place: 0 for a rare pair, 1 while it waits, 2 if it is looked at.
+    state, low = np.full(len(seq), 2, np.uint8), min_count
     width, rules, done = np.ones(terminals, np.int64), [np.zeros((0, 2), np.int64)], 0
-    while len(live) and done != passes:
-        done += 1
+    while done != passes:
+        live = np.flatnonzero(state[:-1] == 2)
         bits = len(width).bit_length()
         left, right = seq.take(live), seq[1:].take(live)
         twin = np.flatnonzero(left == right)
         # A pair that is rare by its hash is rare.
         about, every = _about(left, right, twin[~_runs_cut(live[twin])])
-        again = every >= min_count
-        floor = max(min_count, int(about.max()) // SHARE)
-        del every
-        while True:
+        floor = max(min_count, int(about.max(initial=0)) // SHARE)
+        often = ()
+        while floor >= low:
             near = np.flatnonzero(about >= floor)
             keys = left[near].astype(np.uint64)
             keys <<= np.uint64(bits)
@@ -114,13 +115,19 @@ def compress(tokens: np.ndarray, terminals: int, min_count: int = MIN_COUNT, pas
             if len(often) or floor <= min_count:
                 break
             floor = max(min_count, floor // 2)
+        if floor < low:
+            state, low = 2 * (state > 0).view(np.uint8), min_count
+            continue
         if not len(often):
             break
-        if floor == min_count:  # counted exactly: what is rare need not be looked at again
-            again[near[order[np.repeat(count < min_count, count)]]] = False
-        del keys, about, left, right
+        done += 1
+        low = max(low, floor // 2)
+        state[live] = (every >= min_count).view(np.uint8) + (every >= low).view(np.uint8)
+        if floor == min_count:  # counted exactly
+            state[live[near[order[np.repeat(count < min_count, count)]]]] = 0
+        del keys, about, every, left, right
         # From the most frequent on; a symbol begins or ends pairs as the first of its pairs says.
-        often = often[np.lexsort((ordered[edge[often]], -count[often]))]
+        often = often[_in_order((count.max() - count[often]).astype(np.uint64), 32)[0]]
         pairs = ordered[edge[often]]
         a, b = (pairs >> np.uint64(bits)).astype(np.int64), (pairs & np.uint64((1 << bits) - 1)).astype(np.int64)
         place = np.arange(len(pairs))
@@ -134,15 +141,14 @@ def compress(tokens: np.ndarray, terminals: int, min_count: int = MIN_COUNT, pas
         rules.append(np.stack([a, b], 1))
         width = np.r_[width, width[a] + width[b]]
         # Look again at the new symbols and at those before them.
-        kept, look = np.ones(len(seq), bool), np.zeros(len(seq), bool)
+        kept = np.ones(len(seq), bool)
         kept[at + 1] = False
-        look[live] = again
-        look[at] = True
+        state[at] = 2
         before = at[at > 0] - 1
         before -= ~kept[before]
-        look[before] = True
-        seq, look = seq[kept], look[kept]
-        live = np.flatnonzero(look[:-1])
+        state[before] = 2
+        kept = np.flatnonzero(kept)
+        seq, state = seq.take(kept), state.take(kept)
     return np.concatenate(rules).astype("<u4"), width[terminals:].astype("<u4"), seq.astype("<u4")
 
 
@@ -231,6 +237,19 @@ class Shard:
         self.file.close()
 
 
+def _together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at least the bytes whose pieces are looked up together."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.nbytes
+        if size >= GROUP_BYTES:
+            yield pa.concat_batches(held)
+            held, size = [], 0
+    if held:
+        yield pa.concat_batches(held)
+
+
 def write_shards(
     docs: DataFrame, folder: str, id_column: str = "doc_id", text_column: str = "text", vocabulary: str = VOCABULARY,
     tasks: int | None = None,
@@ -261,7 +280,7 @@ def write_shards(
             ids, starts, held, size, number = [], [], [], 0, number + 1
             return pa.RecordBatch.from_pydict(row, pa.schema([("part", pa.int32()), ("number", pa.int32()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())]))
 
-        for batch in batches:
+        for batch in _together(batches):
             pieces = pieces or byte_pieces(vocabulary)
             for name, encoded in zip(batch.column(0).to_pylist(), pieces.encode(batch.column(1)), strict=True):
                 ids.append(name)
