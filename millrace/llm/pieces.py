@@ -21,7 +21,7 @@ KEPT_PIECES = 500_000
 # Texts of so many bytes, or one, have their pieces looked up and learnt together.
 GROUP_BYTES = 6 << 20
 # Pieces that the library reads as one text.
-LEARNT = 500
+LEARNT = 200
 SIGNS = ".,;:!?#*$%&"
 # The character that a byte-level vocabulary writes for each byte: itself, or one from U+0100 on.
 _SHOWN = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]

@@ -5,6 +5,7 @@ import random
 import zipfile
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -247,3 +248,65 @@ def test_keys_are_ordered_by_value_then_place(bits):
 
 def test_pieces_of_two_workers_leave_room_on_an_executor():
     assert 2 * 2 * 200 * pieces.KEPT_PIECES <= 500e6
+
+
+lines = st.lists(
+    st.sampled_from(["the", "The", "É", "éa", "x.", "a,", "'s", "9", "$%", "\n", "\nB", ".\nB", "a\nThe,", "\n\n", "\r\n", " ", " ", " ", "  ", "\xa0", "<|endoftext|>"]),
+    max_size=30,
+).map("".join)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.one_of(st.none(), lines), min_size=1, max_size=6), st.sampled_from([pa.string(), pa.large_string()]))
+def test_a_column_of_texts_has_the_ids_of_the_library(byte_pieces, texts, kind):
+    expected = [e.ids for e in byte_pieces.tokenizer.encode_batch([t or "" for t in texts], add_special_tokens=False)]
+    column = pa.array(["a  b c", *texts, "d"], kind).slice(1, len(texts))
+    for size in (1, 20, pieces.GROUP_BYTES):
+        with pytest.MonkeyPatch.context() as patch:
+            patch.setattr(pieces, "GROUP_BYTES", size)
+            assert [np.frombuffer(b, "<u4").tolist() for b in byte_pieces.encode(column)] == expected
+
+
+def test_letters_are_learnt_once_whatever_stands_around_them():
+    own = BytePieces("byte_bpe_50k.json")
+    words = ["stone", "rivér", "Cloud"]
+    text = "x " + " ".join(w + after for w in words for after in ("", ",", ".", "?!", ".\nCloud", ",\nCloud", "\nCloud"))
+    assert list(own.encode([text])) == [np.array(own.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()]
+    assert set(own.kept) == {*words, "\nCloud"}
+
+
+def test_pieces_in_use_survive_a_new_generation(monkeypatch):
+    monkeypatch.setattr(pieces, "KEPT_PIECES", 20)
+    own = BytePieces("byte_bpe_50k.json")
+    texts = [f"x the {'a' * n} {'b' * n}, {'c' * (n % 7)}." for n in range(1, 60)]
+    encoded = [list(own.encode([text]))[0] for text in texts]
+    assert encoded == [np.array(own.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert "the" in own.kept and len(own.kept) <= 20
+
+
+def test_batches_come_together_with_the_same_rows(monkeypatch):
+    monkeypatch.setattr(repair, "GROUP_BYTES", 100)
+    batches = [pa.RecordBatch.from_pydict({"id": [n, None], "text": ["x" * n, None]}) for n in range(40)]
+    together = list(repair._together(iter(batches)))
+    assert len(together) < 40 and all(b.nbytes >= 100 for b in together[:-1])
+    assert pa.Table.from_batches(together).equals(pa.Table.from_batches(batches).combine_chunks())
+    assert list(repair._together(iter([]))) == []
+
+
+def test_passes_leave_pairs_alone_that_are_too_rare(monkeypatch):
+    looked, about = [], repair._about
+    monkeypatch.setattr(repair, "_about", lambda first, *rest: looked.append(len(first)) or about(first, *rest))
+    tokens = np.random.default_rng(6).integers(0, 300, 200_000).astype("<u4")
+    rules, lengths, symbols = repair.compress(tokens, 300)
+    assert sum(looked) < 3 * len(tokens)
+    assert np.array_equal(repair.expand(symbols, rules, 300, lengths), tokens)
+
+
+@pytest.mark.parametrize("times", [1, 40])
+def test_rules_opened_once_give_the_same_tokens(times):
+    rules = np.array([[1, 2], [10, 10], [11, 3], [12, 11]])
+    lengths = np.array([2, 4, 5, 9], "<u4")
+    symbols = np.array([13, 0, 12, 9, 10] * times)
+    level_by_level = repair.expand(symbols, rules, 10)
+    assert repair.expand(symbols, rules, 10, lengths).tolist() == level_by_level.tolist()
+    assert len(level_by_level) == 18 * times
