@@ -237,12 +237,6 @@ class Shard:
         self.file.close()
 
 
-def _give_back() -> None:
-    """Memory that this worker has freed, in this task or in one before it, goes back to the system."""
-    pa.default_memory_pool().release_unused()
-    pa.system_memory_pool().release_unused()
-
-
 def _together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of at least the bytes whose pieces are looked up together."""
     held, size = [], 0
@@ -285,10 +279,9 @@ def write_shards(
             row = {"part": [part], "number": [number], "path": [path], "n_docs": [len(ids)], "n_tokens": [len(tokens)]}
             ids, starts, held, size, number = [], [], [], 0, number + 1
             del tokens, data
-            _give_back()
+            pa.default_memory_pool().release_unused()  # what Arrow holds of earlier groups
             return pa.RecordBatch.from_pydict(row, pa.schema([("part", pa.int32()), ("number", pa.int32()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())]))
 
-        _give_back()
         for batch in _together(batches):
             pieces = pieces or byte_pieces(vocabulary)
             for name, encoded in zip(batch.column(0).to_pylist(), pieces.encode(batch.column(1)), strict=True):
